@@ -62,16 +62,21 @@ def live_metric(events: DataFrame, ts: str, width: int | str, lateness: str,
 
 
 def judge_batch(metric: DataFrame, definitions: Sequence[AlertDefinition]) -> DataFrame:
-    """Evaluate every alert on the metric rows of one micro-batch."""
+    """Evaluate alerts on the metric rows of one micro-batch.
+
+    A metric with alert ids is matched by id; one without is given to every alert.
+    Results carry the time from which the bucket is looked at: its start, or with a
+    lag its end.
+    """
     alerts = definitions_df(metric.sparkSession, definitions)
     if ID[0] in metric.columns:
         joined = bucket_rows(metric).join(alerts, list(ID))
     else:
-        rows = bucket_rows(metric, ["time_ts"])
-        joined = rows.crossJoin(F.broadcast(alerts)) if len(definitions) > 1 else rows.select(
-            "*", *[F.lit(v).cast(f.dataType).alias(f.name)
-                   for v, f in zip(definitions[0].row(), alerts.schema.fields)])
-    return judge(joined).select(*ID, F.timestamp_seconds("time_ts").cast("timestamp_ntz").alias("timestamp"),
+        each = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(d.row(), alerts.schema.fields)])
+                for d in definitions]
+        joined = bucket_rows(metric, ["time_ts"]).select("*", F.inline(F.array(*each)))
+    seen = F.col("time_ts") + F.col("lag") * F.col("width_s")
+    return judge(joined).select(*ID, F.timestamp_seconds(seen).cast("timestamp_ntz").alias("timestamp"),
                                 "status", "message", "value")
 
 
