@@ -33,11 +33,13 @@ def live_series(events: DataFrame, ts: str, series: Sequence[str], width: int |
     every = f"{w.seconds} seconds"
     window = (F.window(ts, every, every, f"{w.offset_seconds} seconds") if w.offset_seconds
               else F.window(ts, every))
+    dtype = events.schema[ts].dataType
+    # Watermarks need a zoned timestamp; the result goes back to the column's own type.
     return (
-        events.withWatermark(ts, lateness)
+        events.withColumn(ts, F.col(quote(ts)).cast("timestamp")).withWatermark(ts, lateness)
         .groupBy(window.alias("__window"), *[F.col(quote(s)) for s in series])
         .agg(F.expr(measure).alias(name))
-        .select(F.col("__window.start").alias("time"), *[F.col(quote(s)) for s in series], name)
+        .select(F.col("__window.start").cast(dtype).alias("time"), *[F.col(quote(s)) for s in series], name)
     )
 
 

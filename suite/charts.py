@@ -35,10 +35,10 @@ def time_bar(spark, folder):
 
 
 @register("c2_time_line", f"""
-SELECT CAST(user_id % 3 AS VARCHAR) AS lane, event_type, date_trunc('hour', ts) AS time, round(avg(value), 4) AS mean
+SELECT CAST(user_id % 3 AS VARCHAR) AS lane, event_type, date_trunc('hour', ts) AS time, round(avg(value), 10) AS mean
 FROM events WHERE {IN_MONTH} GROUP BY 1, 2, 3""")
 def _(spark, folder):
-    chart = Chart("timeLine", EVENTS, x=fld.auto_bucket("ts"), y=fld.field("round(avg(value), 4)", "mean"),
+    chart = Chart("timeLine", EVENTS, x=fld.auto_bucket("ts"), y=fld.field("round(avg(value), 10)", "mean"),
                   stroke=fld.enum("event_type"), z=fld.field("CAST(user_id % 3 AS STRING)", "lane"))
     return chart.run(context(spark, folder, "events")).df
 

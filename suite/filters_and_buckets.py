@@ -193,10 +193,10 @@ def _(spark, folder):
     return union_tagged(out, "width")
 
 
-@register("b2_any_interval", f"SELECT {_bucket_sql('90 minutes')} AS time, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+@register("b2_any_interval", f"SELECT {_bucket_sql('90 minutes')} AS time, round(avg(value), 10) AS mean FROM events GROUP BY 1")
 def _(spark, folder):
     f = fld.every("ts", "90 minutes")
-    spec = from_table("events", f, fld.field("round(avg(value), 4)", "mean")).grouping(f).unfiltered()
+    spec = from_table("events", f, fld.field("round(avg(value), 10)", "mean")).grouping(f).unfiltered()
     return compile_query(spec, context(spark, folder, "events")).df
 
 

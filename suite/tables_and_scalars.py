@@ -16,14 +16,14 @@ from suite.sources_and_fields import context
 
 
 @register("a1_a2_a3_basic_aggregates", """
-SELECT o_orderpriority, count(*) AS cnt, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean,
+SELECT o_orderpriority, count(*) AS cnt, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 8) AS mean,
        min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""")
 def _(spark, folder):
     key = fld.enum("o_orderpriority")
     spec = from_table("orders", key, fld.count(), fld.sum_of("o_totalprice", "total"), fld.avg_of("o_totalprice", "mean"),
                       fld.min_of("o_totalprice", "low"), fld.max_of("o_totalprice", "high")).grouping(key).unfiltered()
     out = compile_query(spec, context(spark, folder, "orders")).df
-    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 4)})
+    return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 8)})
 
 
 @register("a4_latest_row_per_key", """
