@@ -14,6 +14,7 @@ from bucketwise.alerting.ticks import parse_cron
 from bucketwise.functions.buckets import Width
 from bucketwise.operators.filters import NO_FILTER
 from bucketwise.sources.sqltext import FILTERS_TOKEN
+from bucketwise.sources.tables import local_rows
 
 # Markers in alert query texts.
 BUCKET_HEADER = "--BUCKET:"
@@ -144,4 +145,4 @@ def _number(value) -> float | None:
 
 def definitions_df(spark: SparkSession, definitions: Iterable[AlertDefinition]) -> DataFrame:
     """Definitions as rows; a local relation whose size Spark knows."""
-    return spark.createDataFrame([d.row() for d in definitions], DEFINITION_SCHEMA)
+    return local_rows(spark, [d.row() for d in definitions], DEFINITION_SCHEMA)

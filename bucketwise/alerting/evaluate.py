@@ -17,6 +17,7 @@ from bucketwise.functions.scalars import number_or_zero
 from bucketwise.functions.schema import require_columns
 from bucketwise.operators.filters import as_utc, sql_literal
 from bucketwise.operators.shape import union_tagged
+from bucketwise.sources.tables import local_rows
 
 # States and the texts of failed evaluations.
 OK, WARN, ERROR = "OK", "warn", "error"
@@ -122,8 +123,8 @@ def family_metrics(df: DataFrame, definitions: Sequence[AlertDefinition], ts: st
         .agg(F.expr(measure).cast("double").alias("value"))
         .select(epoch_seconds("__bucket").alias("time_ts"), *names, "value")
     )
-    wanted = spark.createDataFrame(
-        [(d.id.group, d.id.key, *[str(d.params[p]) for p in params]) for d in definitions],
+    wanted = local_rows(
+        spark, [(d.id.group, d.id.key, *[str(d.params[p]) for p in params]) for d in definitions],
         ", ".join([f"{ID[0]} string", f"{ID[1]} string", *[f"{n} string" for n in names]]))
     return grouped.join(wanted, names).select(*ID, "time_ts", "value")
 

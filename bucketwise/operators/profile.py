@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from bucketwise.functions.fields import quote
 from bucketwise.functions.schema import is_listable, is_numeric_like, time_column
 from bucketwise.operators.filters import recent
+from bucketwise.sources.tables import local_rows
 from bucketwise.operators.topk import LISTED_VALUES, distinct_counts, latest_k, top_tuples
 
 # Columns skipped, preferred and avoided as dimensions unless configured.
@@ -135,10 +136,10 @@ def profile_table(df: DataFrame, name: str, now: datetime, config: ProfileConfig
     if listed:
         values = column_values(df, listed, limits)
     else:
-        values = spark.createDataFrame([], "column string, value string, count long, rank int")
+        values = local_rows(spark, [], "column string, value string, count long, rank int")
     facts = [(f.name, f.dataType.simpleString(), counts.get(f.name) if f.name not in listed else None)
              for f in df.schema.fields if f.name not in config.skip]
-    known = spark.createDataFrame(facts, "column string, type string, cardinality_approx long")
+    known = local_rows(spark, facts, "column string, type string, cardinality_approx long")
     lengths = values.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
     stats = known.join(lengths, "column", "left").select("column", "type", "cardinality", "cardinality_approx")
 

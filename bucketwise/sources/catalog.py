@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketwise.functions.schema import column_class
+from bucketwise.sources.tables import local_rows
 
 
 def _matches(name: str, patterns: Iterable[str]) -> bool:
@@ -31,7 +32,7 @@ def columns_of(tables: Mapping[str, DataFrame], spark: SparkSession) -> DataFram
     """One row per table and column with type and class."""
     rows = [(name, f.name, i, f.dataType.simpleString(), column_class(f.dataType))
             for name, df in tables.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "table string, column string, position int, type string, class string")
+    return local_rows(spark, rows, "table string, column string, position int, type string, class string")
 
 
 def common_columns(columns: DataFrame, tables: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from bucketwise.functions.fields import quote
 from bucketwise.operators.profile import Profile, bucket_names
 from bucketwise.operators.shape import export_safe
+from bucketwise.sources.tables import local_rows
 
 EXPORT_FORMATS = ("parquet", "json", "xml", "csv", "tsv", "orc")
 
@@ -89,7 +90,7 @@ def parse_json_lines(lines: DataFrame, schema: str | T.StructType, column: str =
 def write_profile(profile: Profile, path: str) -> None:
     """Overview next to one folder per bucket; a rerun replaces what was there."""
     spark = profile.column_stats.sparkSession
-    meta = spark.createDataFrame([(json.dumps(profile.metadata),)], "metadata string")
+    meta = local_rows(spark, [(json.dumps(profile.metadata),)], "metadata string")
     meta.write.mode("overwrite").json(f"{path}/metadata")
     profile.column_stats.write.mode("overwrite").json(f"{path}/column_stats")
     profile.column_values.write.mode("overwrite").json(f"{path}/column_values")

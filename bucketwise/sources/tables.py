@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bucketwise.functions.buckets import Width
 from bucketwise.operators.filters import as_utc, sql_literal
@@ -23,6 +27,18 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
     return spark.read.schema(schema).option("sep", sep).csv(path)
 
 
+def local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size Spark knows exactly.
+
+    Joins against it are broadcast below the session's own threshold and shuffled
+    beyond it.
+    """
+    struct = T.StructType.fromDDL(schema)
+    names = struct.fieldNames()
+    data = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(struct))
+    return spark.createDataFrame(data, schema=struct)
+
+
 def time_grid(spark: SparkSession, start: datetime, end: datetime, step: int | str,
               name: str = "time") -> DataFrame:
     """One row per step from ``start`` up to but excluding ``end``, generated in parallel."""

@@ -12,6 +12,7 @@ from bucketwise.operators.topk import top_tuples
 from bucketwise.plans.charts import Chart, rated
 from bucketwise.plans.spec import RunContext, compile_query, from_table
 from bucketwise.sources import sqltext
+from bucketwise.sources.tables import local_rows
 from suite.registry import EVENTS_FROM, EVENTS_TO, NOW, register, table, views
 from suite.sources_and_fields import context
 
@@ -42,7 +43,7 @@ def _(spark, folder):
     inside = [F.when(F.expr(flt.TimeRange(p).resolve(NOW).clause("ts")), F.lit(p)) for p in flt.PRESETS]
     counted = (events.select(F.explode(F.array_compact(F.array(*inside))).alias("preset"))
                .groupBy("preset").agg(F.count("*").alias("n")))
-    names = events.sparkSession.createDataFrame([(p,) for p in flt.PRESETS], "preset string")
+    names = local_rows(spark, [(p,) for p in flt.PRESETS], "preset string")
     return names.join(counted, "preset", "left").select("preset", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -10,6 +10,7 @@ from bucketwise.functions import scalars as sc
 from bucketwise.functions.buckets import epoch_seconds, from_epoch_seconds
 from bucketwise.operators import order, shape, topk
 from bucketwise.operators.profile import continuous_stats
+from bucketwise.sources.tables import local_rows
 from bucketwise.plans.spec import compile_query, from_table
 from suite.registry import register, table
 from suite.sources_and_fields import context
@@ -150,7 +151,7 @@ def _(spark, folder):
 SELECT s.status, count(o.o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status)
 LEFT JOIN orders o ON o.o_orderstatus = s.status GROUP BY 1""")
 def _(spark, folder):
-    wanted = spark.createDataFrame([(v,) for v in "FOPX"], "status string")
+    wanted = local_rows(spark, [(v,) for v in "FOPX"], "status string")
     counted = table(spark, folder, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     return wanted.join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -16,7 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+        "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": "10000", "spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
