@@ -208,12 +208,19 @@ def truncate_fields(*names: str) -> Processor:
     return run
 
 
-def text_pattern(pattern: str, replacement: str) -> Processor:
-    """Replace every match of a regular expression in text fields."""
+def text_pattern(pattern: str, replacement: str, needs: str | None = None) -> Processor:
+    """Replace every match of a regular expression in text fields.
+
+    ``needs`` is a literal every match contains; texts without it skip the pattern.
+    """
+    def replaced(text: Column) -> Column:
+        out = F.regexp_replace(text, pattern, replacement)
+        return F.when(text.contains(needs), out).otherwise(text) if needs else out
+
     def run(value: Value):
         if not value.is_text:
             return value
-        return value.text(F.regexp_replace(value.col, pattern, replacement))
+        return value.text(let(value.col, replaced) if needs else replaced(value.col))
 
     return run
 
@@ -353,11 +360,14 @@ def redact_random_tokens(threshold: float, min_bytes: int) -> Processor:
         return F.when(random, F.lit(SECRET)).otherwise(token)
 
     def cleaned(text: Column) -> Column:
-        # A long token shows as a run of characters; with multi-byte characters the run
-        # may be as short as a quarter of its bytes.
-        run = lambda n: text.rlike(f"[^{_SPACE}]{{{n}}}")
-        one_byte_each = F.octet_length(text) == F.length(text)
-        candidate = F.when(one_byte_each, run(needed)).otherwise(run(-(-needed // 4)))
+        # A long token shows as a run of characters, shorter where characters take
+        # several bytes.
+        run = lambda width: text.rlike(f"[^{_SPACE}]{{{-(-needed // width)}}}")
+        candidate = (
+            F.when(F.octet_length(text) == F.length(text), run(1))
+            .when(text.rlike("[^\\x{0}-\\x{FFFF}]"), run(4))
+            .when(text.rlike("[^\\x{0}-\\x{7FF}]"), run(3))
+            .otherwise(run(2)))
         pieces = F.regexp_extract_all(text, token_or_space, F.lit(0))
         return F.when(candidate, F.array_join(F.transform(pieces, redacted), "")).otherwise(text)
 
@@ -376,15 +386,19 @@ def _run_before(chars: str, mark: str) -> str:
 
 
 _WORD = "0-9A-Za-z_"
-_BEGIN, _END = f"(?<![{_WORD}])", f"(?![{_WORD}])"
+# Word boundaries on ASCII letters, digits and underscore. The one at the beginning is
+# tested after a first matching character, which rules out most positions cheaply.
+_BEGUN, _END = f"(?<![{_WORD}].)", f"(?![{_WORD}])"
+_HEX = "0-9a-fA-F"
 _DOMAIN = "[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}"
 
 # What the default rules look for and put in place.
-EMAIL = (_run_before("a-zA-Z0-9._%+\\-", "@") + _DOMAIN, "<EMAIL>")
-EMAIL_ENCODED = (_run_before("a-zA-Z0-9._+\\-", "%40") + _DOMAIN, "<EMAIL>")
-IPV4 = (f"{_BEGIN}(?:\\d{{1,3}}\\.){{3}}\\d{{1,3}}{_END}", "<IP>")
-IPV6 = (f"{_BEGIN}(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}{_END}", "<IP6>")
-IBAN = (f"{_BEGIN}[A-Z]{{2}}\\d{{2}}[A-Z0-9]{{4}}\\d{{7,}}{_END}", "<IBAN>")
+EMAIL = (_run_before("a-zA-Z0-9._%+\\-", "@") + _DOMAIN, "<EMAIL>", "@")
+EMAIL_ENCODED = (_run_before("a-zA-Z0-9._+\\-", "%40") + _DOMAIN, "<EMAIL>", "%40")
+IPV4 = (f"\\d{_BEGUN}\\d{{0,2}}\\.(?:\\d{{1,3}}\\.){{2}}\\d{{1,3}}{_END}", "<IP>", ".")
+IPV6 = (f"[{_HEX}]{_BEGUN}[{_HEX}]{{0,3}}:(?:[{_HEX}]{{1,4}}:){{6}}[{_HEX}]{{1,4}}{_END}", "<IP6>", ":")
+IBAN = (f"[A-Z]{_BEGUN}[A-Z]\\d{{2}}[A-Z0-9]{{4}}\\d{{7,}}{_END}", "<IBAN>", None)
+PATTERNS = (EMAIL, EMAIL_ENCODED, IPV4, IPV6, IBAN)
 
 EMAIL_COLUMNS = ("email", "user_email", "email_address")
 IP_COLUMNS = ("ip", "ip_address", "remote_addr", "remote_ip", "client_ip", "request__remote_ip",
@@ -402,6 +416,6 @@ def default_rules() -> Processor:
     rules.update({name: replace_with("REDACTED") for name in AGENT_COLUMNS})
     return chain(
         by_column(rules),
-        *[text_pattern(pattern, mark) for pattern, mark in (EMAIL, EMAIL_ENCODED, IPV4, IPV6, IBAN)],
+        *[text_pattern(*rule) for rule in PATTERNS],
         redact_random_tokens(ENTROPY_BITS, ENTROPY_BYTES),
     )

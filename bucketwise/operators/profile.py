@@ -107,12 +107,18 @@ def bucket_samples(df: DataFrame, dims: Sequence[str], config: ProfileConfig) ->
     Columns: the dims, ``count``, ``sample_no`` and ``sample`` (a struct without the
     skipped columns). The tuples are at most ``bucket_limit`` rows, hence broadcast.
     """
-    top = top_tuples(df, dims, config.bucket_limit, "__count")
     names = [f"__d{i}" for i in range(len(dims))]
-    wanted = F.broadcast(top.select(*[F.col(quote(d)).alias(n) for d, n in zip(dims, names)], "__count"))
+    ts = time_column(df, config.ts)
+    if ts:
+        top = _top_tuples_with_newest_days(df, dims, ts, config)
+    else:
+        top = top_tuples(df, dims, config.bucket_limit, "__count").withColumn("__since", F.lit(None).cast("date"))
+    wanted = F.broadcast(top.select(*[F.col(quote(d)).alias(n) for d, n in zip(dims, names)], "__count", "__since"))
     kept = [c for c in df.columns if c not in config.skip]
-    base = df.select(*[F.col(quote(c)) for c in dict.fromkeys([*kept, *dims])])
+    base = df.select(*[F.col(quote(c)) for c in dict.fromkeys([*kept, *dims, *([ts] if ts else [])])])
     on = [base[d].eqNullSafe(wanted[n]) for d, n in zip(dims, names)]
+    if ts:
+        on.append(wanted["__since"].isNull() | (F.to_date(base[ts]) >= wanted["__since"]))
     matched = base.join(wanted, on)
     newest = latest_k(matched, dims, sample_order(base, config), config.samples_per_bucket, "sample_no")
     return newest.select(
@@ -120,6 +126,25 @@ def bucket_samples(df: DataFrame, dims: Sequence[str], config: ProfileConfig) ->
         F.struct(*[F.col(quote(c)) for c in kept]).alias("sample"))
 
 
+def _top_tuples_with_newest_days(df: DataFrame, dims: Sequence[str], ts: str, config: ProfileConfig) -> DataFrame:
+    """Most frequent tuples, each with the day that its newest samples reach back to.
+
+    Counts per tuple and day tell where the samples lie, so that the sampling pass
+    sorts the rows of a few days instead of all rows. Without such a day (NULL) every
+    row of the tuple is looked at.
+    """
+    cols = [F.col(quote(d)) for d in dims]
+    daily = df.groupBy(*cols, F.to_date(F.col(quote(ts))).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    newest_first = Window.partitionBy(*cols).orderBy(F.col("__day").desc_nulls_last())
+    enough = F.sum("__n").over(newest_first) >= config.samples_per_bucket
+    return (
+        daily.withColumn("__enough", enough).groupBy(*cols)
+        .agg(F.sum("__n").alias("__count"), F.max(F.when(F.col("__enough"), F.col("__day"))).alias("__since"))
+        .orderBy(F.col("__count").desc(), *[c.asc_nulls_last() for c in cols])
+        .limit(config.bucket_limit)
+    )
+
+
 def profile_table(df: DataFrame, name: str, now: datetime, config: ProfileConfig = ProfileConfig()) -> Profile:
     """Profile a table. Only one row of cardinalities reaches the driver."""
     if config.recent or config.where:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bucketwise.operators import anonymize as an
+from bucketwise.sources.tables import spread
 from suite.registry import register, table
 
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -51,13 +52,13 @@ def _(spark, folder):
 
 @register("an4_text_patterns", f"SELECT doc_id, {masked_sql('text')} AS text FROM documents")
 def masked_documents(spark, folder):
-    rules = an.chain(*[an.text_pattern(p, m) for p, m in (an.EMAIL, an.EMAIL_ENCODED, an.IPV4, an.IPV6, an.IBAN)])
-    return an.anonymize(table(spark, folder, "documents").select("doc_id", "text"), rules)
+    rules = an.chain(*[an.text_pattern(*rule) for rule in an.PATTERNS])
+    return an.anonymize(spread(table(spark, folder, "documents").select("doc_id", "text")), rules)
 
 
 @register("an5_random_tokens", f"SELECT doc_id, {secrets_sql('text')} AS text FROM documents")
 def _(spark, folder):
-    return an.anonymize(table(spark, folder, "documents").select("doc_id", "text"), an.redact_random_tokens(4.8, 12))
+    return an.anonymize(spread(table(spark, folder, "documents").select("doc_id", "text")), an.redact_random_tokens(4.8, 12))
 
 
 @register("an6_entropy", """
@@ -88,17 +89,17 @@ def _(spark, folder):
 @register("an10_default_rules_documents", f"""
 SELECT doc_id, lang, source, {secrets_sql('masked')} AS text FROM (SELECT *, {masked_sql('text')} AS masked FROM documents)""")
 def default_documents(spark, folder):
-    return an.anonymize(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), an.default_rules())
+    return an.anonymize(spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text")), an.default_rules())
 
 
 @register("an10_default_rules_conversations", f"""
 SELECT conv_id, turn, role, {secrets_sql('masked')} AS text FROM (SELECT *, {masked_sql('text')} AS masked FROM conversations)""")
 def _(spark, folder):
-    return an.anonymize(table(spark, folder, "conversations"), an.default_rules())
+    return an.anonymize(spread(table(spark, folder, "conversations")), an.default_rules())
 
 
 @register("an10_default_rules_pages", f"""
 SELECT page_id, {secrets_sql('u')} AS url, {secrets_sql('h')} AS html FROM (
   SELECT page_id, {masked_sql('url')} AS u, {masked_sql('html')} AS h FROM pages)""")
 def _(spark, folder):
-    return an.anonymize(table(spark, folder, "pages"), an.default_rules())
+    return an.anonymize(spread(table(spark, folder, "pages")), an.default_rules())
