@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from bucketwise.functions.buckets import per_second
 from bucketwise.functions.fields import Field, auto_bucket, count, enum, quote
 from bucketwise.functions.schema import CATEGORICAL, TEMPORAL, first_of_class
+from bucketwise.operators.filters import FilterState
 from bucketwise.operators.series import order_categories, share, stack_positions, value_bins
 from bucketwise.plans.spec import Compiled, Query, QuerySpec, RunContext, compile_query, from_table, query_from_dict
 from bucketwise.sources.sqltext import SqlText
@@ -125,6 +127,13 @@ class Chart:
             out = replace(out, df=value_bins(out.df, self.y.alias, self.y_bin))
         return out
 
+    def over(self, df: DataFrame, now: datetime, filters: FilterState = FilterState(), ts: str = "timestamp",
+             zone: str = "UTC") -> Compiled:
+        """Run the chart over a DataFrame instead of a named table."""
+        query = self.query if isinstance(self.query, QuerySpec) else QuerySpec()
+        chart = replace(self, query=replace(query, table="__source"))
+        return chart.run(RunContext(df.sparkSession, now, filters, {"__source": df}, ts, zone))
+
     # -- JSON -------------------------------------------------------------------
     def to_dict(self) -> dict:
         names = _STORED.get(self.type, {})

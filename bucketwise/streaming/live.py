@@ -94,44 +94,56 @@ def alert_writer(definitions: Sequence[AlertDefinition], log: AlertLog,
 
 
 class _ChangeState(StatefulProcessor):
-    """Remembers status and day of the last kept result of one alert."""
+    """Remembers the last kept status of one alert on one day, until that day is over."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("status", T.StringType()), T.StructField("day", T.StringType())])
-        self._last = handle.getValueState("last", schema)
+        self._handle = handle
+        self._last = handle.getValueState("last", T.StructType([T.StructField("status", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        last = self._last.get() if self._last.exists() else (None, None)
-        batch = pd.concat(list(rows)).sort_values("timestamp")
-        kept = []
-        for row in batch.itertuples(index=False):
-            day = str(row.timestamp.date())
-            if (row.status, day) != tuple(last):
-                kept.append((*key, row.timestamp, row.status, row.message,
-                             "change" if last[1] == day else "daily"))
-                last = (row.status, day)
-        if kept:
-            self._last.update(last)
-            yield pd.DataFrame(kept, columns=[*ID, "timestamp", "status", "message", "reason"])
+        known = self._last.get()[0] if self._last.exists() else None
+        day = pd.concat(list(rows)).sort_values("timestamp").reset_index(drop=True)
+        previous = day["status"].shift(fill_value=known) if known else day["status"].shift()
+        changed = day[day["status"] != previous].copy()
+        if len(changed):
+            first = previous[changed.index[0]]
+            changed["reason"] = "change"
+            if first is None or first != first:
+                changed.iloc[0, changed.columns.get_loc("reason")] = "daily"
+            if known is None:
+                self._handle.registerTimer(_day_end_ms(key[-1]))
+            self._last.update((changed["status"].iloc[-1],))
+            yield changed[[*ID, "timestamp", "status", "message", "reason"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        self._last.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
+def _day_end_ms(day) -> int:
+    return int(pd.Timestamp(day).timestamp() + 86400) * 1000
+
+
 CHANGE_SCHEMA = ("alert_id_group string, alert_id_key string, timestamp timestamp_ntz, status string, "
                  "message string, reason string")
 
 
-def change_feed(results: DataFrame) -> DataFrame:
+def change_feed(results: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Keep a stream's status changes and the first result of each day, per alert.
 
-    State is one small value per alert. A key's rows in one micro-batch are its ticks
-    since the last trigger, so they stay few.
+    The first result of a day is always kept, so state and work are keyed by alert and
+    day: one small value each, and at most a day of ticks (one per minute) per group,
+    even when a long backlog arrives in one batch. State is dropped once the watermark
+    (the newest result minus ``lateness``) has passed the day.
     """
-    rows = results.select(*ID, "timestamp", "status", "message")
-    return rows.groupBy(*ID).transformWithStateInPandas(
+    rows = results.select(*ID, "timestamp", "status", "message", F.to_date("timestamp").alias("day"),
+                          F.col("timestamp").cast("timestamp").alias("event_time"))
+    return rows.withWatermark("event_time", lateness).groupBy(*ID, "day").transformWithStateInPandas(
         statefulProcessor=_ChangeState(), outputStructType=CHANGE_SCHEMA, outputMode="append",
-        timeMode="None")
+        timeMode="EventTime")
 
 
 def anonymize_stream(rows: DataFrame, chain: Processor) -> DataFrame:
