@@ -99,13 +99,18 @@ class AlertLog:
 
     def append(self, kept: DataFrame) -> None:
         """One bulk write per run."""
-        rows = kept.select(*ID, "timestamp", "status", "message", F.to_date("timestamp").alias("event_date"))
-        rows.write.mode("append").partitionBy("event_date").parquet(self.path)
+        self._write(kept, "append")
 
     def replace(self, kept: DataFrame) -> None:
         """Clear the log and store a recomputed range."""
+        self._write(kept, "overwrite")
+
+    def _write(self, kept: DataFrame, mode: str) -> None:
         rows = kept.select(*ID, "timestamp", "status", "message", F.to_date("timestamp").alias("event_date"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("event_date").parquet(self.path)
+        # Few files per day, while a day with very many rows is still split.
+        balanced = rows.hint("rebalance", F.col("event_date"))
+        (balanced.write.mode(mode).option("partitionOverwriteMode", "static")
+         .partitionBy("event_date").parquet(self.path))
 
     def clear(self) -> None:
         empty = self.spark.createDataFrame([], EVENT_SCHEMA)

@@ -22,7 +22,10 @@ def load_into(df: DataFrame, target: str, mode: str = "append", partition_by: Se
     """Insert rows into a table (by name) or a Parquet folder (by path).
 
     ``sort_by`` orders rows inside each written file, so that readers skip row groups.
+    Partitioned writes are balanced: few files per value, and large values split.
     """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(quote(c)) for c in partition_by])
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write.mode(mode)

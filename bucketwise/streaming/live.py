@@ -7,6 +7,7 @@ one to the end of its input, which is also how a bounded backlog is caught up.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -151,16 +152,38 @@ def anonymize_stream(rows: DataFrame, chain: Processor) -> DataFrame:
     return anonymize(rows, chain)
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process everything there is, then return what was written.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Output and progress go to the shared folder, so a restarted job continues.
+
+@contextmanager
+def large_state(spark: SparkSession) -> Iterator[None]:
+    """Start streams with state on local disk (RocksDB), as custom state needs it.
+
+    A query reads this setting when it starts; the session gets its own back.
+    """
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append", base: str | None = None,
+                  custom_state: bool = False) -> DataFrame:
+    """Process everything there is, then return what was written so far.
+
+    Output and progress go to the shared folder; a run with the same ``base``
+    continues where the last one ended. ``custom_state`` is needed for change feeds.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, label)
-    query = (stream.writeStream.outputMode(mode).format("parquet")
-             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress")
-             .trigger(availableNow=True).start())
+    base = base or scratch_path(spark, label)
+    writer = (stream.writeStream.outputMode(mode).format("parquet")
+              .option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress")
+              .trigger(availableNow=True))
+    with large_state(spark) if custom_state else nullcontext():
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -168,9 +191,9 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 def run_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, int], None], mode: str) -> None:
     """Like :func:`run_available` for ``foreachBatch`` functions (updates included)."""
     base = scratch_path(stream.sparkSession, label)
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
-    query.awaitTermination()
+    writer = (stream.writeStream.outputMode(mode).foreachBatch(write)
+              .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True))
+    writer.start().awaitTermination()
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",

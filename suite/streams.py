@@ -11,6 +11,7 @@ from bucketwise.alerting.log import AlertLog
 from bucketwise.functions.buckets import Width
 from bucketwise.operators import anonymize as an
 from bucketwise.session import scratch_path
+from bucketwise.sources.tables import time_grid
 from bucketwise.streaming import live
 from suite.registry import register, table
 
@@ -75,8 +76,13 @@ FROM grid LEFT JOIN c USING (time) WHERE {FINAL.replace('time +', 'grid.time +')
 def _(spark, folder):
     events = event_stream(spark, folder)
     wanted = events.where("event_type = 'error' AND value > 60")
-    # Any event of the stream serves as heartbeat here; in production a rate source does.
-    metric = live.live_metric(live.with_heartbeat(wanted, events.select("ts"), "ts"), "ts", "1 hour", LATE, "sum(weight)")
+    # One beat per hour between the first and the last event; in production a rate source does this.
+    ends = table(spark, folder, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    path, first = scratch_path(spark, "beats"), ends.lo.replace(minute=0, second=0, microsecond=0)
+    beats = time_grid(spark, first, ends.hi, "1 hour", "ts").select("ts")
+    beats.write.parquet(path)
+    beat_stream = live.file_stream(spark, path, beats.schema)
+    metric = live.live_metric(live.with_heartbeat(wanted, beat_stream, "ts"), "ts", "1 hour", LATE, "sum(weight)")
     return live.run_available(metric, "heartbeat")
 
 
@@ -94,7 +100,7 @@ def _(spark, folder):
     path = scratch_path(spark, "results")
     results.write.parquet(path)
     feed = live.change_feed(live.file_stream(spark, path, results.schema))
-    return live.run_available(feed, "change-feed").drop("message")
+    return live.run_available(feed, "change-feed", custom_state=True).drop("message")
 
 
 @register("st5_late_rows_dropped", f"""
@@ -106,17 +112,11 @@ def _(spark, folder):
     events.write.parquet(path)
     first = live.live_series(live.file_stream(spark, path, events.schema), "ts", [], "1 hour", LATE)
     base = scratch_path(spark, "late-run")
-    _drain(first, base)
+    live.run_available(first, "late", base=base)
     newest = events.agg(F.max("ts")).first()[0]
     late = events.where(F.col("ts") < F.lit(newest - timedelta(days=2)).cast("timestamp_ntz"))
     late.write.mode("append").parquet(path)
-    _drain(first, base)
-    return spark.read.schema(first.schema).parquet(f"{base}/out")
-
-
-def _drain(stream, base):
-    (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-     .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination())
+    return live.run_available(first, "late", base=base)
 
 
 @register("st6_startup_evaluation", """

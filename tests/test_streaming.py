@@ -37,7 +37,7 @@ def test_change_feed_equals_batch_over_several_triggers(spark):
         spark.createDataFrame(part, RESULTS).coalesce(1).write.mode("append").parquet(path)
         spark.range(1).count()
     stream = live.file_stream(spark, path, spark.createDataFrame(rows[:1], RESULTS).schema, files_per_trigger=1)
-    got = live.run_available(live.change_feed(stream), "feed")
+    got = live.run_available(live.change_feed(stream), "feed", custom_state=True)
     want = changes(spark.createDataFrame(rows, RESULTS))
     columns = ["alert_id_key", "timestamp", "status", "reason"]
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0
