@@ -7,12 +7,14 @@ import posixpath
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field as dc_field
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bucketwise.alerting.ticks import parse_cron
 from bucketwise.functions.buckets import Width
-from bucketwise.operators.filters import NO_FILTER
+from bucketwise.functions.fields import quote
+from bucketwise.operators.filters import NO_FILTER, sql_literal
 from bucketwise.sources.sqltext import FILTERS_TOKEN
 from bucketwise.sources.tables import local_rows
 
@@ -63,6 +65,8 @@ class AlertDefinition:
     value_lt: float | None = None
     message: str = ""
     check_every: str = "@15minutes"
+    # Time column behind ``{{FILTERS}}`` in the query text; bounds the scan.
+    ts: str | None = None
 
     @property
     def thresholds(self) -> dict[str, float]:
@@ -73,14 +77,22 @@ class AlertDefinition:
         return (self.id.group, self.id.key, self.width.seconds, self.width.offset_seconds, self.lag,
                 self.value_gt, self.value_lt, self.message, self.check_every)
 
-    def batch_sql(self) -> str:
-        """Text over all buckets; the marker stays a comment."""
-        return _terminated(self.query.replace(FILTERS_TOKEN, NO_FILTER))
+    def batch_sql(self, span: tuple[datetime, datetime] | None = None) -> str:
+        """Text over all buckets, or those of a time span; the marker stays a comment."""
+        return _terminated(self.query.replace(FILTERS_TOKEN, self._bounds(span)))
 
     def live_sql(self, bucket_ts: int) -> str:
-        """Text restricted to one bucket."""
+        """Text restricted to one bucket; only that bucket's rows are read."""
+        start = datetime(1970, 1, 1) + timedelta(seconds=bucket_ts)
+        bounds = self._bounds((start, start + timedelta(seconds=self.width.seconds)))
         text = self.query.replace(HAVING_MARK, "HAVING").replace(BUCKET_MARK, str(bucket_ts))
-        return _terminated(text.replace(FILTERS_TOKEN, NO_FILTER))
+        return _terminated(text.replace(FILTERS_TOKEN, bounds))
+
+    def _bounds(self, span: tuple[datetime, datetime] | None) -> str:
+        if span is None or self.ts is None:
+            return NO_FILTER
+        start, end = (sql_literal(s) for s in span)
+        return f"({quote(self.ts)} >= {start} AND {quote(self.ts)} < {end})"
 
 
 def _terminated(text: str) -> str:
@@ -131,7 +143,7 @@ def parse_definitions(path: str) -> list[AlertDefinition]:
         out.append(AlertDefinition(
             AlertId(path, key), width, lag, query, dict(body.get("params") or {}),
             _number(condition.get("value_gt")), _number(condition.get("value_lt")),
-            body.get("message") or "", check_every))
+            body.get("message") or "", check_every, body.get("time_column")))
     return out
 
 

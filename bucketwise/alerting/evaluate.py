@@ -78,9 +78,10 @@ def bucket_rows(metrics: DataFrame, keys: Sequence[str] = (*ID, "time_ts")) -> D
 
 # -- metrics ----------------------------------------------------------------------
 
-def sql_metrics(spark: SparkSession, definitions: Iterable[AlertDefinition]) -> DataFrame:
-    """Metric rows of alerts given as query texts, over all buckets."""
-    parts = {str(d.id): _metric(spark, d, d.batch_sql()) for d in definitions}
+def sql_metrics(spark: SparkSession, definitions: Iterable[AlertDefinition],
+                span: tuple[datetime, datetime] | None = None) -> DataFrame:
+    """Metric rows of alerts given as query texts, over all buckets or a time span."""
+    parts = {str(d.id): _metric(spark, d, d.batch_sql(span)) for d in definitions}
     tagged = union_tagged(parts, "alert_id")
     group = F.substring_index("alert_id", "#", 1)
     key = F.expr("substr(alert_id, locate('#', alert_id) + 1)")

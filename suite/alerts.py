@@ -25,7 +25,7 @@ def sql_definition(file: str, key: str, event_type: str, **condition) -> AlertDe
         text = handle.read()
     width, lag = bucket_header(text)
     return AlertDefinition(AlertId("checks", key), width, lag, text, {"event_type": event_type},
-                           message=f"{key} out of range", check_every="@15minutes", **condition)
+                           message=f"{key} out of range", check_every="@15minutes", ts="ts", **condition)
 
 
 def family(lag: int = 0, copies: int = 1) -> list[AlertDefinition]:

@@ -3,6 +3,6 @@ SELECT
     unix_timestamp(window(ts, '1 hour').start) AS time_ts,
     count(*) AS value
 FROM events
-WHERE event_type = :event_type
+WHERE {{FILTERS}} AND event_type = :event_type
 GROUP BY 1
 --HAVING-- time_ts = --BUCKET--

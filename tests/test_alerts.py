@@ -102,7 +102,7 @@ def test_threshold_rules(spark, n, value, gt, lt, status):
 def definition(key, lag=0, **condition):
     with open(f"{HERE}/fixtures/count.sql", encoding="utf-8") as handle:
         return dfn.AlertDefinition(dfn.AlertId("g", key), Width.parse("1 hour"), lag, handle.read(),
-                                   {"event_type": key}, message="m", check_every="@30minutes", **condition)
+                                   {"event_type": key}, message="m", check_every="@30minutes", ts="ts", **condition)
 
 
 def test_replay_equals_live_tick_by_tick(spark, events):
@@ -138,6 +138,18 @@ def test_live_evaluation_reads_one_bucket(events):
     assert "LessThan(ts,2024-01-05T10:15)" in plan
 
 
+def test_query_texts_are_bounded_too(spark, events):
+    events.createOrReplaceTempView("events")
+    d = definition("error", value_gt=1.0)
+    plan = plan_of(ev.evaluate_live(spark, [d], datetime(2024, 1, 5, 10, 17)))
+    assert "GreaterThanOrEqual(ts,2024-01-05T10:00)" in plan and "LessThan(ts,2024-01-05T11:00)" in plan
+    span = ev.replay_span([d], datetime(2024, 1, 10), datetime(2024, 1, 11))
+    whole, part = (ev.replay(spark, [d], ev.sql_metrics(spark, [d], s), datetime(2024, 1, 10), datetime(2024, 1, 11))
+                   for s in (None, span))
+    assert whole.exceptAll(part).count() == 0 and whole.count() == part.count() == 48
+    assert "1=1" in dfn.AlertDefinition(d.id, d.width, query=d.query).live_sql(0)
+
+
 # -- log ------------------------------------------------------------------------------------------
 
 RESULTS = "alert_id_group string, alert_id_key string, timestamp timestamp_ntz, status string, message string, value double"
