@@ -92,8 +92,11 @@ class Chart:
             if shape.time_axis and not self.x.is_time:
                 raise ValueError(f"{self.type}: x must be a time bucket")
 
-    def build(self) -> Query:
-        """The chart's query with its roles put in; the stored query stays unchanged."""
+    def build(self, ordered: bool = True) -> Query:
+        """The chart's query with its roles put in; the stored query stays unchanged.
+
+        Results that are processed further need no order, which saves a shuffle.
+        """
         self.check()
         query = self.query
         if isinstance(query, SqlText):
@@ -111,6 +114,8 @@ class Chart:
             # Series keys come first, so that each series is filled on its own.
             series = [self.field(r) for r in ("stroke", "z", "fill", "fx", "fy") if self.field(r)]
             order = [*series, self.x]
+        if not ordered and not self.fill_step:
+            return query
         return query.ordering(*order).filling(self.fill_step)
 
     def _stats_query(self, query: QuerySpec) -> QuerySpec:
@@ -121,8 +126,8 @@ class Chart:
                         for m in measures)
         return replace(query, select=(self.title, *rounded)).grouping(self.title)
 
-    def run(self, ctx: RunContext) -> Compiled:
-        out = compile_query(self.build(), ctx)
+    def run(self, ctx: RunContext, ordered: bool = True) -> Compiled:
+        out = compile_query(self.build(ordered), ctx)
         if self.type == "timeHeatmap" and self.y_bin:
             out = replace(out, df=value_bins(out.df, self.y.alias, self.y_bin))
         return out
@@ -245,11 +250,13 @@ def rated(result: Compiled, y: str) -> DataFrame:
 
 def stacked(chart: Chart, result: Compiled, order: str = "input", reverse: bool = False,
             expand: bool = False) -> DataFrame:
+    """Bars stacked per bucket; ``result`` may be unordered."""
     facets = [f.alias for f in (chart.fx, chart.fy) if f]
     return stack_positions(result.df, chart.x.alias, chart.fill.alias, chart.y.alias, order, reverse, facets, expand)
 
 
 def shares(chart: Chart, result: Compiled) -> DataFrame:
+    """Each bar's part of its bucket; ``result`` may be unordered."""
     return share(result.df, chart.y.alias, [f.alias for f in (chart.x, chart.fx, chart.fy) if f])
 
 

@@ -133,7 +133,7 @@ def _(spark, folder):
 SELECT event_type, time, cnt, round(cnt / sum(cnt) OVER (PARTITION BY time), 8) AS share FROM ({HOURLY_SQL})""")
 def _(spark, folder):
     chart = hourly_bar()
-    return shares(chart, chart.run(context(spark, folder, "events"))).withColumn("share", F.round("share", 8))
+    return shares(chart, chart.run(context(spark, folder, "events"), ordered=False)).withColumn("share", F.round("share", 8))
 
 
 def _stack_sql(order: str, rank: str) -> str:
@@ -148,7 +148,7 @@ def _stack_sql(order: str, rank: str) -> str:
     _stack_sql(o, r) for o, r in (("sum", "total"), ("value", "cnt"), ("appearance", "top_time"), ("input", "1"))))
 def _(spark, folder):
     chart = hourly_bar()
-    result = chart.run(context(spark, folder, "events"))
+    result = chart.run(context(spark, folder, "events"), ordered=False)
     kinds = {o: stacked(chart, result, o) for o in ("sum", "value", "appearance", "input")}
     return union_tagged(kinds, "kind").select("kind", "event_type", "time", "cnt", "y1", "y2")
 
@@ -160,7 +160,7 @@ SELECT event_type, time, cnt, round((y - cnt) / tot, 8) AS y1, round(y / tot, 8)
   FROM (SELECT *, sum(cnt) OVER (PARTITION BY event_type) AS total FROM ({HOURLY_SQL})))""")
 def _(spark, folder):
     chart = hourly_bar()
-    out = stacked(chart, chart.run(context(spark, folder, "events")), "sum", reverse=True, expand=True)
+    out = stacked(chart, chart.run(context(spark, folder, "events"), ordered=False), "sum", reverse=True, expand=True)
     return out.withColumns({"y1": F.round("y1", 8), "y2": F.round("y2", 8)})
 
 

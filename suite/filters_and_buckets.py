@@ -256,5 +256,5 @@ def _(spark, folder):
 SELECT date_trunc('hour', ts) AS time, round(count(*) / 3600.0, 8) AS cnt FROM events WHERE {IN_MONTH} GROUP BY 1""")
 def _(spark, folder):
     chart = Chart("timeBar", from_table("events"), x=fld.auto_bucket("ts"), y=fld.count())
-    out = rated(chart.run(context(spark, folder, "events")), "cnt")
+    out = rated(chart.run(context(spark, folder, "events"), ordered=False), "cnt")
     return out.withColumn("cnt", F.round("cnt", 8))

@@ -125,6 +125,21 @@ def test_one_pass_over_the_table(ctx):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan
 
 
+def test_processed_results_skip_the_sort(ctx):
+    chart = ch.Chart("timeBar", from_table("events"), x=TIME, y=CNT, fill=ALL["fill"])
+    plan = plan_of(ch.shares(chart, chart.run(ctx, ordered=False)))
+    assert plan.count("FileScan") == 1 and "rangepartitioning" not in plan
+
+
+def test_chart_over_a_frame(events):
+    from datetime import timedelta
+
+    chart = ch.Chart("timeBar", x=TIME, y=CNT)
+    span = FilterState(TimeRange(start=NOW - timedelta(days=1), end=NOW))
+    result = chart.over(events, NOW, span, ts="ts")
+    assert result.bucket_ms == 300_000 and result.df.columns == ["time", "cnt"] and chart.query is None
+
+
 def test_filters_without_a_range_use_the_default_width(ctx, spark, events):
     open_ctx = RunContext(spark, NOW, tables={"events": events}, ts="ts")
     assert ch.Chart("timeBar", from_table("events"), x=TIME, y=CNT).run(open_ctx).bucket_ms == 900_000
