@@ -28,24 +28,31 @@ def build_session(app: str = "bucketwise", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getCheckpointDir())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a fresh temporary
-    folder is chosen and registered as the checkpoint directory.
+    The cluster owns the folder and clears it; ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    removes checkpoints that are no longer referenced. Without the setting this raises: a folder of
+    one machine would lose what other machines write.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not current:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bucketwise-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    folder = _configured(spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def choose_local_dir(spark: SparkSession) -> None:
+    """For entry points: give a session on one machine a shared folder if its owner has named none."""
+    if not _configured(spark) and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,6 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bucketwise-tests-"),
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": "10000", "spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
