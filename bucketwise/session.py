@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -55,6 +57,22 @@ def choose_local_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
 
 
+def ship_code(spark: SparkSession, *more: str) -> None:
+    """Give this package, and modules or packages next to it, to the Python workers (once per application)."""
+    context = spark.sparkContext
+    if getattr(context, "_bucketwise_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="bucketwise-")) / "bucketwise_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for name in (Path(__file__).resolve().parent.name, *more):
+            for file in [root / f"{name}.py", *sorted((root / name).rglob("*.py"))]:
+                if file.exists():
+                    out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._bucketwise_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
