@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 3 << 20
 
 # White space of the word rule [^\x20\x09-\x0D]+.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
@@ -103,7 +103,7 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(data)
-    inner = ~_SPACE[data]
+    inner = ~SPACES[data]
     begin, end = inner.copy(), inner.copy()
     begin[1:] &= ~inner[:-1]
     end[:-1] &= ~inner[1:]
@@ -177,9 +177,9 @@ def joined_digests(w: Words, keep: np.ndarray | None = None) -> list[str]:
     """SHA-256 (hex) of each text's kept words joined by one space."""
     n = len(w.first) - 1
     data = w.data.copy()
-    data[_SPACE[data]] = 0x20
+    data[SPACES[data]] = 0x20
     if keep is None:
-        mask, kept_starts, kept_ends = ~_SPACE[w.data], w.starts, w.ends
+        mask, kept_starts, kept_ends = ~SPACES[w.data], w.starts, w.ends
         first = w.first
     else:
         edge = np.zeros(len(data) + 1, np.int8)

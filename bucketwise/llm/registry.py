@@ -10,6 +10,8 @@ from bucketwise.llm.chat import format_turns, read_back
 from bucketwise.llm.count import count_tokens
 from bucketwise.llm.encode import encode_documents
 from bucketwise.llm.pack import pack_documents
+from bucketwise.llm.passages import remove_repeats
+from bucketwise.llm.quality import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +20,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents"))
+
+
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"))
 
@@ -37,10 +43,16 @@ def formatted(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(more)))
 
 
+def ruled(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_table(spark, folder, "documents")).drop("host", "text_hash", "removed_lines")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": without_repeats,
     "op5_bpe_two_tier": encoded,
     "op6_packing_best_fit": packed,
     "op7_token_counts": counted,
     "op8_chat_format": formatted,
+    "op10_quality_rules": ruled,
 }
 ORACLE: dict[str, str] = {}
