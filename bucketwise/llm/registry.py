@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bucketwise.llm.chat import format_turns, read_back
 from bucketwise.llm.count import count_tokens
 from bucketwise.llm.encode import encode_documents
+from bucketwise.llm.minhash import keep_one
 from bucketwise.llm.pack import pack_documents
 from bucketwise.llm.passages import remove_repeats
 from bucketwise.llm.quality import quality_rules
@@ -24,6 +25,10 @@ def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_table(spark, folder, "documents"))
 
 
+def without_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return keep_one(_table(spark, folder, "documents"), width=3, percent=85)
+
+
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"))
 
@@ -49,6 +54,7 @@ def ruled(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": without_repeats,
+    "op3_minhash_near_dedup": without_near_copies,
     "op5_bpe_two_tier": encoded,
     "op6_packing_best_fit": packed,
     "op7_token_counts": counted,
