@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bucketwise.llm.chat import format_turns, read_back
 from bucketwise.llm.count import count_tokens
+from bucketwise.llm.embeddings import linked_vectors
 from bucketwise.llm.encode import encode_documents
 from bucketwise.llm.minhash import keep_one
 from bucketwise.llm.pack import pack_documents
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_vectors(_table(spark, folder, "embeddings"))
+
+
 def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_table(spark, folder, "documents"))
 
@@ -53,6 +58,7 @@ def ruled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_near_dedup": near_vectors,
     "op2_substring_dedup": without_repeats,
     "op3_minhash_near_dedup": without_near_copies,
     "op5_bpe_two_tier": encoded,
