@@ -14,6 +14,7 @@ from bucketwise.llm.minhash import keep_one
 from bucketwise.llm.pack import pack_documents
 from bucketwise.llm.passages import remove_repeats
 from bucketwise.llm.quality import quality_rules
+from bucketwise.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,10 @@ def without_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return keep_one(_table(spark, folder, "documents"), width=3, percent=85)
 
 
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": near_vectors,
     "op2_substring_dedup": without_repeats,
     "op3_minhash_near_dedup": without_near_copies,
+    "op4_toxicity": toxicity,
     "op5_bpe_two_tier": encoded,
     "op6_packing_best_fit": packed,
     "op7_token_counts": counted,
