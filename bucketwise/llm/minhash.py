@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bucketwise.llm.graph import components, saved
-from bucketwise.llm.passages import _keyed
+from bucketwise.llm.passages import with_nodes
 from bucketwise.llm.ragged import (chunks, hash_words, mix64, odd_constants, sequence_hashes, spans, text_bytes, window_hashes,
                                    window_starts, words)
 
@@ -122,9 +122,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
-    """node (doc, tag), n_shingles and component (a node) of every document; see ``_keyed`` for nodes."""
+    """node (doc, tag), n_shingles and component (a node) of every document; see ``with_nodes``."""
     rows = band_size(percent / 100)
-    keyed = _keyed(docs, id_column, text_column)
+    keyed = with_nodes(docs, id_column, text_column).select("doc", "tag", "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,3 +196,18 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str
 
     return found.select(number("node.doc").alias(id_column), "n_shingles", number("component.doc").alias("component_id"),
                         (F.col("node") == F.col("component")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
+                        text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the smallest of their component, each once."""
+    found = near_duplicates(docs, width, percent, id_column, text_column)
+    kept = found.where(F.col("node") == F.col("component")).select("node.doc", "node.tag").distinct()
+    rows = with_nodes(docs, id_column, text_column).select("doc", "tag", "row")
+    stay = rows.join(kept, ["doc", "tag"], "left_semi")
+    once = stay.groupBy("doc", "tag").agg(F.first("row").alias("row")) if _repeats(rows) else stay
+    return once.select("row.*")
+
+
+def _repeats(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc", "tag").count().where("count > 1").isEmpty()

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bucketwise.llm.ragged import (chunks, hash_words, joined_digests, sequence_hashes, spans, text_bytes, window_hashes,
                                    window_starts, words)
@@ -129,13 +130,14 @@ def _sorted_rows(rows: DataFrame) -> DataFrame:
     return rows.repartition("a").sortWithinPartitions("a", "b", "doc", "at")
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc (null: the smallest number), a number that tells rows with one id apart, and the text."""
+def with_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """All rows as: doc (a null id is the smallest number), tag (tells rows with one id apart), text, and the row itself."""
     ids = docs.select(F.col(id_column).cast("long").alias("doc"))
-    repeated = ids.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+    repeated = not ids.groupBy("doc").count().where("count > 1").isEmpty()
     tag = F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).bitwiseAND(0x7FFFFFFF) if repeated else F.lit(0)
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-2**63)).alias("doc"),
-                       tag.cast("long").alias("tag"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+                       tag.cast("long").alias("tag"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+                       F.struct(*docs.columns).alias("row"))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]):
@@ -181,17 +183,10 @@ def find_repeats(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return listed(settled.where("n < 0").unionByName(spark.read.parquet(path)))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, anchor: int | None = None, keep_text: bool = False,
-                   id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: words, removed words and the digest of the kept words joined by blanks.
-
-    With ``keep_text`` also the text without the removed words (other white space stays as it was)
-    and the removed spans of words.
-    """
+def _cut(docs: DataFrame, window: int, anchor: int | None, text_column: str, id_column: str, texts: bool) -> DataFrame:
     anchor = anchor or max(1, window * 2 // 5)
-    kind = dict(docs.dtypes)[id_column]
-    keyed = _keyed(docs, id_column, text_column)
-    repeats = find_repeats(keyed, window, anchor)
+    keyed = with_nodes(docs, id_column, text_column)
+    repeats = find_repeats(keyed.select("doc", "tag", "text"), window, anchor)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w, _, _ in _parts(batches):
@@ -206,25 +201,40 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int | None = None,
             np.subtract.at(edge, at + n + window - 1, 1)
             keep = np.cumsum(edge[:-1]) == 0
             removed = np.diff(np.concatenate([[0], np.cumsum(~keep)])[w.first])
-            columns = [part.column("doc"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()),
-                       pa.array(joined_digests(w, keep), pa.string())]
-            names = ["doc", "n_words", "n_removed", "kept_sha256"]
-            if keep_text:
-                gap = np.append(w.starts[1:], len(w.data))  # a removed word goes with the white space after it
-                gap = np.minimum(gap, w.offsets[1:][w.doc]) if len(gap) else gap
-                step = np.zeros(len(w.data) + 1, np.int64)
-                np.add.at(step, w.starts[~keep], 1)
-                np.subtract.at(step, gap[~keep], 1)
-                mask = np.cumsum(step[:-1]) == 0
-                data, ends = w.data[mask].tobytes(), np.concatenate([[0], np.cumsum(mask)])[w.offsets].tolist()
-                columns += [part.column("tag"), pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)],
-                                                         pa.string())]
-                names += ["tag", "kept_text"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", tag long, kept_text string" * keep_text
-    out = keyed.join(repeats, ["doc", "tag"], "left").mapInArrow(cut, schema)
-    if keep_text:
-        return out
-    return out.select(F.when(F.col("doc") != -2**63, F.col("doc")).cast(kind).alias(id_column), "n_words", "n_removed",
-                      "kept_sha256")
+            if not texts:
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array(joined_digests(w, keep), pa.string())], ["doc", "n_words", "n_removed", "kept_sha256"])
+                continue
+            gap = np.append(w.starts[1:], len(w.data))  # a removed word goes with the white space after it
+            gap = np.minimum(gap, w.offsets[1:][w.doc])
+            step = np.zeros(len(w.data) + 1, np.int64)
+            np.add.at(step, w.starts[~keep], 1)
+            np.subtract.at(step, gap[~keep], 1)
+            mask = np.cumsum(step[:-1]) == 0
+            data, ends = w.data[mask].tobytes(), np.concatenate([[0], np.cumsum(mask)])[w.offsets].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], pa.string()),
+                 pa.array(removed, pa.int64())], ["row", "kept_text", "n_removed"])
+
+    if not texts:
+        return (keyed.drop("row").join(repeats, ["doc", "tag"], "left")
+                .mapInArrow(cut, "doc long, n_words long, n_removed long, kept_sha256 string"))
+    schema = T.StructType([keyed.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    return keyed.join(repeats, ["doc", "tag"], "left").mapInArrow(cut, schema)
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, anchor: int | None = None, id_column: str = "doc_id",
+                   text_column: str = "text") -> DataFrame:
+    """Per document: words, removed words and the digest of the kept words joined by blanks."""
+    kind = dict(docs.dtypes)[id_column]
+    return _cut(docs, window, anchor, text_column, id_column, False).select(
+        F.when(F.col("doc") != -2**63, F.col("doc")).cast(kind).alias(id_column), "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, window: int = 20, anchor: int | None = None, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with repeated words taken out of their texts; other white space stays as it was."""
+    changed = _cut(docs, window, anchor, text_column, id_column, True)
+    return changed.select(*(F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row")[c]).alias(c)
+                            if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))

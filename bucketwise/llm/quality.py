@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bucketwise.llm.ragged import (SPACES, Words, chunks, hash_slices, hash_words, mix64, sequence_hashes, text_bytes,
                                    window_hashes, window_starts, words)
@@ -143,3 +144,38 @@ def quality_rules(docs: DataFrame, line_share: float = 0.25, line_docs: int = 10
             .select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                     "removed_words", F.coalesce("gone.line", F.array().cast("array<long>")).alias("removed_lines"),
                     "host", "text_hash"))
+
+
+def with_rules_applied(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
+                       **limits: float) -> DataFrame:
+    """The rows of kept documents, without their removed lines."""
+    found = quality_rules(docs, id_column=id_column, text_column=text_column, host_column=host_column, **limits)
+    kept = (found.where("kept").select(F.col(id_column).alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"),
+                                       "removed_lines").dropDuplicates(["d", "h", "t"]))
+    rows = docs.select(F.col(id_column).alias("doc"), F.coalesce(docs[host_column].cast("string"), F.lit("")).alias("host"),
+                       F.xxhash64(text_column).alias("hash"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(kept, F.col("doc").eqNullSafe(F.col("d")) & (F.col("host") == F.col("h")) & (F.col("hash") == F.col("t")))
+    whole = joined.where(F.size("removed_lines") == 0).select("row.*")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                w = words(*text_bytes(part.column("text")))
+                start, end, first, count, doc = lines_of(w)
+                norm = sequence_hashes(hash_words(w, lower=True), first, count).view(np.int64)
+                lists = part.column("removed_lines")
+                owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                gone = np.isin(_salted(norm.view(np.uint64), doc),
+                               _salted(lists.flatten().to_numpy().view(np.uint64), owner))
+                step = np.zeros(len(w.data) + 2, np.int64)
+                np.add.at(step, start[gone], 1)
+                np.subtract.at(step, np.minimum(end[gone] + 1, w.offsets[1:][doc[gone]]), 1)  # with its line break
+                mask = np.cumsum(step[:-2]) == 0
+                data, ends = w.data[mask].tobytes(), np.concatenate([[0], np.cumsum(mask)])[w.offsets].tolist()
+                text = pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), text], ["row", "kept_text"])
+
+    rowed = joined.where(F.size("removed_lines") > 0).select("row", F.col("row")[text_column].alias("text"), "removed_lines")
+    cut = rowed.mapInArrow(strip, T.StructType([rowed.schema["row"], T.StructField("kept_text", T.StringType())]))
+    return whole.unionByName(cut.select(*(F.col("kept_text").alias(c) if c == text_column else F.col("row")[c].alias(c)
+                                          for c in docs.columns)))

@@ -6,7 +6,9 @@ Features are kept that occur in toxic texts markedly more often than in unlabell
 classifiers over them minimise the risk  prior * R(toxic as toxic) + max(0, R(unlabelled as clean) -
 prior * R(toxic as clean)): the toxic part of the unlabelled text is taken out of its risk, and when that
 difference turns negative, the step goes the other way, so that the model can't gain by overfitting it.
-Several classifiers, each on its own order of the batches, are averaged.
+Several classifiers, each on its own order of the batches, are averaged. The limit between
+clean and toxic is where the same corrected risk, counted in wrong decisions, is least; the score there is
+``PASS_SCORE``.
 
 Training uses a bounded sample of rows (``MAX_TOXIC`` and ``MAX_UNLABELLED`` whole texts, chosen by a hash of
 their id); every text is scored whole.
@@ -24,13 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bucketwise.llm.ragged import Words, chunks, hash_slices, lowered, text_bytes, words
 
 MAX_TOXIC, MAX_UNLABELLED = 3000, 9000
-MAX_FEATURES = 8192
+MAX_FEATURES = 4096
 BEGINNINGS = (4, 5, 6)
-LIFT = 3.0
+LIFT = 5.0
+MIN_TEXTS, MIN_SHARE = 5, 0.012  # toxic texts that a feature must be in: number, and share of them
+PASS_SCORE = 0.7     # the score at the decision limit
 CLASSIFIERS = 3
 HELD_OUT = 1  # crc32 of the id as text, modulo 3
 
@@ -58,7 +63,7 @@ def select_features(toxic: list[np.ndarray], unlabelled: list[np.ndarray]) -> np
     if not toxic:
         return np.zeros(0, np.uint64)
     kinds, inside = np.unique(np.concatenate(toxic), return_counts=True)
-    often = inside >= max(2, 0.002 * len(toxic))
+    often = inside >= max(MIN_TEXTS, MIN_SHARE * len(toxic))
     kinds, inside = kinds[often], inside[often]
     outside = np.zeros(len(kinds))
     for features_of in unlabelled:
@@ -77,8 +82,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, batch: int = 512,
-          rate: float = 0.05, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decision_limit(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """Middle of the values at which the same corrected risk, of wrong decisions, is as small as it gets."""
+    at = np.linspace(min(toxic.min(), unlabelled.min()), max(toxic.max(), unlabelled.max()), 1001)
+    missed = np.searchsorted(np.sort(toxic), at) / len(toxic)
+    accused = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    risk = prior * missed + np.maximum(0, accused - prior * (1 - missed))
+    best = at[risk <= risk.min() + 0.005 * prior]
+    return float(best.mean())
+
+
+def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, batch: int = 1024,
+          rate: float = 0.1, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept features, the weights and the intercept of each classifier."""
     kept = select_features(toxic, unlabelled)
     prior = min(max(prior, 1e-3), 0.999)
@@ -113,7 +128,7 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s
 
         for step in range(1, steps + 1):
             p = [toxic[i] for i in random.integers(len(toxic), size=min(batch, 2 * len(toxic)))]
-            u = [unlabelled[i] for i in random.integers(len(unlabelled), size=min(2 * batch, 2 * len(unlabelled)))]
+            u = [unlabelled[i] for i in random.integers(len(unlabelled), size=min(batch, 2 * len(unlabelled)))]
             _, as_toxic = slope(p, 1.0)
             risk_p, as_clean = slope(p, -1.0)
             risk_u, all_clean = slope(u, -1.0)
@@ -124,7 +139,13 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s
             second += 0.001 * (grad * grad - second)
             theta -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
         weights[c], intercepts[c] = theta[:-1], theta[-1]
-    return kept, weights, intercepts
+
+    def mean_value(rows: list[np.ndarray]) -> np.ndarray:
+        return np.array([weights[:, row].sum(1) + intercepts for row in rows]).mean(1)
+
+    limit = decision_limit(mean_value(toxic), mean_value(unlabelled), prior)
+    shift = np.log(PASS_SCORE / (1 - PASS_SCORE))
+    return kept, 2 * weights, 2 * (intercepts - limit) + shift
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,12 +177,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     return train(toxic, unlabelled, prior if prior is not None else 0.0)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_column: str = "doc_id",
-                    text_column: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    kind = dict(docs.dtypes)[id_column]
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(learn(rows, labels))
+def with_scores(docs: DataFrame, labels: DataFrame, score_column: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) with one more column, the score."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, weights, intercepts = model.value
@@ -180,12 +198,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
                     at.append(place[good])
                 pair = np.unique(np.concatenate(own) * (len(kept) + 1) + np.concatenate(at))
                 own, at = np.divmod(pair, len(kept) + 1)
-                score = np.zeros(part.num_rows)
-                for weight, intercept in zip(weights, intercepts, strict=True):
-                    score += _sigmoid(np.bincount(own, weights=weight[at], minlength=part.num_rows) + intercept)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score / len(weights))], ["doc_id", "score"])
+                value = np.bincount(own, weights=weights.mean(0)[at], minlength=part.num_rows) + intercepts.mean()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_sigmoid(value))], [*part.schema.names, score_column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())]))
+
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = PASS_SCORE, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    scored = with_scores(rows, labels, "score")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == HELD_OUT
     return scored.select(F.col("doc_id").alias(id_column), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
