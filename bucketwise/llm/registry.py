@@ -10,6 +10,7 @@ from bucketwise.llm.chat import format_turns, read_back
 from bucketwise.llm.count import count_tokens
 from bucketwise.llm.embeddings import linked_vectors
 from bucketwise.llm.encode import encode_documents
+from bucketwise.llm.katz import score_texts
 from bucketwise.llm.minhash import keep_one
 from bucketwise.llm.pack import pack_documents
 from bucketwise.llm.passages import remove_repeats
@@ -58,6 +59,10 @@ def formatted(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(more)))
 
 
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(_table(spark, folder, "documents"))
+
+
 def ruled(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents")).drop("host", "text_hash", "removed_lines")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op6_packing_best_fit": packed,
     "op7_token_counts": counted,
     "op8_chat_format": formatted,
+    "op9_katz_scores": language_model,
     "op10_quality_rules": ruled,
 }
 ORACLE: dict[str, str] = {}
