@@ -34,7 +34,7 @@ MAX_TOXIC, MAX_UNLABELLED = 3000, 9000
 MAX_FEATURES = 4096
 BEGINNINGS = (4, 5, 6)
 LIFT = 5.0
-MIN_TEXTS, MIN_SHARE = 5, 0.012  # toxic texts that a feature must be in: number, and share of them
+MIN_TEXTS, MIN_SHARE = 3, 0.012  # toxic texts that a feature must be in: number, and share of them
 PASS_SCORE = 0.7     # the score at the decision limit
 CLASSIFIERS = 3
 HELD_OUT = 1  # crc32 of the id as text, modulo 3
