@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketwise.llm.graph import components, saved
+from bucketwise.llm.groups import whole_groups
 from bucketwise.llm.ragged import spans
 
 SAMPLE = 8192        # vectors the rotations are learnt on
@@ -183,26 +184,10 @@ def _compare_classes(classes: DataFrame, most: int, threshold: float) -> tuple[D
     task = joined.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            cuts = _runs(table)
-            rest = table.slice(int(cuts[-2])) if len(cuts) > 1 else table
-            yield from linked(table.slice(0, table.num_rows - rest.num_rows))
-        if rest is not None:
-            yield from linked(rest)
-
-    def _runs(table: pa.Table) -> np.ndarray:
-        keys = [table.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
-        new = np.ones(table.num_rows, bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
-        return np.append(np.flatnonzero(new), table.num_rows)
-
-    def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        table = table.combine_chunks()
-        cuts = _runs(table)
+        for table, cuts in whole_groups(batches, ("bucket", "lo", "hi")):
+            yield linked(table, cuts)
+
+    def linked(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         x, _ = unit(table.column("vector").chunk(0))
         codes = table.column("codes").chunk(0)
         codes = codes.flatten().to_numpy().reshape(table.num_rows, -1).view(np.uint64)
@@ -224,8 +209,8 @@ def _compare_classes(classes: DataFrame, most: int, threshold: float) -> tuple[D
         root = forest(u, v, len(x))
         some = np.flatnonzero(total)
         node = table.column("node").chunk(0)
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(total[some].astype(np.int64)),
-                                          node.take(pa.array(root[some]))], ["node", "links", "root"])
+        return pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(total[some].astype(np.int64)),
+                                           node.take(pa.array(root[some]))], ["node", "links", "root"])
 
     pairs = saved(task.mapInArrow(rerank, "node struct<id:long,f:long>, links long, root struct<id:long,f:long>"), "vector-links")
     return (pairs.groupBy("node").agg(F.sum("links").alias("links")),

@@ -7,10 +7,10 @@ into bin i. So every coordinate of a set with a shingle is filled, and the share
 sketches is concentrated around the similarity of the sets.
 
 Bands of coordinates are bucket keys. Documents with one set are one class, of which the smallest takes
-part. In each bucket the members are compared with a pivot on their full sets; linked members grow
-together. Members that are in different components afterwards meet further pivots, one, two, four and so
-on a round, until every bucket is in one component or has compared all its pairs between components. No
-pairs within a group are listed that are connected already.
+part. In each bucket the members are compared with its smallest on their full sets, which joins most groups at a
+cost in proportion to their size. Buckets that still hold several components, joined where they share members,
+are compared in blocks: a task gets the sets of two parts and counts all intersections at once as a product
+of incidence matrices. It returns a spanning forest of what is linked, never pairs.
 
 The number of coordinates in a band follows from the threshold: as many as leave a pair at the threshold a
 chance of less than ``MISS`` to share no band.
@@ -26,17 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bucketwise.llm.embeddings import forest
 from bucketwise.llm.graph import components, saved
+from bucketwise.llm.groups import whole_groups
 from bucketwise.llm.passages import with_nodes
 from bucketwise.llm.ragged import (chunks, hash_words, mix64, odd_constants, sequence_hashes, spans, text_bytes, window_hashes,
                                    window_starts, words)
 
 BINS = 128
 MISS = 1e-6
-GROUP_ROWS = 256  # members that are compared with one copy of their pivot
+GROUP_ROWS = 256         # members that are compared with one copy of their first
+PART_SETS, PART_SHINGLES = 512, 300_000  # of one part of a block
+SLAB = 4096              # columns of an incidence matrix
 
 
 def band_size(threshold: float) -> int:
@@ -120,6 +124,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return rows.mapInArrow(compare, kind)
 
 
+def linked_sets(shingles: np.ndarray, counts: np.ndarray, half: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest row that each row reaches over links between the halves (all rows in one half: between all)."""
+    n = len(counts)
+    owner = np.repeat(np.arange(n), counts)
+    _, back, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = often[back] > 1  # what one set has alone is in no intersection
+    column = (np.cumsum(often > 1) - 1)[back[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    low, high = np.flatnonzero(~half), np.flatnonzero(half)
+    if not len(high):
+        high = low
+    both = np.zeros((len(low), len(high)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
+        a, b = np.searchsorted(column, [begin, begin + SLAB])
+        matrix = np.zeros((n, min(SLAB, int(column[b - 1]) + 1 - begin)), np.float32)
+        matrix[owner[a:b], column[a:b] - begin] = 1
+        both += matrix[low] @ matrix[high].T
+    near = 100 * both >= percent * (counts[low][:, None] + counts[high][None, :] - both)
+    near &= (counts[low] > 0)[:, None]
+    u, v = np.nonzero(near)
+    return forest(low[u], high[v], n)
+
+
+def _linked_in_blocks(left: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) that join all linked members of the groups in ``left`` (node, its number of shingles, a group's first node)."""
+    groups = components(left.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    sized = saved(groups.join(left.select("node", "n").distinct(), "node")
+                  .select("node", "n", F.xxhash64("component").alias("cluster")), "clusters")
+    parts = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_SETS),
+                                                    F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    blocks = (sized.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("node", "cluster", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+              .join(texts, "node").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, ("cluster", "lo", "hi")):
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = table.slice(a, b - a).combine_chunks()
+                shingles, counts = shingle_sets(*text_bytes(rows.column("text").chunk(0)), width)
+                half = rows.column("part").to_numpy() != rows.column("lo").to_numpy()
+                root = linked_sets(shingles, counts, half, percent)
+                some = pa.array(np.flatnonzero(root != np.arange(len(root))))
+                node = rows.column("node").chunk(0)
+                yield pa.RecordBatch.from_arrays([node.take(some), node.take(pa.array(root[some.to_numpy()]))], ["u", "v"])
+
+    return saved(blocks.mapInArrow(compare, "u struct<doc:long,tag:long>, v struct<doc:long,tag:long>"), "block-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """node (doc, tag), n_shingles and component (a node) of every document; see ``with_nodes``."""
@@ -157,27 +212,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
                   .join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
     pairs = saved(members.where((F.col("node") != F.col("p")) & close).select(F.col("node").alias("x"), "p").distinct(), "pairs")
     edges = saved(_verified(pairs, texts, width, percent), "links")
-    found, compared, pivots = edges, pairs, 1
-    while True:
-        linked = components(found.select(F.col("x").alias("u"), F.col("p").alias("v")))
-        placed = (members.select("key", "node", "n").join(linked, "node", "left")
-                  .withColumn("component", F.coalesce("component", "node")))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"),
-                                              F.count(F.lit(1)).alias("m")).where("a <> b").where(F.col("m") > pivots)
-        left = saved(placed.join(open_keys.select("key"), "key"), "open")
-        if left.isEmpty():
-            break
-        # The next pivots of each bucket, in the order of a hash.
-        pivots = 2 * pivots + 1
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        some = (left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-                .select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")))
-        fresh = (left.join(some, "key").where((F.col("component") != F.col("pc")) & close)
-                 .select(F.greatest("node", "p").alias("x"), F.least("node", "p").alias("p")).distinct())
-        pairs = saved(fresh.join(compared, ["x", "p"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            compared = compared.unionByName(pairs)
-            found = found.unionByName(saved(_verified(pairs, texts, width, percent), "links"))
+    linked = components(edges.select(F.col("x").alias("u"), F.col("p").alias("v")))
+    placed = (members.select("key", "node", "n").join(linked, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"),
+                                      F.min("node").alias("first")).where("a <> b")
+    left = saved(placed.join(mixed.select("key", "first"), "key").select("node", "n", "first"), "mixed")
+    if not left.isEmpty():
+        more = _linked_in_blocks(left, texts, width, percent)
+        linked = components(edges.select(F.col("x").alias("u"), F.col("p").alias("v")).unionByName(more))
     by_set = classes.join(linked, "node", "left").select("f", "g", F.coalesce("component", "node").alias("component"))
     several = saved(by_set.join(classes.where("size > 1").select("f", "g"), ["f", "g"]), "copies")
     alone = saved(linked, "linked")
