@@ -39,7 +39,7 @@ from bucketwise.session import scratch_path
 
 TOP = 5                    # counts above are taken as they are
 BLOCK_TOKENS = 2_000_000   # tokens that are sorted together
-BUCKETS, BUCKET_BYTES = 32, 32 << 20
+BUCKETS, BUCKET_BYTES = 48, 20 << 20
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x9AE16A3B2F90404F)
 TINY = 1e-9
 
@@ -165,6 +165,7 @@ def _grams(buckets: int):
 
 def _count(table: pa.Table) -> pa.Table:
     """Of one bucket: kind 0, how many pairs have count r (in h); 1, training count of each history; 2, pairs counted twice or more."""
+    pa.default_memory_pool().release_unused()  # of the bucket before
     hist = np.repeat(_flat(table.column("hs")), _flat(table.column("hn")))
     word, n = _flat(table.column("ws")), _flat(table.column("tn"))
     seen = n > 0
@@ -223,6 +224,7 @@ def word_and_pair_terms(model: Model, kind, h, w, c, cw):
 
 def _score(model: Model):
     def run(grams: pa.Table, rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the bucket before
         columns = [rows.column(x).to_numpy() for x in ("kind", "h", "w", "c", "cw")]
         columns[1], columns[2] = columns[1].astype(np.int64).view(np.uint64), columns[2].astype(np.int64).view(np.uint64)
         hist, count, weight, key, th, tw, correction = word_and_pair_terms(model, *columns)
