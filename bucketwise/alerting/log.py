@@ -30,20 +30,24 @@ def changes(results: DataFrame, current: DataFrame | None = None) -> DataFrame:
 
     The first result of a day is always kept, so the previous result only matters
     within the same alert and day. ``current`` (see :func:`current_status`) stands for
-    the last entry already stored. ``reason`` tells the two cases apart.
+    the last entry already stored. ``reason`` is ``change`` where the status before, on whatever
+    day, was another one, and ``daily`` where it was the same or there was none.
     """
     day = F.to_date("timestamp")
     within_day = Window.partitionBy(*ID, "__day").orderBy("timestamp")
-    work = results.withColumn("__day", day).withColumn("__previous", F.lag("status").over(within_day))
+    ever = Window.partitionBy(*ID).orderBy("timestamp")
+    work = (results.withColumn("__day", day).withColumn("__previous", F.lag("status").over(within_day))
+            .withColumn("__before", F.lag("status").over(ever)))
     if current is not None:
         stored = current.select(*ID, F.col("latest_status").alias("__stored"),
                                 F.to_date("latest_timestamp").alias("__stored_day"))
         work = work.join(stored, list(ID), "left")
         known_today = F.when(F.col("__stored_day") == F.col("__day"), F.col("__stored"))
-        work = work.withColumn("__previous", F.coalesce("__previous", known_today))
+        work = (work.withColumn("__previous", F.coalesce("__previous", known_today))
+                .withColumn("__before", F.coalesce("__before", "__stored")))
     kept = work.where(F.col("__previous").isNull() | (F.col("__previous") != F.col("status")))
-    reason = F.when(F.col("__previous").isNull(), F.lit("daily")).otherwise(F.lit("change"))
-    return kept.withColumn("reason", reason).drop("__day", "__previous", "__stored", "__stored_day")
+    reason = F.when(F.col("__before") != F.col("status"), F.lit("change")).otherwise(F.lit("daily"))
+    return kept.withColumn("reason", reason).drop("__day", "__previous", "__before", "__stored", "__stored_day")
 
 
 def current_status(events: DataFrame) -> DataFrame:

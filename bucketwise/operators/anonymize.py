@@ -59,9 +59,15 @@ def chain(*processors: Processor | None) -> Processor:
                 return DROP
         return value
 
+    run.dropped = frozenset().union(*(dropped_names(p) for p in processors if p is not None))
     return run
 
 
+def dropped_names(p: Processor) -> frozenset[str]:
+    """Names that a processor drops wherever they stand."""
+    return getattr(p, "dropped", frozenset())
+
+
 def custom(fn: Callable[[str, Column], "Column | _Drop"]) -> Processor:
     """A user rule over text fields: ``fn(name, column)`` returns a column or DROP."""
     def run(value: Value):
@@ -88,8 +94,10 @@ def _walk(value: Value, p: Processor):
         return _walk_struct(out, dtype, p)
     if isinstance(dtype, T.ArrayType):
         return _walk_array(out, dtype, p)
-    if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+    if isinstance(dtype, T.MapType):
         return _walk_map(out, dtype, p)
+    if isinstance(dtype, T.VariantType):
+        return _walk_variant(out, p)
     return out
 
 
@@ -118,15 +126,27 @@ def _walk_array(value: Value, dtype: T.ArrayType, p: Processor):
     return Value(value.name, F.transform(value.col, item), T.ArrayType(probe.dtype), value.key)
 
 
+def _walk_variant(value: Value, p: Processor):
+    """Schemaless values go through the rules for text as their JSON; what is no JSON afterwards becomes a text."""
+    out = p(Value(value.name, F.to_json(value.col), T.StringType(), value.key))
+    if out is DROP:
+        return DROP
+    parsed = F.coalesce(F.try_parse_json(out.col), F.parse_json(F.to_json(out.col.cast("string").cast("variant"))))
+    return Value(value.name, F.when(value.col.isNotNull(), parsed), T.VariantType(), value.key)
+
+
 def _walk_map(value: Value, dtype: T.MapType, p: Processor):
     probe = _walk(Value("", F.lit(None), dtype.valueType, F.lit("")), p)
     if probe is DROP:
         return value
 
     def entry(k: Column, v: Column) -> Column:
-        return _walk(Value("", v, dtype.valueType, k), p).col
+        return _walk(Value("", v, dtype.valueType, k.cast("string")), p).col
 
-    return Value(value.name, F.transform_values(value.col, entry),
+    kept, dropped = value.col, sorted(dropped_names(p))
+    if dropped:  # inside a map a name is data, so the entry goes by a filter
+        kept = F.map_filter(kept, lambda k, _: ~k.cast("string").isin(dropped))
+    return Value(value.name, F.transform_values(kept, entry),
                  T.MapType(dtype.keyType, probe.dtype), value.key)
 
 
@@ -187,8 +207,11 @@ def replace_with(text: str) -> Callable[[Column], Column]:
 
 def drop_fields(*names: str) -> Processor:
     """Remove fields by exact name, at any depth."""
-    dropped = set(names)
-    return lambda value: DROP if value.key is None and value.name in dropped else value
+    def run(value: Value):
+        return DROP if value.key is None and value.name in run.dropped else value
+
+    run.dropped = frozenset(names)
+    return run
 
 
 TRUNCATED = "<TRUNCATED>"

@@ -18,22 +18,26 @@ from bucketwise.functions.fields import quote
 from bucketwise.functions.schema import is_listable, is_numeric_like, time_column
 from bucketwise.operators.filters import recent
 from bucketwise.sources.tables import local_rows
-from bucketwise.operators.topk import LISTED_VALUES, distinct_counts, latest_k, top_tuples
+from bucketwise.operators.topk import distinct_counts, latest_k, top_tuples
 
-# Columns skipped, preferred and avoided as dimensions unless configured.
-SKIPPED = ("event_original",)
-AVOIDED_DIMS = ("customer_tenant", "customer_project", "host_group", "host_name")
-PREFERRED_DIMS = ("event_dataset", "event_module", "level", "severity", "logfile", "operation")
-NAME_LIMIT, VALUE_LIMIT = 150, 25
+# Characters of the readable part of a bucket's name; a digest of the whole tuple follows it.
+NAME_LIMIT = 150
 
 
 @dataclass(frozen=True)
 class ProfileConfig:
-    skip: tuple[str, ...] = SKIPPED
-    avoided_dims: tuple[str, ...] = AVOIDED_DIMS
-    preferred_dims: tuple[str, ...] = PREFERRED_DIMS
+    """What a profile looks at. ``list_values`` limits listed values where a caller wants that; all are listed else.
+
+    ``bucket_limit`` and ``samples_per_bucket`` make the samples a report of the most frequent tuples;
+    the metadata says which dimensions there were, ``bucket_totals`` how many tuples.
+    """
+
+    skip: tuple[str, ...] = ()
+    avoided_dims: tuple[str, ...] = ()
+    preferred_dims: tuple[str, ...] = ()
     max_dims: int = 3
     list_threshold: int = 50
+    list_values: int | None = None
     samples_per_bucket: int = 3
     bucket_limit: int = 200
     where: str | None = None
@@ -51,8 +55,13 @@ class Profile:
     column_stats: DataFrame
     column_values: DataFrame
     bucket_samples: DataFrame | None
+    bucket_totals: DataFrame | None = None
     dims: tuple[str, ...] = dc_field(default_factory=tuple)
 
+    @property
+    def columns(self) -> list[str]:
+        return self.metadata["columns"]
+
 
 def split_columns(df: DataFrame, skip: Sequence[str]) -> tuple[list[str], list[str]]:
     """Columns listed at once, and columns whose cardinality is asked first."""
@@ -60,24 +69,23 @@ def split_columns(df: DataFrame, skip: Sequence[str]) -> tuple[list[str], list[s
     return [f.name for f in fields if is_listable(f)], [f.name for f in fields if not is_listable(f)]
 
 
-def column_values(df: DataFrame, columns: Sequence[str], limits: Sequence[int]) -> DataFrame:
-    """Most frequent values of several columns: (column, value, count, rank).
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, count) of several columns, in one pass that combines pairs on the map side."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quote(c)).cast("string").alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("count"))
 
-    All columns are counted in one pass over (column, value) pairs, combined on the
-    map side; each list ends at its own limit.
-    """
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(quote(c)).cast("string").alias("value"),
-                 F.lit(n).alias("limit"))
-        for c, n in zip(columns, limits)])
-    counted = (
-        df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value", "p.limit")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+
+def column_values(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Values of several columns by frequency: (column, value, count, rank); the first ``limit`` of each if given."""
+    return _ranked(value_counts(df, columns), limit)
+
+
+def _ranked(counted: DataFrame, limit: int | None) -> DataFrame:
     order = [F.col("count").desc(), F.col("value").asc_nulls_last()]
-    most = max(limits)
-    ranked = latest_k(counted, ["column"], order, most, "rank")
-    return ranked.where(F.col("rank") <= F.col("limit")).select("column", "value", "count", "rank")
+    if limit:
+        return latest_k(counted, ["column"], order, limit, "rank").select("column", "value", "count", "rank")
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    return counted.select("column", "value", "count", rank.alias("rank"))
 
 
 def choose_dims(columns: Sequence[str], listable: Sequence[str], config: ProfileConfig) -> list[str]:
@@ -105,7 +113,7 @@ def bucket_samples(df: DataFrame, dims: Sequence[str], config: ProfileConfig) ->
     """Most frequent dimension tuples with their newest rows.
 
     Columns: the dims, ``count``, ``sample_no`` and ``sample`` (a struct without the
-    skipped columns). The tuples are at most ``bucket_limit`` rows, hence broadcast.
+    skipped columns). Spark broadcasts the tuples if they are small enough.
     """
     names = [f"__d{i}" for i in range(len(dims))]
     ts = time_column(df, config.ts)
@@ -113,7 +121,7 @@ def bucket_samples(df: DataFrame, dims: Sequence[str], config: ProfileConfig) ->
         top = _top_tuples_with_newest_days(df, dims, ts, config)
     else:
         top = top_tuples(df, dims, config.bucket_limit, "__count").withColumn("__since", F.lit(None).cast("date"))
-    wanted = F.broadcast(top.select(*[F.col(quote(d)).alias(n) for d, n in zip(dims, names)], "__count", "__since"))
+    wanted = top.select(*[F.col(quote(d)).alias(n) for d, n in zip(dims, names)], "__count", "__since")
     kept = [c for c in df.columns if c not in config.skip]
     base = df.select(*[F.col(quote(c)) for c in dict.fromkeys([*kept, *dims, *([ts] if ts else [])])])
     on = [base[d].eqNullSafe(wanted[n]) for d, n in zip(dims, names)]
@@ -152,30 +160,35 @@ def profile_table(df: DataFrame, name: str, now: datetime, config: ProfileConfig
     listable, probe = split_columns(df, config.skip)
     counted = _plain(df, probe)
     counts = distinct_counts(df, counted, config.exact).first().asDict() if counted else {}
-    small = [c for c in counted if 0 < counts[c] < config.list_threshold
-             and not is_numeric_like(df.schema[c].dataType)]
-
-    listed = [*listable, *small]
-    limits = [LISTED_VALUES] * len(listable) + [config.list_threshold] * len(small)
+    # Estimates only say where it is worth to count; whether a column is listed is decided on its exact count.
+    likely = [c for c in counted if counts[c] < 2 * config.list_threshold and not is_numeric_like(df.schema[c].dataType)]
     spark = df.sparkSession
-    if listed:
-        values = column_values(df, listed, limits)
+    if listable or likely:
+        pairs = value_counts(df, [*listable, *likely])
+        lengths = pairs.groupBy("column").agg(F.count("value").alias("distinct"), F.count(F.lit(1)).alias("length"))
+        listed = lengths.where(F.col("column").isin(listable) | F.col("distinct").between(1, config.list_threshold - 1))
+        values = _ranked(pairs.join(listed.select("column"), "column", "left_semi"), config.list_values)
     else:
         values = local_rows(spark, [], "column string, value string, count long, rank int")
-    facts = [(f.name, f.dataType.simpleString(), counts.get(f.name) if f.name not in listed else None)
-             for f in df.schema.fields if f.name not in config.skip]
-    known = local_rows(spark, facts, "column string, type string, cardinality_approx long")
-    lengths = values.groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
-    stats = known.join(lengths, "column", "left").select("column", "type", "cardinality", "cardinality_approx")
+        listed = local_rows(spark, [], "column string, distinct long, length long")
+    facts = [(f.name, f.dataType.simpleString(), counts.get(f.name)) for f in df.schema.fields if f.name not in config.skip]
+    known = local_rows(spark, facts, "column string, type string, estimate long")
+    stats = known.join(listed, "column", "left").select(
+        "column", "type", F.col("length").alias("cardinality"),
+        F.when(F.col("length").isNull(), F.col("estimate")).alias("cardinality_approx"),
+        F.least("length", F.lit(config.list_values).cast("long")).alias("listed"))
 
     dims = choose_dims(df.columns, listable, config)
     samples = bucket_samples(df, dims, config) if dims else None
+    totals = (df.groupBy(*[F.col(quote(d)) for d in dims]).agg(F.count(F.lit(1)).alias("__rows"))
+              .agg(F.count(F.lit(1)).alias("tuples"), F.sum("__rows").alias("rows"))) if dims else None
     metadata = {
         "table": name, "sampled_at": now.strftime("%Y-%m-%dT%H:%M:%SZ"), "bucket_dimensions": dims,
         "list_threshold": config.list_threshold, "samples_per_bucket": config.samples_per_bucket,
-        "applied_where": config.where or "",
+        "applied_where": config.where or "", "bucket_limit": config.bucket_limit, "columns": [f[0] for f in facts],
+        "available_dimensions": choose_dims(df.columns, listable, replace(config, max_dims=len(df.columns))),
     }
-    return Profile(metadata, stats, values, samples, tuple(dims))
+    return Profile(metadata, stats, values, samples, totals, tuple(dims))
 
 
 def _plain(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -206,7 +219,7 @@ def anonymize_profile(profile: Profile, chain) -> Profile:
     from bucketwise.operators.anonymize import anonymize, apply_by_name
 
     types = {f.name: f.dataType for f in profile.column_values.schema.fields}
-    names = [r["column"] for r in profile.column_stats.select("column").collect()]
+    names = profile.columns
     masked = apply_by_name(F.col("column"), F.col("value"), names, types["value"], chain)
     values = profile.column_values.withColumn("value", masked)
     samples = profile.bucket_samples
@@ -216,24 +229,14 @@ def anonymize_profile(profile: Profile, chain) -> Profile:
 
 
 def bucket_names(df: DataFrame, dims: Sequence[str], name: str = "bucket_name") -> DataFrame:
-    """A file-safe, unique name per dimension tuple: ``k=v__k=v``.
-
-    Names that fall together get a number in the order of their tuples. Meant for the
-    bounded set of buckets in a profile.
-    """
-    parts = []
+    """A file-safe, unique name per dimension tuple: ``k=v__k=v__`` and a digest of the whole tuple."""
+    parts, whole = [], []
     for d in sorted(dims):
         text = F.coalesce(F.col(quote(d)).cast("string"), F.lit("<nil>"))
         safe = F.trim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
         safe = F.when(safe == "", F.lit("empty")).otherwise(safe)
-        parts.append(F.concat(F.lit(f"{d}="), F.substring(safe, 1, VALUE_LIMIT)))
-    base = F.substring(F.concat_ws("__", *parts), 1, NAME_LIMIT) if parts else F.lit("bucket")
-    work = df.withColumn("__base", base)
-    same = Window.partitionBy("__base").orderBy(*[F.col(quote(d)).asc_nulls_first() for d in sorted(dims)])
-    nth = F.row_number().over(same)
-    return (
-        work.withColumn("__nth", nth)
-        .withColumn(name, F.when(F.col("__nth") == 1, F.col("__base"))
-                    .otherwise(F.concat("__base", F.lit("__"), F.col("__nth").cast("string"))))
-        .drop("__base", "__nth")
-    )
+        parts.append(F.concat(F.lit(f"{d}="), safe))
+        whole.append(F.coalesce(F.concat(F.length(F.col(quote(d)).cast("string")).cast("string"), F.lit(":"),
+                                         F.col(quote(d)).cast("string")), F.lit("-")))
+    readable = F.substring(F.concat_ws("__", *parts), 1, NAME_LIMIT) if parts else F.lit("bucket")
+    return df.withColumn(name, F.concat_ws("__", readable, F.md5(F.concat_ws(",", *whole).cast("binary"))))

@@ -10,16 +10,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bucketwise.functions.fields import quote
 from bucketwise.functions.schema import require_columns
 
-# How many values are listed for suggestions and for profiles.
-SUGGESTED_VALUES = 100
-LISTED_VALUES = 500
+# From this k on, groups are limited in parts first: Spark's own limit before the shuffle ends here.
+LARGE_K, PARTS = 1000, 64
 
 
-def top_values(df: DataFrame, column: str, k: int = SUGGESTED_VALUES) -> DataFrame:
+def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """Most frequent values of a column as text; ties go to the smaller value."""
     require_columns(df, [column])
     return (
@@ -60,22 +60,37 @@ def latest_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """First ``k`` rows per key in the given order.
 
     Spark limits each group before the shuffle, so a task ships at most ``k`` rows of
-    a key however many it holds.
+    a key however many it holds. A large ``k`` takes the first rows of parts of each group
+    before, so that no task sorts a whole hot group.
     """
+    if k >= LARGE_K:
+        salt = F.pmod(F.xxhash64(*[F.to_json(F.struct("*"))]), F.lit(PARTS))
+        within = Window.partitionBy(*[F.col(quote(c)) for c in keys], "__part").orderBy(*order)
+        df = (df.withColumn("__part", salt).withColumn("__rank", F.row_number().over(within))
+              .where(F.col("__rank") <= k).drop("__part", "__rank"))
     rank = F.row_number().over(Window.partitionBy(*[F.col(quote(c)) for c in keys]).orderBy(*order))
     out = df.withColumn("__rank", rank).where(F.col("__rank") <= k)
     return out.withColumnRenamed("__rank", name) if name else out.drop("__rank")
 
 
+def as_key(df: DataFrame, column: str) -> Column:
+    """A text that is equal just where values of the column are equal."""
+    col, dtype = F.col(quote(column)), df.schema[column].dataType
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(col.isNotNull(), F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"}))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        col = F.when(col == 0, F.lit(0).cast(dtype)).otherwise(col)  # one zero
+    return col.cast("string")
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
     """Distinct values of many columns in one scan (one output row).
 
     The default uses mergeable sketches. Exact counting groups (column, value) pairs
-    first, which spreads any column's values over all tasks.
+    first, which spreads any column's values over all tasks; nested values are told apart as JSON.
     """
     if not exact:
         return df.agg(*[F.approx_count_distinct(quote(c)).alias(c) for c in columns])
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(quote(c)).cast("string").alias("v"))
-                      for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), as_key(df, c).alias("v")) for i, c in enumerate(columns)])
     values = df.select(F.explode(pairs).alias("p")).where("p.v IS NOT NULL").groupBy("p.i", "p.v").agg(F.lit(1))
     return values.agg(*[F.count_if(F.col("i") == i).alias(c) for i, c in enumerate(columns)])

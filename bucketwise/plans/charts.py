@@ -18,13 +18,10 @@ from bucketwise.functions.buckets import per_second
 from bucketwise.functions.fields import Field, auto_bucket, count, enum, quote
 from bucketwise.functions.schema import CATEGORICAL, TEMPORAL, first_of_class
 from bucketwise.operators.filters import FilterState
-from bucketwise.operators.series import order_categories, share, stack_positions, value_bins
+from bucketwise.operators.series import order_categories, share, stack_positions
 from bucketwise.plans.spec import Compiled, Query, QuerySpec, RunContext, compile_query, from_table, query_from_dict
 from bucketwise.sources.sqltext import SqlText
 
-# Fixed value: rows a table shows unless told otherwise.
-TABLE_LIMIT = 10_000
-
 
 @dataclass(frozen=True)
 class Shape:
@@ -67,7 +64,7 @@ class Chart:
     z: Field | None = None
     title: Field | None = None
     fill_step: str | None = None
-    limit: int = TABLE_LIMIT
+    limit: int = 0  # of a table; 0 shows all rows
     y_bin: float | None = None
 
     def __post_init__(self):
@@ -108,8 +105,12 @@ class Chart:
         shape = SHAPES[self.type]
         keys = [self.field(r) for r in shape.keys if self.field(r)]
         measures = [self.field(r) for r in shape.measures if self.field(r)]
+        if self.type == "timeHeatmap" and self.y_bin:  # rows are grouped by cell, not by value
+            keys = [value_bin(k, self.y_bin) if k is self.y else k for k in keys]
         query = query.selecting_first(*keys).selecting(*measures).grouping(*keys)
         order = [self.field(r) for r in shape.order if self.field(r)]
+        if self.type == "timeHeatmap" and self.y_bin:
+            order = [value_bin(o, self.y_bin) if o is self.y else o for o in order]
         if self.fill_step:
             # Series keys come first, so that each series is filled on its own.
             series = [self.field(r) for r in ("stroke", "z", "fill", "fx", "fy") if self.field(r)]
@@ -127,14 +128,13 @@ class Chart:
         return replace(query, select=(self.title, *rounded)).grouping(self.title)
 
     def run(self, ctx: RunContext, ordered: bool = True) -> Compiled:
-        out = compile_query(self.build(ordered), ctx)
-        if self.type == "timeHeatmap" and self.y_bin:
-            out = replace(out, df=value_bins(out.df, self.y.alias, self.y_bin))
-        return out
+        return compile_query(self.build(ordered), ctx)
 
     def over(self, df: DataFrame, now: datetime, filters: FilterState = FilterState(), ts: str = "timestamp",
              zone: str = "UTC") -> Compiled:
         """Run the chart over a DataFrame instead of a named table."""
+        if isinstance(self.query, SqlText):
+            raise ValueError("a chart with a SQL text names its tables; use run() with them")
         query = self.query if isinstance(self.query, QuerySpec) else QuerySpec()
         chart = replace(self, query=replace(query, table="__source"))
         return chart.run(RunContext(df.sparkSession, now, filters, {"__source": df}, ts, zone))
@@ -148,7 +148,7 @@ class Chart:
                 props[names.get(role, role)] = self.field(role).to_dict()
         if self.fill_step:
             props["fillStep"] = self.fill_step
-        if self.type == "table":
+        if self.type == "table" and self.limit:
             props["limit"] = self.limit
         if self.y_bin:
             props["yBucketSize"] = self.y_bin
@@ -166,10 +166,15 @@ class Chart:
             if isinstance(stored, Mapping):
                 roles[role] = Field.from_dict(stored)
         return cls(kind, query_from_dict(props.get("sql")), **roles,
-                   fill_step=props.get("fillStep") or None, limit=int(props.get("limit", TABLE_LIMIT)),
+                   fill_step=props.get("fillStep") or None, limit=int(props.get("limit") or 0),
                    y_bin=props.get("yBucketSize") or None)
 
 
+def value_bin(y: Field, size: float, name: str = "y_bin") -> Field:
+    """The heatmap cell of a value, by its upper end: (y - size, y]."""
+    return Field(f"ceil(({y.definition}) / {size!r}) * {size!r}", name)
+
+
 def run_chart(text: str | Mapping, ctx: RunContext) -> Compiled:
     """Run a stored chart; an incomplete one raises ``ValueError``."""
     return Chart.from_dict(json.loads(text) if isinstance(text, str) else text).run(ctx)

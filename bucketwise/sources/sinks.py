@@ -99,13 +99,7 @@ def write_profile(profile: Profile, path: str) -> None:
     profile.column_values.write.mode("overwrite").json(f"{path}/column_values")
     if profile.bucket_samples is None:
         return
-    dims = list(profile.dims)
-    tuples = profile.bucket_samples.groupBy(*[F.col(quote(d)) for d in dims]).agg(F.first("count").alias("count"))
-    named = bucket_names(tuples, dims)
-    names = named.select(*[F.col(quote(d)).alias(f"__{i}") for i, d in enumerate(dims)], "bucket_name")
-    samples = profile.bucket_samples
-    on = [samples[d].eqNullSafe(names[f"__{i}"]) for i, d in enumerate(dims)]
-    rows = samples.join(names, on).drop(*[f"__{i}" for i in range(len(dims))])
+    rows = bucket_names(profile.bucket_samples, list(profile.dims))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("ignoreNullFields", False)
      .partitionBy("bucket_name").json(f"{path}/buckets"))
 
@@ -121,7 +115,7 @@ def read_profile(spark: SparkSession, path: str, like: Profile | None = None) ->
             reader = reader.schema(T.StructType([*like.bucket_samples.schema.fields,
                                                  T.StructField("bucket_name", T.StringType())]))
         samples = reader.json(f"{path}/buckets")
-    stats_schema = "column string, type string, cardinality long, cardinality_approx long"
+    stats_schema = "column string, type string, cardinality long, cardinality_approx long, listed long"
     values_schema = "column string, value string, count long, rank int"
     return Profile(meta, spark.read.schema(stats_schema).json(f"{path}/column_stats"),
-                   spark.read.schema(values_schema).json(f"{path}/column_values"), samples, dims)
+                   spark.read.schema(values_schema).json(f"{path}/column_values"), samples, None, dims)

@@ -39,16 +39,6 @@ def local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> Da
     return spark.createDataFrame(data, schema=struct)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share rows out when the input has fewer splits than the cluster has cores.
-
-    For work that is heavy per row. Large tables have splits enough and stay as they
-    are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def time_grid(spark: SparkSession, start: datetime, end: datetime, step: int | str,
               name: str = "time") -> DataFrame:
     """One row per step from ``start`` up to but excluding ``end``, generated in parallel."""

@@ -6,6 +6,7 @@ one to the end of its input, which is also how a bounded backlog is caught up.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, nullcontext
 
@@ -95,39 +96,39 @@ def alert_writer(definitions: Sequence[AlertDefinition], log: AlertLog,
 
 
 class _ChangeState(StatefulProcessor):
-    """Remembers the last kept status of one alert on one day, until that day is over."""
+    """Remembers the kept results of one alert for a day back, and the last one before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", T.StructType([T.StructField("status", T.StringType())]))
+        self._points = handle.getListState("points", T.StructType([
+            T.StructField("timestamp", T.TimestampNTZType()), T.StructField("status", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        known = self._last.get()[0] if self._last.exists() else None
-        day = pd.concat(list(rows)).sort_values("timestamp").reset_index(drop=True)
-        previous = day["status"].shift(fill_value=known) if known else day["status"].shift()
-        changed = day[day["status"] != previous].copy()
-        if len(changed):
-            first = previous[changed.index[0]]
-            changed["reason"] = "change"
-            if first is None or first != first:
-                changed.iloc[0, changed.columns.get_loc("reason")] = "daily"
-            if known is None:
-                self._handle.registerTimer(_day_end_ms(key[-1]))
-            self._last.update((changed["status"].iloc[-1],))
-            yield changed[[*ID, "timestamp", "status", "message", "reason"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        self._last.clear()
-        yield from ()
+        points = sorted((pd.Timestamp(p[0]), p[1]) for p in self._points.get()) if self._points.exists() else []
+        ticks = pd.concat(list(rows)).sort_values("timestamp").reset_index(drop=True)
+        reasons = []
+        for at, status in zip(ticks["timestamp"], ticks["status"], strict=True):
+            # Each result is compared with what was known just before its own time.
+            place = bisect_left(points, at, key=lambda p: p[0])
+            before = points[place - 1] if place else None
+            changed = before is not None and before[1] != status
+            if before is None or changed or before[0].date() != at.date():
+                reasons.append("change" if changed else "daily")
+                points.insert(place, (at, status))
+            else:
+                reasons.append(None)
+        ticks["reason"] = reasons
+        oldest = bisect_left(points, points[-1][0] - KEPT_BACK, key=lambda p: p[0])
+        self._points.put([(t.to_pydatetime(), s) for t, s in points[max(0, oldest - 1):]])
+        kept = ticks[ticks["reason"].notna()]
+        if len(kept):
+            yield kept[[*ID, "timestamp", "status", "message", "reason"]]
 
     def close(self) -> None:
         pass
 
 
-def _day_end_ms(day) -> int:
-    return int(pd.Timestamp(day).timestamp() + 86400) * 1000
-
-
+KEPT_BACK = pd.Timedelta(days=2)
 CHANGE_SCHEMA = ("alert_id_group string, alert_id_key string, timestamp timestamp_ntz, status string, "
                  "message string, reason string")
 
@@ -135,14 +136,12 @@ CHANGE_SCHEMA = ("alert_id_group string, alert_id_key string, timestamp timestam
 def change_feed(results: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Keep a stream's status changes and the first result of each day, per alert.
 
-    The first result of a day is always kept, so state and work are keyed by alert and
-    day: one small value each, and at most a day of ticks (one per minute) per group,
-    even when a long backlog arrives in one batch. State is dropped once the watermark
-    (the newest result minus ``lateness``) has passed the day.
+    State is keyed by alert: the kept results of the last two days, so that a late result is
+    compared with the one before its own time. Their number is bounded by the schedule (at
+    most one tick a minute), whatever the monitored data looks like. Results later than ``lateness`` are left out.
     """
-    rows = results.select(*ID, "timestamp", "status", "message", F.to_date("timestamp").alias("day"),
-                          F.col("timestamp").cast("timestamp").alias("event_time"))
-    return rows.withWatermark("event_time", lateness).groupBy(*ID, "day").transformWithStateInPandas(
+    rows = results.select(*ID, "timestamp", "status", "message", F.col("timestamp").cast("timestamp").alias("event_time"))
+    return rows.withWatermark("event_time", lateness).groupBy(*ID).transformWithStateInPandas(
         statefulProcessor=_ChangeState(), outputStructType=CHANGE_SCHEMA, outputMode="append",
         timeMode="EventTime")
 

@@ -67,8 +67,9 @@ LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS hour, CAST({measure} AS
 def changes_sql(results: str) -> str:
     return f"""
 SELECT alert_id_group, alert_id_key, timestamp, status, message, value,
-       CASE WHEN previous IS NULL THEN 'daily' ELSE 'change' END AS reason
-FROM (SELECT *, lag(status) OVER (PARTITION BY alert_id_group, alert_id_key, CAST(timestamp AS DATE) ORDER BY timestamp) AS previous
+       CASE WHEN before <> status THEN 'change' ELSE 'daily' END AS reason
+FROM (SELECT *, lag(status) OVER (PARTITION BY alert_id_group, alert_id_key, CAST(timestamp AS DATE) ORDER BY timestamp) AS previous,
+             lag(status) OVER (PARTITION BY alert_id_group, alert_id_key ORDER BY timestamp) AS before
       FROM ({results})) WHERE previous IS NULL OR previous <> status"""
 
 
@@ -169,12 +170,13 @@ WITH results AS ({replay_sql(family())}),
 first_half AS ({changes_sql("SELECT * FROM results WHERE timestamp <= TIMESTAMP '2024-01-15 12:00'")}),
 stored AS (SELECT alert_id_group, alert_id_key, arg_max(status, timestamp) AS status, CAST(max(timestamp) AS DATE) AS day
   FROM first_half GROUP BY 1, 2),
-rest AS (SELECT r.*, lag(r.status) OVER (PARTITION BY r.alert_id_group, r.alert_id_key, CAST(timestamp AS DATE) ORDER BY timestamp) AS p
+rest AS (SELECT r.*, lag(r.status) OVER (PARTITION BY r.alert_id_group, r.alert_id_key, CAST(timestamp AS DATE) ORDER BY timestamp) AS p,
+         lag(r.status) OVER (PARTITION BY r.alert_id_group, r.alert_id_key ORDER BY timestamp) AS b
   FROM results r WHERE timestamp > TIMESTAMP '2024-01-15 12:00'),
-known AS (SELECT rest.*, coalesce(p, CASE WHEN s.day = CAST(rest.timestamp AS DATE) THEN s.status END) AS previous
+known AS (SELECT rest.*, coalesce(b, s.status) AS before, coalesce(p, CASE WHEN s.day = CAST(rest.timestamp AS DATE) THEN s.status END) AS previous
   FROM rest LEFT JOIN stored s USING (alert_id_group, alert_id_key))
 SELECT alert_id_group, alert_id_key, timestamp, status, message, value,
-  CASE WHEN previous IS NULL THEN 'daily' ELSE 'change' END AS reason
+  CASE WHEN before <> status THEN 'change' ELSE 'daily' END AS reason
 FROM known WHERE previous IS NULL OR previous <> status""")
 def _(spark, folder):
     results = replayed(spark, folder, family())

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bucketwise.operators import anonymize as an
-from bucketwise.sources.tables import spread
 from suite.registry import register, table
 
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -50,15 +49,18 @@ def _(spark, folder):
         F.col("body.more")["owner"].alias("owner"))
 
 
+EMAIL_RULE = (r"[a-z0-9]+@[a-z0-9.]+", "<EMAIL>")
+
+
 @register("an4_text_patterns", f"SELECT doc_id, {masked_sql('text')} AS text FROM documents")
 def masked_documents(spark, folder):
     rules = an.chain(*[an.text_pattern(*rule) for rule in an.PATTERNS])
-    return an.anonymize(spread(table(spark, folder, "documents").select("doc_id", "text")), rules)
+    return an.anonymize(table(spark, folder, "documents").select("doc_id", "text"), rules)
 
 
 @register("an5_random_tokens", f"SELECT doc_id, {secrets_sql('text')} AS text FROM documents")
 def _(spark, folder):
-    return an.anonymize(spread(table(spark, folder, "documents").select("doc_id", "text")), an.redact_random_tokens(4.8, 12))
+    return an.anonymize(table(spark, folder, "documents").select("doc_id", "text"), an.redact_random_tokens(4.8, 12))
 
 
 @register("an6_entropy", """
@@ -73,6 +75,27 @@ def _(spark, folder):
     return an.anonymize(table(spark, folder, "conversations"), an.chain(an.drop_fields("role"), an.truncate_fields("text")))
 
 
+@register("an7_drop_in_maps", """
+SELECT event_id, 1 AS entries, 'user <EMAIL>' AS note, CAST(2 AS INTEGER) AS numbered, '<EMAIL>' AS second FROM events""")
+def _(spark, folder):
+    rows = table(spark, folder, "events").select(
+        "event_id", F.create_map(F.lit("password"), F.concat(F.lit("p"), "user_id"), F.lit("note"), F.lit("user a@b.com")).alias("m"),
+        F.create_map(F.lit(1), F.lit("plain"), F.lit(2), F.lit("c@d.net")).alias("n"))
+    out = an.anonymize(rows, an.chain(an.drop_fields("password"), an.text_pattern(*EMAIL_RULE)))
+    return out.select("event_id", F.size("m").alias("entries"), F.col("m")["note"].alias("note"), F.size("n").alias("numbered"),
+                      F.col("n")[2].alias("second"))
+
+
+@register("an2_variant_fields", """
+SELECT event_id, '<EMAIL>' AS mail, CAST(user_id AS VARCHAR) AS uid FROM events""")
+def _(spark, folder):
+    text = F.format_string('{"mail": "u%s@example.org", "ids": [%s]}', F.col("user_id").cast("string"), F.col("user_id").cast("string"))
+    rows = table(spark, folder, "events").select("event_id", F.parse_json(text).alias("v"))
+    out = an.anonymize(rows, an.text_pattern(*EMAIL_RULE))
+    return out.select("event_id", F.expr("variant_get(v, '$.mail', 'string')").alias("mail"),
+                      F.expr("variant_get(v, '$.ids[0]', 'string')").alias("uid"))
+
+
 @register("an8_scrambled_names")
 def _(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", an.scramble(F.col("c_name")).alias("c_name"))
@@ -89,17 +112,17 @@ def _(spark, folder):
 @register("an10_default_rules_documents", f"""
 SELECT doc_id, lang, source, {secrets_sql('masked')} AS text FROM (SELECT *, {masked_sql('text')} AS masked FROM documents)""")
 def default_documents(spark, folder):
-    return an.anonymize(spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text")), an.default_rules())
+    return an.anonymize(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), an.default_rules())
 
 
 @register("an10_default_rules_conversations", f"""
 SELECT conv_id, turn, role, {secrets_sql('masked')} AS text FROM (SELECT *, {masked_sql('text')} AS masked FROM conversations)""")
 def _(spark, folder):
-    return an.anonymize(spread(table(spark, folder, "conversations")), an.default_rules())
+    return an.anonymize(table(spark, folder, "conversations"), an.default_rules())
 
 
 @register("an10_default_rules_pages", f"""
 SELECT page_id, {secrets_sql('u')} AS url, {secrets_sql('h')} AS html FROM (
   SELECT page_id, {masked_sql('url')} AS u, {masked_sql('html')} AS h FROM pages)""")
 def _(spark, folder):
-    return an.anonymize(spread(table(spark, folder, "pages")), an.default_rules())
+    return an.anonymize(table(spark, folder, "pages"), an.default_rules())

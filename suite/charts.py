@@ -84,7 +84,7 @@ def _(spark, folder):
 
 
 @register("c5_time_heatmap", f"""
-SELECT value, date_trunc('hour', ts) AS time, count(*) AS cnt, CAST(ceil(value / 25) * 25 AS BIGINT) AS y_bin
+SELECT CAST(ceil(value / 25) * 25 AS BIGINT) AS y_bin, date_trunc('hour', ts) AS time, count(*) AS cnt
 FROM events WHERE {IN_MONTH} GROUP BY 1, 2""")
 def _(spark, folder):
     chart = Chart("timeHeatmap", EVENTS, x=fld.auto_bucket("ts"), y=fld.field("value"), fill=fld.count(), y_bin=25)
@@ -117,10 +117,15 @@ def _(spark, folder):
     orders = table(spark, folder, "orders")
     rows = orders.orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     ctx = context(spark, folder)
-    return Chart("table", from_table("ranked").unfiltered()).run(
+    return Chart("table", from_table("ranked").unfiltered(), limit=10_000).run(
         type(ctx)(spark, ctx.now, tables={"ranked": rows})).df
 
 
+@register("c9_table_all_rows", "SELECT * FROM orders")
+def _(spark, folder):
+    return Chart("table", from_table("orders").unfiltered()).run(context(spark, folder, "orders")).df
+
+
 @register("c10_facets", f"""
 SELECT user_id % 3 AS lane, CAST(hour(ts) // 12 AS INTEGER) AS half, event_type, date_trunc('hour', ts) AS time, count(*) AS cnt
 FROM events WHERE {IN_MONTH} GROUP BY 1, 2, 3, 4""")

@@ -34,14 +34,14 @@ UNION ALL SELECT 'o_totalprice', NULL, count(DISTINCT o_totalprice) FROM orders
 UNION ALL SELECT 'o_orderdate', NULL, count(DISTINCT o_orderdate) FROM orders
 UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), NULL FROM orders""")
 def column_stats(spark, folder):
-    return pr.profile_table(orders(spark, folder), "orders", NOW, ORDERS).column_stats.drop("type")
+    return pr.profile_table(orders(spark, folder), "orders", NOW, ORDERS).column_stats.drop("type", "listed")
 
 
 @register("pr3_cardinalities_probed", """
-SELECT count(DISTINCT c_name) AS c_name, count(DISTINCT c_mktsegment) AS c_mktsegment, count(DISTINCT c_nationkey) AS c_nationkey FROM customer""")
+SELECT count(DISTINCT c_custkey) AS c_custkey, count(DISTINCT c_acctbal) AS c_acctbal, count(DISTINCT c_name) AS c_name, count(DISTINCT c_mktsegment) AS c_mktsegment, count(DISTINCT c_nationkey) AS c_nationkey FROM customer""")
 def _(spark, folder):
     customer = table(spark, folder, "customer")
-    _, probe = pr.split_columns(customer, ["c_custkey", "c_acctbal"])
+    _, probe = pr.split_columns(customer, [])
     from bucketwise.operators.topk import distinct_counts
 
     return distinct_counts(customer, probe, exact=True)
@@ -56,7 +56,17 @@ SELECT "column", value, count, rank FROM (SELECT *, CAST(row_number() OVER (PART
 
 @register("pr4_value_lists", VALUES_SQL)
 def _(spark, folder):
-    return pr.column_values(table(spark, folder, "part"), ["p_type", "p_brand", "p_name"], [50, 50, 50])
+    return pr.column_values(table(spark, folder, "part"), ["p_type", "p_brand", "p_name"], 50)
+
+
+@register("pr1_long_lists", """
+SELECT 'p_name' AS "column", (SELECT count(DISTINCT p_name) FROM part) AS cardinality, count(*) AS values, CAST(sum(n) AS BIGINT) AS total
+FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1)""")
+def _(spark, folder):
+    part = mark_listable(table(spark, folder, "part").select("p_partkey", "p_name"), "p_name")
+    profile = pr.profile_table(part, "part", NOW, pr.ProfileConfig(tie_break=("p_partkey",)))
+    listed = profile.column_values.groupBy("column").agg(F.count("*").alias("values"), F.sum("count").alias("total"))
+    return profile.column_stats.select("column", "cardinality").join(listed, "column")
 
 
 @register("pr6_bucket_samples", """
@@ -100,10 +110,9 @@ def _(spark, folder):
 
 
 @register("pr9_bucket_names", """
-SELECT p_name, p_type, CASE WHEN nth = 1 THEN base ELSE base || '__' || nth END AS bucket_name FROM (
-  SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_name, p_type) AS nth FROM (
-    SELECT DISTINCT p_name, p_type, substr(concat_ws('__', 'p_name=' || substr(trim(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), 1, 25),
-      'p_type=' || substr(trim(regexp_replace(p_type, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), 1, 25)), 1, 150) AS base FROM part))""")
+SELECT DISTINCT p_name, p_type, substr(concat_ws('__', 'p_name=' || trim(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g'), '_'),
+    'p_type=' || trim(regexp_replace(p_type, '[^A-Za-z0-9._-]+', '_', 'g'), '_')), 1, 150)
+  || '__' || md5(length(p_name) || ':' || p_name || ',' || length(p_type) || ':' || p_type) AS bucket_name FROM part""")
 def _(spark, folder):
     tuples = table(spark, folder, "part").select("p_name", "p_type").distinct()
     return pr.bucket_names(tuples, ["p_type", "p_name"])

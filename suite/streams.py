@@ -88,8 +88,9 @@ def _(spark, folder):
 
 @register("st4_change_feed", """
 SELECT 'types' AS alert_id_group, event_type AS alert_id_key, time AS timestamp, status,
-  CASE WHEN p IS NULL THEN 'daily' ELSE 'change' END AS reason FROM (
-  SELECT *, lag(status) OVER (PARTITION BY event_type, CAST(time AS DATE) ORDER BY time) AS p FROM (
+  CASE WHEN b <> status THEN 'change' ELSE 'daily' END AS reason FROM (
+  SELECT *, lag(status) OVER (PARTITION BY event_type, CAST(time AS DATE) ORDER BY time) AS p,
+         lag(status) OVER (PARTITION BY event_type ORDER BY time) AS b FROM (
     SELECT event_type, date_trunc('hour', ts) AS time, CASE WHEN count(*) > 4 THEN 'error' ELSE 'OK' END AS status FROM events GROUP BY 1, 2))
 WHERE p IS NULL OR p <> status""")
 def _(spark, folder):

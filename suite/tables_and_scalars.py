@@ -42,6 +42,12 @@ def _(spark, folder):
     return topk.distinct_counts(table(spark, folder, "events"), ["user_id", "event_type", "props"], exact=True)
 
 
+@register("a5_distinct_nested", """
+SELECT count(DISTINCT embedding) AS embedding, count(DISTINCT label) AS label FROM embeddings""")
+def _(spark, folder):
+    return topk.distinct_counts(table(spark, folder, "embeddings"), ["embedding", "label"], exact=True)
+
+
 @register("a5_distinct_counts_approx")
 def _(spark, folder):
     return topk.distinct_counts(table(spark, folder, "events"), ["user_id", "event_type", "props", "ts", "value"])
@@ -72,7 +78,7 @@ def _(spark, folder):
 @register("a8_top_values", """
 SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM events GROUP BY 1 ORDER BY count DESC, value LIMIT 100""")
 def _(spark, folder):
-    return topk.top_values(table(spark, folder, "events"), "user_id")
+    return topk.top_values(table(spark, folder, "events"), "user_id", 100)
 
 
 @register("a9_top_tuples", """

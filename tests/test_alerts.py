@@ -223,3 +223,13 @@ def test_failed_notification_becomes_an_error(spark):
 def test_retention_prunes(spark):
     df = spark.createDataFrame([(datetime(2023, 1, 1),), (datetime(2024, 1, 2),)], "t timestamp_ntz")
     assert alog.within_retention(df, "t", datetime(2024, 12, 31)).count() == 1
+
+
+def test_reason_looks_across_midnight(spark):
+    rows = [("2024-01-01 22:00:00", "OK"), ("2024-01-01 23:00:00", "OK"), ("2024-01-02 00:00:00", "error"),
+            ("2024-01-03 00:00:00", "error"), ("2024-01-03 01:00:00", "OK")]
+    df = spark.createDataFrame([("g", "k", t, s, "") for t, s in rows],
+                               "alert_id_group string, alert_id_key string, timestamp string, status string, message string")
+    kept = alog.changes(df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))).orderBy("timestamp").collect()
+    assert [(r.timestamp.day, r.timestamp.hour, r.reason) for r in kept] == [
+        (1, 22, "daily"), (2, 0, "change"), (3, 0, "daily"), (3, 1, "change")]

@@ -99,6 +99,14 @@ def test_rules_by_name_and_nesting(spark):
     assert "PythonUDF" not in plan_of(out) and "EvalPython" not in plan_of(out)
 
 
+def test_maps_and_variants_are_walked(spark):
+    df = spark.sql("""SELECT map('password', 'hunter2', 'x', 'y') AS m, map(1, 'a@b.com') AS n,
+        parse_json('{"k": "a@b.com", "l": [1, "c@d.net"]}') AS v, parse_json(NULL) AS w""")
+    row = an.anonymize(df, an.chain(an.drop_fields("password"), an.default_rules())).selectExpr(
+        "m", "n", "to_json(v) AS v", "w IS NULL AS w").first()
+    assert row.m == {"x": "y"} and row.n == {1: "<EMAIL>"} and row.v == '{"k":"<EMAIL>","l":[1,"<EMAIL>"]}' and row.w
+
+
 def test_dropping_ends_the_chain(spark):
     def never(value):
         raise AssertionError("must not run")

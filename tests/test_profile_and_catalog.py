@@ -23,7 +23,7 @@ def test_column_classes(dtype, wanted):
 
 
 def test_dimensions_are_chosen():
-    config = pr.ProfileConfig()
+    config = pr.ProfileConfig(preferred_dims=("event_dataset", "level"), avoided_dims=("host_name",))
     assert pr.choose_dims(["level", "x", "event_dataset"], ["x"], config) == ["event_dataset", "level"]
     assert pr.choose_dims(["a", "host_name", "b", "c", "d"], ["a", "host_name", "b", "c", "d"], config) == ["a", "b", "c"]
     assert pr.choose_dims(["a"], [], config) == []
@@ -76,8 +76,8 @@ def test_recent_profile(spark):
 def test_bucket_names_are_safe_and_unique(spark):
     df = spark.createDataFrame([("a b", "x"), ("a/b", "x"), ("", None), ("y" * 40, "z")], "k string, l string")
     names = [r.bucket_name for r in pr.bucket_names(df, ["l", "k"]).collect()]
-    assert len(set(names)) == 4 and "k=a_b__l=x" in names and "k=a_b__l=x__2" in names
-    assert "k=empty__l=nil" in names and f"k={'y' * 25}__l=z" in names
+    assert len(set(names)) == 4 and sum(n.startswith("k=a_b__l=x__") for n in names) == 2
+    assert any(n.startswith("k=empty__l=nil__") for n in names) and any(n.startswith(f"k={'y' * 40}__l=z__") for n in names)
 
 
 def test_profile_written_twice_leaves_no_stale_buckets(spark, tmp_path):

@@ -56,13 +56,6 @@ def test_local_rows_keep_nulls_and_types(spark):
     assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert tables.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    wide = spark.range(10, numPartitions=cores + 1)
-    assert tables.spread(wide) is wide
-
-
 def test_checkpoints_go_to_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark).rstrip("/"))
     df = checkpointed(spark.range(5))
