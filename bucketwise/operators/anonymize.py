@@ -150,8 +150,13 @@ def _walk_map(value: Value, dtype: T.MapType, p: Processor):
                  T.MapType(dtype.keyType, probe.dtype), value.key)
 
 
-def anonymize(df: DataFrame, p: Processor, keep: Sequence[str] = ()) -> DataFrame:
-    """Scrub every field of every row; ``keep`` names columns left alone."""
+def anonymize(df: DataFrame, p: Processor, keep: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Scrub every field of every row; ``keep`` names columns left alone.
+
+    ``partitions`` deals the rows out first, for an input of few files that can't be split.
+    """
+    if partitions:
+        df = df.repartition(partitions)
     columns = []
     for f in df.schema.fields:
         if f.name in keep:

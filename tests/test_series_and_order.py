@@ -118,4 +118,4 @@ def test_top_values_and_distinct_counts(spark):
     exact = topk.distinct_counts(df, ["s", "n"], exact=True).first()
     assert (exact.s, exact.n) == (3, 2)
     with pytest.raises(ValueError):
-        topk.top_values(df, "missing")
+        topk.top_values(df, "missing", 2)
