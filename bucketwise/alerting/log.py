@@ -96,7 +96,7 @@ def within_retention(events: DataFrame, ts: str, now: datetime, days: int = RETE
 
 
 class AlertLog:
-    """Append-only Parquet log, partitioned by day."""
+    """Parquet log, partitioned by day: appended to, or rewritten by day where results can still change."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -109,11 +109,15 @@ class AlertLog:
         """Clear the log and store a recomputed range."""
         self._write(kept, "overwrite")
 
-    def _write(self, kept: DataFrame, mode: str) -> None:
+    def rewrite_days(self, kept: DataFrame) -> None:
+        """Replace the days that ``kept`` has rows of."""
+        self._write(kept, "overwrite", "dynamic")
+
+    def _write(self, kept: DataFrame, mode: str, partitions: str = "static") -> None:
         rows = kept.select(*ID, "timestamp", "status", "message", F.to_date("timestamp").alias("event_date"))
         # Few files per day, while a day with very many rows is still split.
         balanced = rows.hint("rebalance", F.col("event_date"))
-        (balanced.write.mode(mode).option("partitionOverwriteMode", "static")
+        (balanced.write.mode(mode).option("partitionOverwriteMode", partitions)
          .partitionBy("event_date").parquet(self.path))
 
     def clear(self) -> None:

@@ -7,8 +7,9 @@ one to the end of its input, which is also how a bounded backlog is caught up.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager, nullcontext
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from bucketwise.alerting.log import AlertLog, changes
 from bucketwise.functions.buckets import Width, epoch_seconds
 from bucketwise.functions.fields import quote
 from bucketwise.operators.anonymize import Processor, anonymize
-from bucketwise.session import scratch_path
+from bucketwise.session import checkpointed, scratch_path
 
 
 def live_series(events: DataFrame, ts: str, series: Sequence[str], width: int | str, lateness: str,
@@ -45,15 +46,52 @@ def live_series(events: DataFrame, ts: str, series: Sequence[str], width: int |
     )
 
 
-def with_heartbeat(events: DataFrame, beats: DataFrame, ts: str, weight: str = "weight") -> DataFrame:
+class RunningTable:
+    """The newest row of each key from a stream in update mode, as a table.
+
+    Rows are stored by day and micro-batch, so a repeated batch replaces its own rows and readers
+    take the newest batch of each key. This is the sink of a running series.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], time: str):
+        self.spark, self.path, self.keys, self.time = spark, path.rstrip("/"), list(keys), time
+
+    def write(self, batch: DataFrame, number: float) -> None:
+        """Usable as a ``foreachBatch`` function."""
+        rows = batch.withColumn("stored_day", F.to_date(self.time)).withColumn("stored_batch", F.lit(float(number)))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("stored_day", "stored_batch").parquet(self.path))
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def read(self, since: date | None = None) -> DataFrame:
+        """The newest rows, of days from ``since`` on."""
+        stored = self.spark.read.parquet(self.path)
+        if since is not None:
+            stored = stored.where(F.col("stored_day") >= F.lit(since))
+        rest = [c for c in stored.columns if c not in (*self.keys, "stored_day", "stored_batch")]
+        newest = F.max_by(F.struct(*[F.col(quote(c)) for c in rest]), "stored_batch").alias("__newest")
+        return (stored.groupBy(*[F.col(quote(k)) for k in self.keys]).agg(newest)
+                .select(*[F.col(quote(k)) for k in self.keys], "__newest.*"))
+
+
+def with_heartbeat(events: DataFrame, beats: DataFrame, ts: str, weight: str = "weight",
+                   keys: Sequence[Mapping[str, object]] = ()) -> DataFrame:
     """Add weightless rows, so that buckets without events still appear with value 0.
 
     ``beats`` is a stream of (ts) rows, for instance a rate source; the metric over
-    the result is ``sum(weight)``.
+    the result is ``sum(weight)``. ``keys`` are the keys of the alerts that watch the metric: each
+    gets a row of its own a beat.
     """
     counted = events.withColumn(weight, F.lit(1))
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != ts else F.col(quote(ts))
-               for f in events.schema.fields]
+    types = {f.name: f.dataType for f in events.schema.fields}
+    if keys:
+        each = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in key.items()]) for key in keys]
+        beats = beats.select(F.col(quote(ts)), F.inline(F.array(*each)))
+    known = {ts, *(keys[0] if keys else ())}
+    missing = [F.col(quote(n)) if n in known else F.lit(None).cast(t).alias(n) for n, t in types.items()]
     return counted.unionByName(beats.select(*missing, F.lit(0).alias(weight)))
 
 
@@ -86,11 +124,33 @@ def judge_batch(metric: DataFrame, definitions: Sequence[AlertDefinition]) -> Da
 
 def alert_writer(definitions: Sequence[AlertDefinition], log: AlertLog,
                  hook: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: evaluate, keep changes, append them to the log."""
-    def write(batch: DataFrame, _: int) -> None:
-        results = judge_batch(batch, definitions)
-        kept = changes(results, log.current())
-        log.append(hook(kept) if hook else kept)
+    """A ``foreachBatch`` function: evaluate, and keep the log equal to the changes of all newest results.
+
+    A running bucket may be judged again in a later batch. Results are therefore stored by alert and
+    time, and the days from the first one that a batch touches on are written anew. ``hook`` gets the rows
+    that were not in the log before; what it returns replaces them.
+    """
+    store = RunningTable(log.spark, f"{log.path.rstrip('/')}_results", [*ID, "timestamp"], "timestamp")
+
+    def write(batch: DataFrame, number: int) -> None:
+        results = judge_batch(batch, definitions).select(*ID, "timestamp", "status", "message")
+        results = results.persist()
+        try:
+            first = results.agg(F.min(F.to_date("timestamp"))).first()[0]
+            if first is None:
+                return
+            since = first - timedelta(days=1)
+            before = checkpointed(changes(store.read(since))) if hook and store.exists() else None
+            store.write(results, number)
+        finally:
+            results.unpersist()
+        if hook:
+            fresh = changes(store.read(since)).where(F.to_date("timestamp") >= F.lit(first))
+            if before is not None:
+                fresh = fresh.join(before, [*ID, "timestamp", "status"], "left_anti").select(*fresh.columns)
+            store.write(hook(fresh).select(*ID, "timestamp", "status", "message"), number + 0.5)
+        kept = changes(store.read(since)).where(F.to_date("timestamp") >= F.lit(first))
+        log.rewrite_days(kept)
 
     return write
 

@@ -31,6 +31,14 @@ def live_series(spark, folder):
     return live.run_available(series, "live-series")
 
 
+@register("st1_running_series", "SELECT date_trunc('hour', ts) AS time, event_type, count(*) AS y FROM events GROUP BY 1, 2")
+def _(spark, folder):
+    series = live.live_series(event_stream(spark, folder), "ts", ["event_type"], "1 hour", LATE)
+    running = live.RunningTable(spark, scratch_path(spark, "running-series"), ["time", "event_type"], "time")
+    live.run_batches(series, "running-series", running.write, "update")
+    return running.read()
+
+
 def alert(lag: int, **condition) -> AlertDefinition:
     return AlertDefinition(AlertId("stream", "errors"), Width.parse("1 hour"), lag, message="odd error rate", **condition)
 
@@ -54,6 +62,22 @@ def _(spark, folder):
     return store.read().withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@register("st2_several_batches", STREAM_SQL.format(rows="""
+  SELECT date_trunc('hour', ts) AS timestamp, CASE WHEN count(*) > 3 THEN 'error' ELSE 'OK' END AS status
+  FROM events WHERE event_type = 'error' GROUP BY 1"""))
+def _(spark, folder):
+    """The events come in three batches that each hold a part of every hour, so buckets are judged again."""
+    errors = table(spark, folder, "events").where("event_type = 'error'")
+    path = scratch_path(spark, "parts")
+    for part in range(3):
+        errors.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    store = AlertLog(spark, scratch_path(spark, "alert-log"))
+    store.clear()
+    metric = live.live_metric(live.file_stream(spark, path, errors.schema, files_per_trigger=1), "ts", "1 hour", "40 days")
+    live.run_batches(metric, "several", live.alert_writer([alert(0, value_gt=3.0)], store), "update")
+    return store.read().withColumn("event_date", F.col("event_date").cast("string"))
+
+
 @register("st3_live_alert_final_bucket", STREAM_SQL.format(rows=f"""
   SELECT time + INTERVAL 1 HOUR AS timestamp, CASE WHEN mean > 40 THEN 'error' ELSE 'OK' END AS status FROM (
     SELECT date_trunc('hour', ts) AS time, avg(value) AS mean FROM events WHERE event_type = 'error' GROUP BY 1)
@@ -86,6 +110,26 @@ def _(spark, folder):
     return live.run_available(metric, "heartbeat")
 
 
+@register("st3_zero_rows_per_alert", f"""
+WITH grid AS (SELECT CAST(g AS TIMESTAMP) AS time FROM generate_series(
+    (SELECT date_trunc('hour', min(ts)) FROM events), (SELECT date_trunc('hour', max(ts)) FROM events), INTERVAL 1 HOUR) t(g)),
+c AS (SELECT date_trunc('hour', ts) AS time, event_type, count(*) AS n FROM events WHERE value > 60 AND event_type IN ('error', 'view') GROUP BY 1, 2)
+SELECT k.event_type, CAST(epoch(grid.time) AS BIGINT) AS time_ts, CAST(coalesce(n, 0) AS DOUBLE) AS value
+FROM grid CROSS JOIN (VALUES ('error'), ('view')) k(event_type) LEFT JOIN c ON c.time = grid.time AND c.event_type = k.event_type
+WHERE {FINAL.replace('time +', 'grid.time +')}""")
+def _(spark, folder):
+    wanted = event_stream(spark, folder).where("event_type IN ('error', 'view') AND value > 60")
+    ends = table(spark, folder, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    path, first = scratch_path(spark, "beats"), ends.lo.replace(minute=0, second=0, microsecond=0)
+    # A beat at the end of the data moves the watermark as far as the events do.
+    beats = (time_grid(spark, first, ends.hi, "1 hour", "ts").select("ts")
+             .unionByName(table(spark, folder, "events").select(F.max("ts").alias("ts"))))
+    beats.write.parquet(path)
+    kept = live.with_heartbeat(wanted, live.file_stream(spark, path, beats.schema), "ts",
+                               keys=[{"event_type": "error"}, {"event_type": "view"}])
+    return live.run_available(live.live_metric(kept, "ts", "1 hour", LATE, "sum(weight)", ["event_type"]), "heartbeat-keys")
+
+
 @register("st4_change_feed", """
 SELECT 'types' AS alert_id_group, event_type AS alert_id_key, time AS timestamp, status,
   CASE WHEN b <> status THEN 'change' ELSE 'daily' END AS reason FROM (
