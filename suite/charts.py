@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -221,10 +222,12 @@ def _(spark, folder):
             .orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100))
 
 
-@register("l5_sample_rows")
+@register("l5_sample_rows", """
+SELECT * FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-30' AND TIMESTAMP '2024-01-31' ORDER BY ts DESC, event_id LIMIT 50""")
 def _(spark, folder):
-    ctx = context(spark, folder, "events", filters=flt.FilterState(flt.TimeRange("24h")))
-    return Chart("table", EVENTS, limit=50).run(ctx).df
+    newest = table(spark, folder, "events").orderBy(F.col("ts").desc(), "event_id")
+    ctx = context(spark, folder, filters=flt.FilterState(flt.TimeRange("24h")))
+    return Chart("table", EVENTS, limit=50).run(replace(ctx, tables={"events": newest})).df
 
 
 # -- specs as data ----------------------------------------------------------------------

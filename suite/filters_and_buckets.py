@@ -258,3 +258,28 @@ def _(spark, folder):
     chart = Chart("timeBar", from_table("events"), x=fld.auto_bucket("ts"), y=fld.count())
     out = rated(chart.run(context(spark, folder, "events"), ordered=False), "cnt")
     return out.withColumn("cnt", F.round("cnt", 8))
+
+
+@register("f5_range_in_milliseconds", """
+SELECT event_type, count(*) AS n FROM events
+WHERE epoch_ms(ts) BETWEEN epoch_ms(TIMESTAMP '2024-01-30') AND epoch_ms(TIMESTAMP '2024-01-31') GROUP BY 1""")
+def _(spark, folder):
+    span = flt.TimeRange("24h").resolve(NOW)
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    return (table(spark, folder, "events").where(at.between(span.from_ms, span.to_ms))
+            .groupBy("event_type").agg(F.count("*").alias("n")))
+
+
+@register("f7_filter_state", """
+SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-31' AND value > 30 AND event_type = 'error'""")
+def _(spark, folder):
+    state = flt.FilterState(flt.TimeRange("48h")).add("value > 30").add(flt.equals("event_type", "error"))
+    return flt.FilterState.from_dict(state.to_dict()).apply(table(spark, folder, "events"), "ts", NOW).select("event_id")
+
+
+@register("f8_template_bound", """
+SELECT event_id FROM events WHERE user_id = 17 OR event_type LIKE '%vie%'""")
+def _(spark, folder):
+    by_user, by_text = flt.PredicateTemplate("user", "user_id = ..."), flt.PredicateTemplate("text", "event_type LIKE '%...%'")
+    events = table(spark, folder, "events")
+    return events.where(F.expr(f"({by_user.bind(17)}) OR ({by_text.bind('vie')})")).select("event_id")

@@ -250,3 +250,16 @@ SELECT o_orderkey, round(o_totalprice / (SELECT price FROM top), 6) AS part_of_t
 @register("p11_scalar_cte", P11_SQL)
 def _(spark, folder):
     return compile_query(sqltext.from_string_unfiltered(P11_SQL), context(spark, folder, "orders")).df
+
+
+@register("s17_s18_columns_and_classes", """
+SELECT table_name AS "table", column_name AS "column", CASE
+    WHEN data_type LIKE '%[]' OR data_type LIKE 'STRUCT%' OR data_type LIKE 'MAP%' THEN ''
+    WHEN data_type IN ('VARCHAR', 'BOOLEAN') THEN 'categorical'
+    WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'temporal' ELSE 'continuous' END AS class
+FROM information_schema.columns WHERE table_name IN ('events', 'orders', 'embeddings', 'documents')""")
+def _(spark, folder):
+    from bucketwise.sources.catalog import columns_of
+
+    tables = {name: table(spark, folder, name) for name in ("events", "orders", "embeddings", "documents")}
+    return columns_of(tables, spark).select("table", "column", "class")
