@@ -90,7 +90,7 @@ def test_katz_against_recursion(spark):
     assert len(got) == len(want)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
-        assert np.allclose(tuple(r)[5:], want[r.doc_id][4:], rtol=1e-9)
+        assert np.isclose(r.base_score, want[r.doc_id][4], rtol=1e-12) and np.isclose(r.score, want[r.doc_id][5], rtol=1e-6)
 
 
 def test_katz_edge_cases(edge_docs, no_docs, edge_texts):
