@@ -28,6 +28,8 @@ ALIASES = {
     "@annually": "0 0 1 1 *",
 }
 _LIMITS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
+# Names of months and weekdays.
+_NAMES = {"month": "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split(), "weekday": "SUN MON TUE WED THU FRI SAT".split()}
 _PART = re.compile(r"^(\*|\d+)(?:-(\d+))?(?:/(\d+))?$")
 
 
@@ -51,6 +53,14 @@ class Cron:
         return reduce(lambda a, b: a & b, [p for p in parts if p is not None], F.lit(True))
 
 
+def _numbered(text: str, field: str, low: int) -> str:
+    """Month and weekday names (any case) as numbers; a last day SUN of a range is 7."""
+    for i, name in enumerate(_NAMES.get(field, ())):
+        text = re.sub(rf"(?i)(?<=-){name}(?![a-z])", str(i + low or 7), text)
+        text = re.sub(rf"(?i)(?<![a-z]){name}(?![a-z])", str(i + low), text)
+    return text
+
+
 def parse_cron(expression: str) -> Cron:
     fields = ALIASES.get(expression.strip(), expression).split()
     if len(fields) != len(_LIMITS):
@@ -58,6 +68,7 @@ def parse_cron(expression: str) -> Cron:
     parsed = {}
     for text, (name, (low, high)) in zip(fields, _LIMITS.items()):
         values: set[int] = set()
+        text = "*" if text == "?" and name in ("day", "weekday") else _numbered(text, name, low)
         for part in text.split(","):
             found = _PART.match(part)
             if not found:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,12 @@ def export(df: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> None:
     """Write a result in an exchange format; schemaless columns become text."""
     if fmt not in EXPORT_FORMATS:
         raise ValueError(f"unknown export format {fmt!r}; known: {EXPORT_FORMATS}")
-    writer = export_safe(df).write.mode(mode)
+    safe = export_safe(df)
+    if fmt in ("csv", "tsv"):  # nested values have no form of their own there
+        nested = {f.name: F.to_json(F.col(quote(f.name))) for f in safe.schema.fields
+                  if f.dataType.typeName() in ("array", "map", "struct")}
+        safe = safe.withColumns(nested) if nested else safe
+    writer = safe.write.mode(mode)
     if fmt == "tsv":
         writer.option("sep", "\t").option("header", True).csv(path)
     elif fmt == "csv":
@@ -61,14 +67,27 @@ def write_text(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.write.mode(mode).text(path)
 
 
-def purge_expired(spark: SparkSession, path: str, kept: DataFrame, partition: str) -> None:
-    """Rewrite a date-partitioned folder without its expired days."""
-    from bucketwise.session import scratch_path
+def purge_expired(spark: SparkSession, path: str, partition: str, oldest: date) -> list[str]:
+    """Remove the folders of days before ``oldest`` from a date-partitioned folder; other data is not touched.
 
-    staged = scratch_path(spark, "retention")
-    kept.write.partitionBy(partition).parquet(staged)
-    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy(partition).parquet(path))
+    Returns the days that were removed. Only names are listed, nothing is read or rewritten.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for entry in files.listStatus(root):
+        name, _, value = entry.getPath().getName().partition("=")
+        if entry.isDirectory() and name == partition and _is_day(value) and date.fromisoformat(value) < oldest:
+            files.delete(entry.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
+
+
+def _is_day(text: str) -> bool:
+    try:
+        return bool(date.fromisoformat(text))
+    except ValueError:
+        return False
 
 
 # -- JSON lines ---------------------------------------------------------------------------

@@ -233,3 +233,10 @@ def test_reason_looks_across_midnight(spark):
     kept = alog.changes(df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))).orderBy("timestamp").collect()
     assert [(r.timestamp.day, r.timestamp.hour, r.reason) for r in kept] == [
         (1, 22, "daily"), (2, 0, "change"), (3, 0, "daily"), (3, 1, "change")]
+
+
+def test_cron_names():
+    assert parse_cron("0 9 ? jan,MAR MON-FRI") == parse_cron("0 9 * 1,3 1-5")
+    assert parse_cron("0 0 * * fri-SUN").weekday == frozenset({5, 6, 0}) and parse_cron("0 0 * * sun").weekday == frozenset({0})
+    with pytest.raises(ValueError):
+        parse_cron("0 0 * * MOND")

@@ -72,3 +72,11 @@ def test_scalars(spark):
         *[c.alias(n) for c, n in zip(sc.split_id(F.lit("g#k#more")), ("g", "k"))]).first()
     assert row.asDict() == {"first": "a-b.c", "dots": 2, "text": "x", "number": "", "broken": "", "deep": "deep",
                             "n": 69.0, "zero": 0.0, "none": None, "empty": 0, "g": "g", "k": "k#more"}
+
+
+def test_nested_columns_are_exported_as_json(spark, tmp_path):
+    df = spark.sql("SELECT 1 AS i, array(1, 2) AS a, map('k', 'v') AS m, named_struct('x', 1) AS s, CAST(NULL AS ARRAY<INT>) AS z")
+    for fmt in ("csv", "tsv"):
+        sinks.export(df, str(tmp_path / fmt), fmt)
+        back = spark.read.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").option("escape", "\\").csv(str(tmp_path / fmt))
+        assert tuple(back.first()) == ("1", "[1,2]", '{"k":"v"}', '{"x":1}', None)
