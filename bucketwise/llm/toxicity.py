@@ -138,6 +138,7 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, s
             first += 0.1 * (grad - first)
             second += 0.001 * (grad * grad - second)
             theta -= rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+            np.maximum(theta[:-1], 0, out=theta[:-1])  # kept features speak for toxic text, none against it
         weights[c], intercepts[c] = theta[:-1], theta[-1]
 
     def mean_value(rows: list[np.ndarray]) -> np.ndarray:
