@@ -155,11 +155,13 @@ def with_rules_applied(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows = docs.select(F.col(id_column).alias("doc"), F.coalesce(docs[host_column].cast("string"), F.lit("")).alias("host"),
                        F.xxhash64(text_column).alias("hash"), F.struct(*docs.columns).alias("row"))
     joined = rows.join(kept, F.col("doc").eqNullSafe(F.col("d")) & (F.col("host") == F.col("h")) & (F.col("hash") == F.col("t")))
-    whole = joined.where(F.size("removed_lines") == 0).select("row.*")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
+                if not len(part.column("removed_lines").flatten()):
+                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text")], ["row", "kept_text"])
+                    continue
                 w = words(*text_bytes(part.column("text")))
                 start, end, first, count, doc = lines_of(w)
                 norm = sequence_hashes(hash_words(w, lower=True), first, count).view(np.int64)
@@ -175,7 +177,7 @@ def with_rules_applied(docs: DataFrame, id_column: str = "doc_id", text_column:
                 text = pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), text], ["row", "kept_text"])
 
-    rowed = joined.where(F.size("removed_lines") > 0).select("row", F.col("row")[text_column].alias("text"), "removed_lines")
+    rowed = joined.select("row", F.col("row")[text_column].alias("text"), "removed_lines")
     cut = rowed.mapInArrow(strip, T.StructType([rowed.schema["row"], T.StructField("kept_text", T.StringType())]))
-    return whole.unionByName(cut.select(*(F.col("kept_text").alias(c) if c == text_column else F.col("row")[c].alias(c)
-                                          for c in docs.columns)))
+    return cut.select(*(F.when(F.col("row")[c].isNotNull(), F.col("kept_text")).alias(c) if c == text_column
+                        else F.col("row")[c].alias(c) for c in docs.columns))
