@@ -38,8 +38,8 @@ from bucketwise.llm.ragged import chunks, hash_words, mix64, text_bytes, words
 from bucketwise.session import scratch_path
 
 TOP = 5                    # counts above are taken as they are
-BLOCK_TOKENS = 2_000_000   # tokens that are sorted together
-BUCKETS, BUCKET_BYTES = 48, 20 << 20
+BLOCK_TOKENS = 1_000_000   # tokens that are sorted together
+BUCKETS, BUCKET_BYTES = 96, 10 << 20
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x9AE16A3B2F90404F)
 TINY = 1e-9
 
@@ -96,7 +96,7 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-GRAMS = ("block long, bucket int, ids array<long>, held array<boolean>, tokens array<int>, hs array<long>, hn array<int>, "
+GRAMS = ("block long, bucket int, docs int, ids array<long>, held array<boolean>, tokens array<int>, hs array<long>, hn array<int>, "
          "ws array<long>, wn array<int>, tn array<int>, doc array<int>")
 
 
@@ -105,6 +105,7 @@ def _grams(buckets: int):
                    word: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         order = np.argsort((hist & np.uint64(0xFFFFFFFF00000000)) | (word >> np.uint64(32)))
         hist, word, doc = hist[order], word[order], doc[order]
+        del order
         new = np.ones(len(hist), bool)
         new[1:] = (hist[1:] != hist[:-1]) | (word[1:] != word[:-1])
         at = np.flatnonzero(new)
@@ -125,13 +126,14 @@ def _grams(buckets: int):
         add = lambda ends: np.append(ends, ends[-1])
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(some) + 1, number)), pa.array(np.append(some, number % buckets), pa.int32()),
+             pa.array(np.full(len(some) + 1, len(ids)), pa.int32()),
              pa.ListArray.from_arrays(pa.array(np.append(nothing, len(ids)), pa.int32()), pa.array(ids, pa.int64())),
              _lists(held, np.append(nothing[:-1], len(held)), pa.bool_()),
              _lists(tokens, np.append(nothing[:-1], len(tokens)), pa.int32()),
              _lists(hs.view(np.int64), add(h_ends), pa.int64()), _lists(hn, add(h_ends), pa.int32()),
              _lists(ws.view(np.int64), add(w_ends), pa.int64()), _lists(wn, add(w_ends), pa.int32()),
              _lists(tn, add(w_ends), pa.int32()), _lists(doc, add(d_ends), pa.int32())],
-            ["block", "bucket", "ids", "held", "tokens", "hs", "hn", "ws", "wn", "tn", "doc"])
+            ["block", "bucket", "docs", "ids", "held", "tokens", "hs", "hn", "ws", "wn", "tn", "doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -149,16 +151,19 @@ def _grams(buckets: int):
                 word[inner], word[ends - 1] = h, END
                 parts.append((part.column("id").to_pylist(), part.column("held").to_numpy(zero_copy_only=False),
                               part.column("learnt").to_numpy(zero_copy_only=False), n, hist, word,
-                              np.repeat(np.arange(len(n)) + docs, n)))
+                              np.repeat(np.arange(len(n), dtype=np.int32) + np.int32(docs), n)))
                 size += len(hist)
                 docs += len(n)
                 if size >= BLOCK_TOKENS:
-                    yield block_rows(number, [i for p in parts for i in p[0]],
-                                     *(np.concatenate(c) for c in list(zip(*parts, strict=True))[1:]))
-                    parts, size, docs, number = [], 0, 0, number + 1
+                    ids, *columns = zip(*parts, strict=True)
+                    parts.clear()
+                    yield block_rows(number, [i for p in ids for i in p], *(np.concatenate(c) for c in columns))
+                    size, docs, number = 0, 0, number + 1
+                    del ids, columns
+                    pa.default_memory_pool().release_unused()
         if parts:
-            yield block_rows(number, [i for p in parts for i in p[0]],
-                             *(np.concatenate(c) for c in list(zip(*parts, strict=True))[1:]))
+            ids, *columns = zip(*parts, strict=True)
+            yield block_rows(number, [i for p in ids for i in p], *(np.concatenate(c) for c in columns))
 
     return run
 
@@ -246,16 +251,14 @@ def _score(model: Model):
             if len(key):
                 hit &= (th[at] == full) & (tw[at] == ws)
                 value[hit] += correction[at[hit]]
-            docs = int(doc.max()) + 1
-            sums = [np.bincount(doc, weights=np.repeat(v, wn), minlength=docs)
-                    for v in (value, np.repeat(base, hn), np.repeat(known, hn))]
-            some = np.flatnonzero(np.bincount(doc, minlength=docs))
-            out.append([some, *(s[some] for s in sums)])
-        sizes = np.cumsum([len(o[0]) for o in out], dtype=np.int64)
-        flat = [np.concatenate(x) if out else np.zeros(0) for x in (list(zip(*out, strict=True)) or [[]] * 4)]
-        return pa.table({"block": grams.column("block"), "doc": _lists(flat[0], sizes, pa.int32()),
-                         "score": _lists(flat[1], sizes, pa.float64()), "base": _lists(flat[2], sizes, pa.float64()),
-                         "known": _lists(flat[3].astype(np.int64), sizes, pa.int32())})
+            n = grams.column("docs")[i].as_py()
+            out.append([np.bincount(doc, weights=np.repeat(v, wn), minlength=n)
+                        for v in (value, np.repeat(base, hn), np.repeat(known, hn))])
+        ends = np.cumsum([len(o[0]) for o in out], dtype=np.int64)
+        score, base, known = (np.concatenate(x) if out else np.zeros(0) for x in (list(zip(*out, strict=True)) or [[]] * 3))
+        # Partial sums of a bucket are small, so four bytes keep them to far more digits than the sum needs.
+        return pa.table({"block": grams.column("block"), "score": _lists(score, ends, pa.float32()),
+                         "base": _lists(base, ends, pa.float64()), "known": _lists(known.astype(np.int64), ends, pa.int32())})
 
     return run
 
@@ -264,8 +267,7 @@ def _add_up(model: Model):
     def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
         ids = docs.column("ids").combine_chunks().flatten()
         n = len(ids)
-        doc = _flat(parts.column("doc"))
-        score, base, known = (np.bincount(doc, weights=_flat(parts.column(x)), minlength=n) for x in ("score", "base", "known"))
+        score, base, known = (_flat(parts.column(x)).reshape(-1, n).sum(0, dtype=np.float64) for x in ("score", "base", "known"))
         end = np.array([model.ends])
         score += np.log10(model.word_mass(end))
         base += model.base(end)
@@ -312,8 +314,8 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_colu
     rows = (rest.unionByName(pairs.where(F.col("w") == end).withColumn("cw", F.lit(ends).cast("long")))
             .unionByName(word_rows.select("kind", "h", "w", "c", F.lit(0).cast("long").alias("cw")))
             .withColumn("bucket", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {buckets}L, 32) as int)")))
-    parts = (listed.select("bucket", "block", "hs", "hn", "ws", "wn", "doc").groupBy("bucket").cogroup(rows.groupBy("bucket"))
-             .applyInArrow(_score(model), "block long, doc array<int>, score array<double>, base array<double>, known array<int>"))
+    parts = (listed.select("bucket", "block", "docs", "hs", "hn", "ws", "wn", "doc").groupBy("bucket").cogroup(rows.groupBy("bucket"))
+             .applyInArrow(_score(model), "block long, score array<float>, base array<double>, known array<int>"))
     blocks = grams.where(F.size("ids") > 0).select("block", "ids", "held", "tokens")
     scored = blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(
         _add_up(model), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
