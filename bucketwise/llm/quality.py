@@ -2,12 +2,13 @@
 
 Rules on a text alone: too few words, or too many words in repeated five-word windows. Then the lines
 of all texts are hashed (words in lower case, white space collapsed) and the distinct texts that hold a
-line are counted per host. A line in more than ``line_share`` of a host's texts (and in at least
-``line_docs``) is removed everywhere but in the host's first document with it, so that its content
-stays once. A document with fewer than ``MIN_WORDS`` words or less than ``min_left`` of its words left
-is rejected.
+line are counted per host. A line is above the limits in more than ``line_share`` of a host's texts, or
+in more than ``line_many`` of them however large the host is, but not in fewer than ``line_docs``. It is
+removed everywhere but in the host's first document with it, so that its content stays once. A document
+with fewer than ``MIN_WORDS`` words or less than ``min_left`` of its words left is rejected.
 
-Exact copies count as one text, so a copied document does not make its own lines frequent.
+Exact copies count as one text, so a copied document does not make its own lines frequent. Of a group of
+near copies large enough for the limits, the first document keeps the lines; the others keep what is their own.
 
 Defined cases: a null or empty text has no words and fails; a null host is the host ''; rows that repeat
 an id get the same decision for the same text; an empty table gives no rows; further columns are ignored.
@@ -102,18 +103,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  "lines", "line_words"])
 
 
-def frequent_lines(described: DataFrame, line_share: float, line_docs: int) -> DataFrame:
+def frequent_lines(described: DataFrame, line_share: float, line_docs: int, line_many: int) -> DataFrame:
     """Lines above the limits: host, line, number of distinct texts and the first document."""
     one = described.groupBy("host", "text_hash").agg(F.min_by("lines", "doc").alias("lines"), F.min("doc").alias("doc"))
     texts = one.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     counted = (one.select("host", "doc", F.explode("lines").alias("line")).groupBy("host", "line")
                .agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first_doc"))
                .where(F.col("docs") >= line_docs))
-    return counted.join(texts, "host").where(F.col("docs") > line_share * F.col("texts")).drop("texts")
+    above = (F.col("docs") > line_share * F.col("texts")) | (F.col("docs") > line_many)
+    return counted.join(texts, "host").where(above).drop("texts")
 
 
-def quality_rules(docs: DataFrame, line_share: float = 0.25, line_docs: int = 10, min_left: float = 0.3,
-                  id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, line_share: float = 0.01, line_docs: int = 10, line_many: int = 1000,
+                  min_left: float = 0.3, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """Per document its figures, base_failed, kept, words in removed lines and the hashes of those lines."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_column]
@@ -124,7 +126,7 @@ def quality_rules(docs: DataFrame, line_share: float = 0.25, line_docs: int = 10
      .write.parquet(path))
     described = spark.read.parquet(path)
     listed = scratch_path(spark, "frequent-lines")
-    frequent_lines(described, line_share, line_docs).write.parquet(listed)
+    frequent_lines(described, line_share, line_docs, line_many).write.parquet(listed)
     frequent = spark.read.parquet(listed)  # its size is known now: the session decides how to join it
     gone = (described.select("doc", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
             .select("doc", "host", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("n"))

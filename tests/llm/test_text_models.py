@@ -48,6 +48,27 @@ def test_frequent_lines(spark):
     assert kept[0] == texts[0][1] and kept[3] == texts[3][1].split("\n")[1] and 50 not in kept and len(kept) == 50
 
 
+def test_lines_above_the_limits_on_a_large_host(spark):
+    """A line in 7 % of a host goes, as does one above the absolute limit; near copies leave their lines to the first."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    some, few = "Follow us for more of this", "this line is not frequent"
+    texts = [(i, (f"{some}\n" if i % 14 == 3 else f"{few}\n" if i % 22 == 4 else "") + own(i), "news") for i in range(200)]
+    near = "\n".join(" ".join(f"r{k}c{j}" for j in range(9)) for k in range(5))
+    texts += [(300 + i, f"{near}\nlast row of copy {i}", "news") for i in range(15)]
+    df = spark.createDataFrame(rows_of(texts), COLUMNS)
+    got = {r.doc_id: r for r in quality_rules(df).collect()}
+    holders = [i for i in range(200) if i % 14 == 3]
+    assert len(holders) == 15 and sum(i % 22 == 4 and i % 14 != 3 for i in range(200)) == 9
+    assert {i for i in range(200) if got[i].removed_words} == set(holders[1:]) and {got[i].removed_words for i in holders[1:]} == {6}
+    assert all(got[i].kept for i in range(200)) and got[300].kept and got[300].removed_words == 0
+    assert all(not got[i].kept and not got[i].base_failed and got[i].removed_words == 45 for i in range(301, 315))
+    left = {r.doc_id: r.text for r in with_rules_applied(df).collect()}
+    assert all(left[i] == own(i) for i in holders[1:]) and left[3] == texts[3][1] and left[300] == texts[200][1]
+    loose = {r.doc_id: r.removed_words for r in quality_rules(df, line_share=0.5, line_many=14).collect()}
+    assert {i for i in range(200) if loose[i]} == set(holders[1:])
+    assert not any(r.removed_words for r in quality_rules(df, line_share=0.5, line_many=15).collect())
+
+
 def brute_model(docs):
     tokens = {d: [*WORD.findall((t or "").translate(LOWER)), "</s> "] for d, t in docs.items()}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
