@@ -1,15 +1,16 @@
 """Language model scores by Katz backoff over words and word pairs.
 
-Counts are discounted by Good-Turing for counts up to ``TOP``; pairs seen once are left to the backoff, as
-is usual for this model. Every history's backoff weight is the mass its pairs leave over, divided by the
+Counts are discounted by Good-Turing for counts up to ``TOP``. The model knows pairs counted ``least_pairs`` times or more;
+with 1 it is whole, with 2 pairs seen once are left to the backoff. Every history's backoff weight is the mass its pairs leave over, divided by the
 word mass of what it has not seen, so that the probabilities after every history sum to one. Words that
 training has not seen are one class with the mass that the word counts leave over. A score is the sum of
 log10 probabilities: of a pair where it is known, else the history's weight times the probability of the word.
 
 How it runs. Documents are read once. Each block of texts becomes sorted ragged arrays: history, next word, and the
 documents that hold the pair, cut by a hash of the history into buckets. This table is written
-bucketed, so counting and scoring both read a bucket as it lies, without a shuffle. The model (word counts
-and pairs) is a table dealt into the same buckets. A token's log probability splits into a term of its word and
+bucketed, so counting and scoring both read a bucket as it lies, without a shuffle. Pairs are never shuffled: scoring
+counts those of its bucket again. What a bucket can't know are the counts of its next words; it asks the buckets where
+those are histories, with one sorted list for each, and gets a list of counts. A token's log probability splits into a term of its word and
 history and, for known pairs, a correction; buckets return sums per document of a block, which are added up by block.
 A frequent pair costs one number for each place it stands in and one row a bucket.
 
@@ -76,8 +77,9 @@ def discounts(n: dict[int, int], lowest: int) -> np.ndarray:
     return out
 
 
-def make_model(word_counts: dict[int, int], pair_counts: dict[int, int], tokens: int, distinct: int, ends: int) -> Model:
-    words_d, pairs_d = discounts(word_counts, 1), discounts(pair_counts, 2)
+def make_model(word_counts: dict[int, int], pair_counts: dict[int, int], tokens: int, distinct: int, ends: int,
+               least_pairs: int = 2) -> Model:
+    words_d, pairs_d = discounts(word_counts, 1), discounts(pair_counts, least_pairs)
     lost = sum((1 - words_d[r]) * r * word_counts.get(r, 0) for r in range(1, TOP + 1))
     unknown = lost / tokens if tokens else 1.0
     shrink = 1.0
@@ -100,6 +102,10 @@ GRAMS = ("block long, bucket int, docs int, ids array<long>, held array<boolean>
          "ws array<long>, wn array<int>, tn array<int>, doc array<int>")
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
 def _grams(buckets: int):
     def block_rows(number: int, ids: list, held: np.ndarray, learnt: np.ndarray, tokens: np.ndarray, hist: np.ndarray,
                    word: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
@@ -116,7 +122,7 @@ def _grams(buckets: int):
         new_h[1:] = h[1:] != h[:-1]
         h_at = np.flatnonzero(new_h)
         hs, hn = h[h_at], np.diff(np.append(h_at, len(h)))
-        bucket = ((hs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        bucket = _bucket(hs, buckets)
         some = np.unique(bucket)
         h_ends = np.searchsorted(bucket, some, side="right")
         w_ends = np.cumsum(hn)[h_ends - 1]
@@ -168,31 +174,66 @@ def _grams(buckets: int):
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Of one bucket: kind 0, how many pairs have count r (in h); 1, training count of each history; 2, pairs counted twice or more."""
-    pa.default_memory_pool().release_unused()  # of the bucket before
-    hist = np.repeat(_flat(table.column("hs")), _flat(table.column("hn")))
-    word, n = _flat(table.column("ws")), _flat(table.column("tn"))
+def _pairs(table: pa.Table, least: int) -> tuple[np.ndarray, ...]:
+    """Of one bucket: histories and their training counts; history, word and count of the model's pairs; how many pairs have count r."""
+    n = _flat(table.column("tn"))
     seen = n > 0
-    hist, word, n = hist[seen], word[seen], n[seen].astype(np.int64)
+    hist = np.repeat(_flat(table.column("hs")), _flat(table.column("hn")))[seen].view(np.uint64)
+    word, n = _flat(table.column("ws"))[seen].view(np.uint64), n[seen]
     order = np.lexsort((word, hist))
     hist, word, n = hist[order], word[order], n[order]
+    del order, seen
     new = np.ones(len(hist), bool)
     new[1:] = (hist[1:] != hist[:-1]) | (word[1:] != word[:-1])
     at = np.flatnonzero(new)
     hist, word = hist[at], word[at]
-    n = np.add.reduceat(n, at) if len(at) else n
+    n = np.add.reduceat(n, at, dtype=np.int64) if len(at) else n.astype(np.int64)
     new_h = np.ones(len(hist), bool)
     new_h[1:] = hist[1:] != hist[:-1]
     h_at = np.flatnonzero(new_h)
     total = np.add.reduceat(n, h_at) if len(h_at) else n
-    often = n >= 2
     r = np.bincount(np.minimum(n, TOP + 2), minlength=TOP + 3)[1:TOP + 2]
-    kinds = np.repeat([0, 1, 2], [len(r), len(total), int(often.sum())])
-    return pa.table({"kind": pa.array(kinds, pa.int32()),
-                     "h": np.concatenate([np.arange(1, TOP + 2), hist[h_at], hist[often]]),
-                     "w": np.concatenate([np.zeros(len(r) + len(total), np.int64), word[often]]),
-                     "c": np.concatenate([r, total, n[often]])})
+    hs = hist[h_at]
+    if least > 1:
+        known = n >= least
+        hist, word, n = hist[known], word[known], n[known]
+    return hs, total, hist, word, n, r
+
+
+COUNTS = "bucket int, part int, ws array<long>, cs array<long>, stats array<long>"
+
+
+def _count(buckets: int, least: int):
+    """Of one bucket: in part -1 its histories, their counts, and figures of all; in other parts the words whose counts it needs."""
+    def run(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the bucket before
+        hs, total, _, word, _, r = _pairs(table, least)
+        asked, start = np.unique(word), hs == START
+        part = _bucket(asked, buckets)
+        some = np.unique(part)
+        ends = np.searchsorted(part, some, side="right")
+        of_words = np.bincount(np.minimum(total[~start], TOP + 2), minlength=TOP + 3)[1:TOP + 2]
+        stats = np.array([*r, *of_words, total.sum(), len(hs), total[start].sum()], np.int64)
+        last = lambda n: np.append(np.zeros(len(some), np.int64), n)
+        return pa.table({"bucket": pa.array(np.full(len(some) + 1, table.column("bucket")[0].as_py()), pa.int32()),
+                         "part": pa.array(np.append(some, -1), pa.int32()),
+                         "ws": _lists(np.concatenate([asked, hs]).view(np.int64), np.append(ends, len(asked) + len(hs)), pa.int64()),
+                         "cs": _lists(total, last(len(total)), pa.int64()), "stats": _lists(stats, last(len(stats)), pa.int64())})
+
+    return run
+
+
+def _answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+    """Counts of the words that buckets ask for, in their order; 0 for the end token, which is no history."""
+    if not asked.num_rows:  # a side without rows has no columns either
+        return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "cs": pa.array([], pa.list_(pa.int64()))})
+    wanted = _flat(asked.column("ws")).view(np.uint64)
+    counts = np.zeros(len(wanted), np.int64)
+    if own.num_rows:
+        at, known = _found(_flat(own.column("hs")).view(np.uint64), wanted)
+        counts[known] = _flat(own.column("hc"))[at[known]]
+    ends = np.cumsum([len(x) for x in asked.column("ws")], dtype=np.int64)
+    return pa.table({"bucket": asked.column("bucket"), "part": asked.column("part"), "cs": _lists(counts, ends, pa.int64())})
 
 
 def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -206,13 +247,8 @@ def _found(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     return at, sorted_values[at] == values
 
 
-def word_and_pair_terms(model: Model, kind, h, w, c, cw):
-    """Of the model rows of a bucket: histories with count and weight (log10), pairs with key and correction."""
-    one, two = kind == 1, kind == 2
-    order = np.argsort(h[one])
-    hist, count = h[one][order], c[one][order]
-    order = np.argsort(h[two], kind="stable")
-    th, tw, tc, tcw = (x[two][order] for x in (h, w, c, cw))
+def word_and_pair_terms(model: Model, hist, count, th, tw, tc, tcw):
+    """Of the model of a bucket: histories with count and weight (log10), pairs with key and correction."""
     at, _ = _found(hist, th)
     mass = model.pairs[np.minimum(tc, TOP + 1)] * tc / count[at] if len(th) else np.zeros(0)
     word = model.word_mass(tcw)
@@ -227,12 +263,17 @@ def word_and_pair_terms(model: Model, kind, h, w, c, cw):
     return hist, count, weight, key[order], th[order], tw[order], correction[order]
 
 
-def _score(model: Model):
-    def run(grams: pa.Table, rows: pa.Table) -> pa.Table:
+def _score(model: Model, least: int):
+    def run(grams: pa.Table, answers: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()  # of the bucket before
-        columns = [rows.column(x).to_numpy() for x in ("kind", "h", "w", "c", "cw")]
-        columns[1], columns[2] = columns[1].astype(np.int64).view(np.uint64), columns[2].astype(np.int64).view(np.uint64)
-        hist, count, weight, key, th, tw, correction = word_and_pair_terms(model, *columns)
+        hs, total, th, tw, tc, _ = _pairs(grams, least)
+        asked, back = np.unique(tw, return_inverse=True)
+        cw = np.zeros(0, np.int64)
+        if answers.num_rows:  # a side without rows has no columns either
+            cw = _flat(answers.take(np.argsort(answers.column("part").to_numpy())).column("cs")).copy()
+        cw[asked == END] = model.ends
+        hist, count, weight, key, th, tw, correction = word_and_pair_terms(model, hs, total, th, tw, tc, cw[back])
+        del hs, total, tc, asked, back, cw
         out = []
         for i in range(grams.num_rows):  # blocks
             hs, hn, ws, wn, doc = (grams.column(x)[i].values.to_numpy() for x in ("hs", "hn", "ws", "wn", "doc"))
@@ -281,8 +322,11 @@ def _add_up(model: Model):
 
 
 def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_column: str = "doc_id",
-                text_column: str = "text") -> DataFrame:
-    """Scores of all texts by a model of those whose crc32(id as text) modulo ``folds`` is not the held-out one."""
+                text_column: str = "text", least_pairs: int = 2) -> DataFrame:
+    """Scores of all texts by a model of those whose crc32(id as text) modulo ``folds`` is not the held-out one.
+
+    ``least_pairs`` is the count from which the model knows a pair: 1 for all.
+    """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_column]
     size = docs.agg(F.sum(F.octet_length(F.col(text_column)))).first()[0] or 0
@@ -292,30 +336,25 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_colu
     (docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(fold, F.lit(False)).alias("held"),
                  F.coalesce(~fold, F.lit(False)).alias("learnt"), F.col(text_column).alias("text"))
      .mapInArrow(_grams(buckets), GRAMS)
-     .write.bucketBy(buckets, "bucket").option("path", scratch_path(spark, "word-pairs")).saveAsTable(name))
+     .write.option("compression", "zstd").bucketBy(buckets, "bucket").option("path", scratch_path(spark, "word-pairs")).saveAsTable(name))
     grams = spark.table(name)
     listed = grams.where(F.size("ids") == 0)
     counts = saved(listed.select("bucket", "hs", "hn", "ws", "tn").groupBy("bucket")
-                   .applyInArrow(_count, "kind int, h long, w long, c long"), "counts")
-    start, end = (int(np.array(x).view(np.int64)) for x in (START, END))
-    word_rows = counts.where("kind = 1")
-    of_pairs = {r[0]: r[1] for r in counts.where("kind = 0").groupBy("h").agg(F.sum("c")).collect()}  # TOP + 1 rows
-    of_words = {r[0]: r[1] for r in word_rows.where((F.col("h") != start) & (F.col("c") <= TOP + 1))
-                .groupBy("c").count().collect()}  # TOP + 1 rows
-    total, distinct, ends = word_rows.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == start, F.col("c")))).first()
-    ends = ends or 0  # the start is the history of as many tokens as there are ends
+                   .applyInArrow(_count(buckets, least_pairs), COUNTS), "counts")
+    own = counts.where("part = -1")
+    figures = dict.fromkeys(range(2 * TOP + 5), 0)
+    figures |= {r[0]: r[1] for r in own.select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.sum("v")).collect()}
+    of_pairs, of_words = ({r: figures[first + r - 1] for r in range(1, TOP + 2)} for first in (0, TOP + 1))
+    total, distinct, ends = (figures[2 * TOP + k] for k in (2, 3, 4))  # the start is the history of as many tokens as there are ends
     if 0 < ends <= TOP + 1:
-        of_words[ends] = of_words.get(ends, 0) + 1
-    model = make_model(of_words, of_pairs, total or 0, distinct or 0, ends)
-    # Each pair with the count of its word; then all model rows of a history in its bucket.
-    pairs = counts.where("kind = 2").select("kind", "h", "w", "c")
-    word_count = word_rows.where(F.col("h") != start).select(F.col("h").alias("w"), F.col("c").alias("cw"))
-    rest = pairs.where(F.col("w") != end).join(word_count, "w").select("kind", "h", "w", "c", "cw")
-    rows = (rest.unionByName(pairs.where(F.col("w") == end).withColumn("cw", F.lit(ends).cast("long")))
-            .unionByName(word_rows.select("kind", "h", "w", "c", F.lit(0).cast("long").alias("cw")))
-            .withColumn("bucket", F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {buckets}L, 32) as int)")))
-    parts = (listed.select("bucket", "block", "docs", "hs", "hn", "ws", "wn", "doc").groupBy("bucket").cogroup(rows.groupBy("bucket"))
-             .applyInArrow(_score(model), "block long, score array<float>, base array<double>, known array<int>"))
+        of_words[ends] += 1
+    model = make_model(of_words, of_pairs, total, distinct, ends, least_pairs)
+    answers = (counts.where("part >= 0").select("bucket", "part", "ws").groupBy("part")
+               .cogroup(own.select(F.col("bucket").alias("of"), F.col("ws").alias("hs"), F.col("cs").alias("hc")).groupBy("of"))
+               .applyInArrow(_answer, "bucket int, part int, cs array<long>"))
+    parts = (listed.select("bucket", "block", "docs", "hs", "hn", "ws", "wn", "tn", "doc").groupBy("bucket")
+             .cogroup(answers.groupBy("bucket"))
+             .applyInArrow(_score(model, least_pairs), "block long, score array<float>, base array<double>, known array<int>"))
     blocks = grams.where(F.size("ids") > 0).select("block", "ids", "held", "tokens")
     scored = blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(
         _add_up(model), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

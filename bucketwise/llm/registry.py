@@ -60,7 +60,7 @@ def formatted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, folder: str) -> DataFrame:
-    return score_texts(_table(spark, folder, "documents"))
+    return score_texts(_table(spark, folder, "documents"), least_pairs=1)
 
 
 def ruled(spark: SparkSession, folder: str) -> DataFrame:

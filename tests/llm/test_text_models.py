@@ -8,6 +8,7 @@ import pytest
 
 from bucketwise.llm import katz, toxicity
 from bucketwise.llm.quality import quality_rules, with_rules_applied
+from bucketwise.llm.registry import QUERIES
 from tests.conftest import SMALL
 from tests.llm.conftest import COLUMNS, rows_of
 
@@ -114,6 +115,47 @@ def test_katz_against_recursion(spark):
         assert np.isclose(r.base_score, want[r.doc_id][4], rtol=1e-12) and np.isclose(r.score, want[r.doc_id][5], rtol=1e-6)
 
 
+def test_registered_scores_know_pairs_seen_once(spark, tmp_path):
+    """Plain Katz with every pair of the training texts: a held-out copy of one training text gets credit for its pairs."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60").collect()}
+    copy, source = next(i for i in range(1000, 1100) if fold(i)), next(i for i in docs if not fold(i) and docs[i])
+    docs[copy] = docs[source]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows_of([(i, t, "s") for i, t in docs.items()]), COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    tokens = {d: [*WORD.findall((t or "").translate(LOWER)), "</s> "] for d, t in docs.items()}
+    pairs = {d: list(zip(["<s> ", *t[:-1]], t, strict=True)) for d, t in tokens.items()}
+    one = collections.Counter(w for d, t in tokens.items() if not fold(d) for w in t)
+    two = collections.Counter(p for d, t in pairs.items() if not fold(d) for p in t)
+    hist, after = collections.Counter(), collections.defaultdict(dict)
+    for (h, w), c in two.items():
+        hist[h] += c
+        after[h][w] = c
+    n = sum(one.values())
+
+    def factors(counts):
+        k = collections.Counter(counts)
+        common = 6 * k[6] / k[1]
+        d = {r: ((r + 1) * k[r + 1] / (r * k[r]) - common) / (1 - common) for r in range(1, 6)}
+        return {r: x if 0 < x <= 1 else 1.0 for r, x in d.items()}
+
+    d1, d2 = factors(one.values()), factors(two.values())
+    assert d2[1] < 1 and any(two[p] == 1 for p in pairs[copy])
+    unknown = 1 - sum(d1.get(c, 1.0) * c for c in one.values()) / n
+    word = lambda w: d1.get(one[w], 1.0) * one[w] / n if one[w] else unknown
+
+    def pair(h, w):
+        own = after.get(h, {})
+        used = sum(d2.get(c, 1.0) * c for c in own.values()) / hist[h] if own else 0
+        shrink = hist[h] / (hist[h] + 1) if own and 1 - used < 1e-9 else 1
+        return shrink * d2.get(own[w], 1.0) * own[w] / hist[h] if w in own else (1 - shrink * used) / (1 - sum(map(word, own))) * word(w)
+
+    got = {r.doc_id: r.score for r in QUERIES["op9_katz_scores"](spark, folder).collect()}
+    assert got.keys() == docs.keys() and math.isclose(got[copy], got[source], rel_tol=1e-6)
+    for d, t in pairs.items():
+        assert math.isclose(got[d], sum(math.log10(pair(h, w)) for h, w in t), rel_tol=1e-6)
+
+
 def test_katz_edge_cases(edge_docs, no_docs, edge_texts):
     got = katz.score_texts(edge_docs).collect()
     assert len(got) == len(edge_texts) and all(math.isfinite(r.score) and r.score <= 0 for r in got)
