@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +16,10 @@ from bucketwise.llm.minhash import keep_one
 from bucketwise.llm.pack import pack_documents
 from bucketwise.llm.passages import remove_repeats
 from bucketwise.llm.quality import quality_rules
+from bucketwise.llm.repair import damaged, repair_report
+from bucketwise.llm.resample import resample
 from bucketwise.llm.toxicity import score_documents
+from bucketwise.llm.transduce import block_digests, token_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +71,19 @@ def ruled(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents")).drop("host", "text_hash", "removed_lines")
 
 
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def repaired(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    return repair_report(damaged(turns), turns)
+
+
+def transduced(spark: SparkSession, folder: str) -> DataFrame:
+    return block_digests(token_blocks(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": near_vectors,
     "op2_substring_dedup": without_repeats,
@@ -78,5 +95,10 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": formatted,
     "op9_katz_scores": language_model,
     "op10_quality_rules": ruled,
+    "op11_importance_resample": resampled,
+    "op12_conversation_repair": repaired,
+    "op13_bpe_transducer": transduced,
+}
+ORACLE: dict[str, str] = {
+    "op11_importance_resample": (Path(__file__).parent / "sql" / "op11_importance_resample.sql").read_text(),
 }
-ORACLE: dict[str, str] = {}
