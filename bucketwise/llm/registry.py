@@ -19,7 +19,7 @@ from bucketwise.llm.quality import quality_rules
 from bucketwise.llm.repair import damaged, repair_report
 from bucketwise.llm.resample import resample
 from bucketwise.llm.toxicity import score_documents
-from bucketwise.llm.transduce import block_digests, token_blocks
+from bucketwise.llm.transduce import document_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,7 +81,7 @@ def repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transduced(spark: SparkSession, folder: str) -> DataFrame:
-    return block_digests(token_blocks(_table(spark, folder, "documents")))
+    return document_digests(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {

@@ -39,7 +39,7 @@ from bucketwise.llm.vocabulary import read_merges
 NEVER = 1 << 40
 LONG = 512      # bytes of a pre-token above which it is streamed instead of looked up
 GUARD = 16      # bytes that decide where a pre-token ends: a special string, or an apostrophe and its letters
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 class Transducer:
@@ -351,35 +351,40 @@ def _batch(ids: pa.Array, first: np.ndarray, tokens: np.ndarray, at: np.ndarray,
     return pa.RecordBatch.from_arrays([ids, pa.array(first), lists], [name, "first", "ids"])
 
 
+def _encoded(rules: Transducer, batches: Iterator[pa.RecordBatch], id_column: str, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, limit=size):
+            data, offsets = text_bytes(part.column("text"))
+            owner = part.column(id_column)
+            if len(data) <= size:
+                ids, at = rules.encode(data, offsets)
+                yield _batch(owner, np.ones(part.num_rows, bool), ids, at, id_column)
+                continue
+            encoder, first = TextEncoder(rules), True
+            for block, final in _blocks(memoryview(data), size):
+                ids = encoder.feed(block, final)
+                yield _batch(owner, np.array([first]), ids, np.array([0, len(ids)]), id_column)
+                first = False
+
+
+def _shared(df: DataFrame, path: str | None):
+    return df.sparkSession.sparkContext.broadcast(Transducer(path or public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def token_blocks(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of every text in blocks: a text is one row, or several in order if it is long; ``first`` marks where one begins."""
-    shared = docs.sparkSession.sparkContext.broadcast(Transducer(path or public_tokenizers.path("byte_bpe_50k.json")))
+    shared, size, kind = _shared(docs, path), CHUNK_BYTES, dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = shared.value
-        for batch in batches:
-            for part in chunks(batch, limit=CHUNK_BYTES):
-                data, offsets = text_bytes(part.column("text"))
-                owner = part.column(id_column)
-                if len(data) <= CHUNK_BYTES:
-                    ids, at = rules.encode(data, offsets)
-                    yield _batch(owner, np.ones(part.num_rows, bool), ids, at, id_column)
-                    continue
-                encoder, first = TextEncoder(rules), True
-                for block, final in _blocks(memoryview(data), CHUNK_BYTES):
-                    ids = encoder.feed(block, final)
-                    yield _batch(owner, np.array([first]), ids, np.array([0, len(ids)]), id_column)
-                    first = False
+        yield from _encoded(shared.value, batches, id_column, size)
 
-    kind = dict(docs.dtypes)[id_column]
     return docs.select(id_column, docs[text_column].alias("text")).mapInArrow(
         run, f"`{id_column}` {kind}, first boolean, ids array<int>")
 
 
 def decoded_blocks(blocks: DataFrame, path: str | None = None, id_column: str = "doc_id") -> DataFrame:
     """The texts of ``token_blocks`` in blocks, with the number of their ids; the order of the rows is used as it is."""
-    shared = blocks.sparkSession.sparkContext.broadcast(Transducer(path or public_tokenizers.path("byte_bpe_50k.json")))
-    kind = dict(blocks.dtypes)[id_column]
+    shared, kind = _shared(blocks, path), dict(blocks.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, decoder, owner = shared.value, TextDecoder(), None
@@ -403,44 +408,60 @@ def decoded_blocks(blocks: DataFrame, path: str | None = None, id_column: str =
     return blocks.mapInArrow(run, f"`{id_column}` {kind}, first boolean, text string")
 
 
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(rules: Transducer, batches: Iterator[pa.RecordBatch], id_column: str) -> Iterator[pa.RecordBatch]:
+    names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+    open_text, kind = None, None  # id, ids, digest of ids, decoder, digest of text
+
+    def close() -> list:
+        owner, n, hashed, decoder, text = open_text
+        text.update(decoder.feed(b"", final=True))
+        return [owner, n, hashed.hexdigest(), text.hexdigest()]
+
+    for batch in batches:
+        kind, lists = batch.schema.field(id_column).type, batch.column("ids")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy()[at[0]:at[-1]]
+        at = at - at[0]
+        raw = rules.decode(ids)
+        ends = np.concatenate([[0], np.cumsum(rules.size[ids])])[at]
+        valid = is_valid(raw, ends)
+        ids, raw = memoryview(ids.astype("<u4").tobytes()), memoryview(raw.tobytes())
+        out: list[list] = []
+        for i, (owner, first) in enumerate(zip(batch.column(id_column).to_pylist(), batch.column("first").to_pylist(), strict=True)):
+            if first:
+                if open_text:
+                    out.append(close())
+                open_text = [owner, 0, hashlib.sha256(), TextDecoder(), hashlib.sha256()]
+            open_text[1] += int(at[i + 1] - at[i])
+            open_text[2].update(ids[4 * at[i]:4 * at[i + 1]])
+            bits = raw[ends[i]:ends[i + 1]]
+            open_text[4].update(bits if valid and not open_text[3].rest else open_text[3].feed(bytes(bits), final=False))
+        yield _digest_rows(out, kind, names)
+    if open_text:
+        yield _digest_rows([close()], kind, names)
+
+
 def block_digests(blocks: DataFrame, path: str | None = None, id_column: str = "doc_id") -> DataFrame:
     """Per document of ``token_blocks``: number of ids, digest of the ids, and of the text decoded from them."""
-    shared = blocks.sparkSession.sparkContext.broadcast(Transducer(path or public_tokenizers.path("byte_bpe_50k.json")))
-    kind = dict(blocks.dtypes)[id_column]
-    names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+    shared, kind = _shared(blocks, path), dict(blocks.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, open_text = shared.value, None  # id, ids, digest of ids, decoder, digest of text
+        yield from _digested(shared.value, batches, id_column)
 
-        def close() -> list:
-            owner, n, hashed, decoder, text = open_text
-            text.update(decoder.feed(b"", final=True))
-            return [owner, n, hashed.hexdigest(), text.hexdigest()]
+    return blocks.mapInArrow(run, f"`{id_column}` {kind}, {DIGESTS}")
 
-        for batch in batches:
-            lists = batch.column("ids")
-            at = lists.offsets.to_numpy().astype(np.int64)
-            ids = lists.values.to_numpy()[at[0]:at[-1]]
-            at = at - at[0]
-            raw = rules.decode(ids)
-            ends = np.concatenate([[0], np.cumsum(rules.size[ids])])[at]
-            valid = is_valid(raw, ends)
-            ids, raw = memoryview(ids.astype("<u4").tobytes()), memoryview(raw.tobytes())
-            out: list[list] = []
-            for i, (owner, first) in enumerate(zip(batch.column(id_column).to_pylist(), batch.column("first").to_pylist(), strict=True)):
-                if first:
-                    if open_text:
-                        out.append(close())
-                    open_text = [owner, 0, hashlib.sha256(), TextDecoder(), hashlib.sha256()]
-                open_text[1] += int(at[i + 1] - at[i])
-                open_text[2].update(ids[4 * at[i]:4 * at[i + 1]])
-                bits = raw[ends[i]:ends[i + 1]]
-                open_text[4].update(bits if valid and not open_text[3].rest else open_text[3].feed(bytes(bits), final=False))
-            yield _digest_rows(out, batch.schema.field(id_column).type, names)
-        if open_text:
-            yield _digest_rows([close()], batch.schema.field(id_column).type, names)
-
-    return blocks.mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def document_digests(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``block_digests`` of ``token_blocks`` in one worker, so that no ids go between processes."""
+    shared, size, kind = _shared(docs, path), CHUNK_BYTES, dict(docs.dtypes)[id_column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _digested(shared.value, _encoded(shared.value, batches, id_column, size), id_column)
+
+    return docs.select(id_column, docs[text_column].alias("text")).mapInArrow(run, f"`{id_column}` {kind}, {DIGESTS}")
 
 
 def _digest_rows(rows: list[list], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:

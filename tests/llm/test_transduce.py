@@ -8,7 +8,7 @@ import public_tokenizers as public
 from tokenizers import Tokenizer
 
 from bucketwise.llm import ragged, transduce
-from bucketwise.llm.transduce import TextDecoder, TextEncoder, Transducer, block_digests, decoded_blocks, is_valid, token_blocks
+from bucketwise.llm.transduce import TextDecoder, TextEncoder, Transducer, block_digests, decoded_blocks, document_digests, is_valid, token_blocks
 
 JSON = public.path("byte_bpe_50k.json")
 BITS = [*"abs'tredlvm  \n\t12é¼Ⅷ好!?.,-_", "'s", "'re", "'ll", " '", "<|endoftext|>", "<|endof", "\xa0", "\x1c", "́", "aaaa", "  \n", "the ", "ing"]
@@ -93,6 +93,7 @@ def test_documents_and_blocks(spark, edge_docs, no_docs, edge_texts, monkeypatch
     blocks = token_blocks(edge_docs)
     assert blocks.where("NOT first").count() > 10
     assert sorted(map(tuple, block_digests(blocks).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, document_digests(edge_docs).collect()), key=str) == sorted(want, key=str)
     texts = {}
     for r in decoded_blocks(blocks).collect():
         texts[r.doc_id] = texts.get(r.doc_id, "") + r.text
