@@ -246,10 +246,12 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_c
     """The rows of ``docs`` that are the smallest of their component, each once."""
     found = near_duplicates(docs, width, percent, id_column, text_column)
     kept = found.where(F.col("node") == F.col("component")).select("node.doc", "node.tag").distinct()
-    rows = with_nodes(docs, id_column, text_column).select("doc", "tag", "row")
+    rows = with_nodes(docs, id_column, text_column).select("doc", "tag", "row", "given", "text")
     stay = rows.join(kept, ["doc", "tag"], "left_semi")
-    once = stay.groupBy("doc", "tag").agg(F.first("row").alias("row")) if _repeats(rows) else stay
-    return once.select("row.*")
+    if _repeats(rows):
+        stay = stay.groupBy("doc", "tag").agg(F.first(F.struct("row", "given", "text")).alias("r")).select("r.*")
+    return stay.select(*(F.when(F.col("given"), F.col("text")).alias(c) if c == text_column else F.col("row")[c].alias(c)
+                         for c in docs.columns))
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -131,13 +131,15 @@ def _sorted_rows(rows: DataFrame) -> DataFrame:
 
 
 def with_nodes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows as: doc (a null id is the smallest number), tag (tells rows with one id apart), text, and the row itself."""
+    """All rows as: doc (a null id is the smallest number), tag (tells rows with one id apart), text, whether it is one,
+    and the other columns as ``row``, so that a text travels once."""
     ids = docs.select(F.col(id_column).cast("long").alias("doc"))
     repeated = not ids.groupBy("doc").count().where("count > 1").isEmpty()
     tag = F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).bitwiseAND(0x7FFFFFFF) if repeated else F.lit(0)
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-2**63)).alias("doc"),
                        tag.cast("long").alias("tag"), F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-                       F.struct(*docs.columns).alias("row"))
+                       F.col(text_column).isNotNull().alias("given"),
+                       F.struct(*[c for c in docs.columns if c != text_column]).alias("row"))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]):
@@ -214,13 +216,14 @@ def _cut(docs: DataFrame, window: int, anchor: int | None, text_column: str, id_
             mask = np.cumsum(step[:-1]) == 0
             data, ends = w.data[mask].tobytes(), np.concatenate([[0], np.cumsum(mask)])[w.offsets].tolist()
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], pa.string()),
-                 pa.array(removed, pa.int64())], ["row", "kept_text", "n_removed"])
+                [part.column("row"), part.column("given"),
+                 pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], pa.string())],
+                ["row", "given", "kept_text"])
 
     if not texts:
-        return (keyed.drop("row").join(repeats, ["doc", "tag"], "left")
+        return (keyed.drop("row", "given").join(repeats, ["doc", "tag"], "left")
                 .mapInArrow(cut, "doc long, n_words long, n_removed long, kept_sha256 string"))
-    schema = T.StructType([keyed.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([keyed.schema["row"], keyed.schema["given"], T.StructField("kept_text", T.StringType())])
     return keyed.join(repeats, ["doc", "tag"], "left").mapInArrow(cut, schema)
 
 
@@ -236,5 +239,5 @@ def without_repeats(docs: DataFrame, window: int = 20, anchor: int | None = None
                     text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated words taken out of their texts; other white space stays as it was."""
     changed = _cut(docs, window, anchor, text_column, id_column, True)
-    return changed.select(*(F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row")[c]).alias(c)
-                            if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
+    return changed.select(*(F.when(F.col("given"), F.col("kept_text")).alias(c) if c == text_column else F.col("row")[c].alias(c)
+                            for c in docs.columns))

@@ -155,7 +155,8 @@ def with_rules_applied(docs: DataFrame, id_column: str = "doc_id", text_column:
     kept = (found.where("kept").select(F.col(id_column).alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"),
                                        "removed_lines").dropDuplicates(["d", "h", "t"]))
     rows = docs.select(F.col(id_column).alias("doc"), F.coalesce(docs[host_column].cast("string"), F.lit("")).alias("host"),
-                       F.xxhash64(text_column).alias("hash"), F.struct(*docs.columns).alias("row"))
+                       F.xxhash64(text_column).alias("hash"), F.col(text_column).alias("text"),
+                       F.struct(*[c for c in docs.columns if c != text_column]).alias("row"))
     joined = rows.join(kept, F.col("doc").eqNullSafe(F.col("d")) & (F.col("host") == F.col("h")) & (F.col("hash") == F.col("t")))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,6 @@ def with_rules_applied(docs: DataFrame, id_column: str = "doc_id", text_column:
                 text = pa.array([data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), text], ["row", "kept_text"])
 
-    rowed = joined.select("row", F.col("row")[text_column].alias("text"), "removed_lines")
+    rowed = joined.select("row", "text", "removed_lines")
     cut = rowed.mapInArrow(strip, T.StructType([rowed.schema["row"], T.StructField("kept_text", T.StringType())]))
-    return cut.select(*(F.when(F.col("row")[c].isNotNull(), F.col("kept_text")).alias(c) if c == text_column
-                        else F.col("row")[c].alias(c) for c in docs.columns))
+    return cut.select(*(F.col("kept_text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns))
