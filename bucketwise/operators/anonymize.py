@@ -34,7 +34,7 @@ class Value:
     name: str
     col: Column
     dtype: T.DataType
-    # Set inside maps, where the field name is a value: rules by name become conditions.
+    # Set inside maps and variants, where the field name is a value: rules by name become conditions.
     key: Column | None = None
 
     @property
@@ -59,13 +59,17 @@ def chain(*processors: Processor | None) -> Processor:
                 return DROP
         return value
 
-    run.dropped = frozenset().union(*(dropped_names(p) for p in processors if p is not None))
+    for kind in _NAMES:
+        setattr(run, kind, frozenset().union(*(names_of(p, kind) for p in processors if p is not None)))
     return run
 
 
-def dropped_names(p: Processor) -> frozenset[str]:
-    """Names that a processor drops wherever they stand."""
-    return getattr(p, "dropped", frozenset())
+# What a processor says about field names: which it drops, replaces as a whole, or has a rule for (in lower case).
+_NAMES = ("dropped", "cut", "ruled")
+
+
+def names_of(p: Processor, kind: str) -> frozenset[str]:
+    return getattr(p, kind, frozenset())
 
 
 def custom(fn: Callable[[str, Column], "Column | _Drop"]) -> Processor:
@@ -126,13 +130,77 @@ def _walk_array(value: Value, dtype: T.ArrayType, p: Processor):
     return Value(value.name, F.transform(value.col, item), T.ArrayType(probe.dtype), value.key)
 
 
+_NODE = "struct<path:string,lead:string,name:string,value:variant>"
+_MARK = "struct<path:string,text:string>"
+
+
 def _walk_variant(value: Value, p: Processor):
-    """Schemaless values go through the rules for text as their JSON; what is no JSON afterwards becomes a text."""
-    out = p(Value(value.name, F.to_json(value.col), T.StringType(), value.key))
-    if out is DROP:
+    """Schemaless values, to any depth.
+
+    A value is taken apart level by level. Each node has a path that sorts like the order of the JSON text, the text
+    that leads to it, and the name of the field it belongs to (items of an array have that of the array). The chain stands
+    in the plan once, over all leaves; their texts and the brackets, in the order of the paths, are the new JSON.
+    """
+    probe = p(Value(value.name, F.lit(None).cast("string"), T.StringType(), F.lit(value.name) if value.key is None else value.key))
+    if probe is DROP:
         return DROP
-    parsed = F.coalesce(F.try_parse_json(out.col), F.parse_json(F.to_json(out.col.cast("string").cast("variant"))))
-    return Value(value.name, F.when(value.col.isNotNull(), parsed), T.VariantType(), value.key)
+    dropped, cut, ruled = (sorted(names_of(p, kind)) for kind in _NAMES)
+
+    def known(name: Column, names: list[str]) -> Column:
+        return F.coalesce(name.isin(*names), F.lit(False)) if names else F.lit(False)
+
+    def node(path: Column, lead: Column, name: Column, inner: Column) -> Column:
+        return F.struct(path.alias("path"), lead.alias("lead"), name.alias("name"), inner.alias("value"))
+
+    def opened(n: Column) -> Column:
+        whole = known(n["name"], cut)
+        members = F.filter(F.map_entries(n["value"].try_cast("map<string,variant>")), lambda m: ~known(m["key"], dropped))
+        return F.struct(n.alias("node"), F.when(~whole, members).alias("members"),
+                        F.when(~whole, n["value"].try_cast("array<variant>")).alias("items"))
+
+    def children(e: Column) -> Column:
+        n = e["node"]
+        step = lambda i: F.concat(n["path"], F.lpad(i.cast("string"), 9, "0"))
+        comma = lambda i: F.when(i > 0, F.lit(",")).otherwise(F.lit(""))
+        named = F.transform(e["members"], lambda m, i: node(
+            step(i), F.concat(comma(i), F.to_json(m["key"].cast("variant")), F.lit(":")), m["key"], m["value"]))
+        items = F.transform(e["items"], lambda x, i: node(step(i), comma(i), n["name"], x))
+        return F.coalesce(named, items)
+
+    def brackets(e: Column) -> Column:
+        n, named = e["node"], e["members"].isNotNull()
+        begin = F.struct(n["path"].alias("path"), F.concat(n["lead"], F.when(named, "{").otherwise("[")).alias("text"))
+        end = F.struct(F.concat(n["path"], F.lit("~")).alias("path"), F.when(named, "}").otherwise("]").alias("text"))
+        return F.array(begin, end)
+
+    def level(state: Column) -> Column:
+        def split(nodes: Column) -> Column:
+            inner = F.filter(nodes, lambda e: e["members"].isNotNull() | e["items"].isNotNull())
+            ends = F.filter(nodes, lambda e: e["members"].isNull() & e["items"].isNull())
+            return F.struct(F.flatten(F.transform(inner, children)).alias("open"),
+                            F.concat(state["leaves"], F.transform(ends, lambda e: e["node"])).alias("leaves"),
+                            F.concat(state["marks"], F.flatten(F.transform(inner, brackets))).alias("marks"))
+
+        return F.when(F.size(state["open"]) == 0, state).otherwise(let(F.transform(state["open"], opened), split))
+
+    def leaf(n: Column) -> Column:
+        kind = F.schema_of_variant(n["value"])
+        as_text = known(n["name"], cut) | ((kind == "STRING") | known(F.lower(n["name"]), ruled)) & (kind != "VOID")
+        out = p(Value(value.name, n["value"].try_cast("string"), T.StringType(), n["name"]))
+        written = F.coalesce(F.to_json(out.col.cast("string").cast("variant")), F.lit("null"))
+        return F.struct(n["path"].alias("path"), F.concat(n["lead"], F.when(as_text, written).otherwise(F.to_json(n["value"]))).alias("text"))
+
+    name = F.lit(value.name) if value.key is None else value.key
+    begin = F.struct(F.array(node(F.lit(""), F.lit(""), name, value.col)).alias("open"),
+                     F.array().cast(f"array<{_NODE}>").alias("leaves"), F.array().cast(f"array<{_MARK}>").alias("marks"))
+    # No value is deeper than it has opening brackets; levels without nodes cost next to nothing.
+    depth = F.length(F.regexp_replace(F.to_json(value.col), r"[^\[{]", "")) + 1
+    walked = F.aggregate(F.sequence(F.lit(1), depth), begin, lambda state, _: level(state))
+
+    def joined(state: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.concat(state["marks"], F.transform(state["leaves"], leaf))), lambda m: m["text"]), "")
+
+    return Value(value.name, F.when(value.col.isNotNull(), F.parse_json(let(walked, joined))), T.VariantType(), value.key)
 
 
 def _walk_map(value: Value, dtype: T.MapType, p: Processor):
@@ -143,7 +211,7 @@ def _walk_map(value: Value, dtype: T.MapType, p: Processor):
     def entry(k: Column, v: Column) -> Column:
         return _walk(Value("", v, dtype.valueType, k.cast("string")), p).col
 
-    kept, dropped = value.col, sorted(dropped_names(p))
+    kept, dropped = value.col, sorted(names_of(p, "dropped"))
     if dropped:  # inside a map a name is data, so the entry goes by a filter
         kept = F.map_filter(kept, lambda k, _: ~k.cast("string").isin(dropped))
     return Value(value.name, F.transform_values(kept, entry),
@@ -203,6 +271,7 @@ def by_column(rules: Mapping[str, Callable[[Column], Column]]) -> Processor:
         text = value.col.cast("string")
         return value.text(F.when(text != "", rule(text)).otherwise(text))
 
+    run.ruled = frozenset(lowered)
     return run
 
 
@@ -211,7 +280,7 @@ def replace_with(text: str) -> Callable[[Column], Column]:
 
 
 def drop_fields(*names: str) -> Processor:
-    """Remove fields by exact name, at any depth."""
+    """Remove fields by exact name, at any depth, also in maps and variants."""
     def run(value: Value):
         return DROP if value.key is None and value.name in run.dropped else value
 
@@ -233,6 +302,7 @@ def truncate_fields(*names: str) -> Processor:
             return value.text(F.when(value.key.isin(*cut), F.lit(TRUNCATED)).otherwise(value.col))
         return value.text(F.lit(TRUNCATED)) if value.name in cut else value
 
+    run.cut = frozenset(names)
     return run
 
 
@@ -273,41 +343,62 @@ def _block_coefficients(size: int) -> tuple[list[int], list[int], list[int]]:
     return a, b, c
 
 
+def _jump_coefficients(size: int, bits: int = 31) -> list[tuple[int, int, int]]:
+    """(a, c, b) for jumps over 1, 2, 4, ... blocks: from state s at index i to a * s + c * i + b (masked)."""
+    a, b, c = (values[size] for values in _block_coefficients(size))
+    out, distance = [], size
+    for _ in range(bits):
+        out.append((a, c, b))
+        a, c, b = a * a & _MASK, (a * c + c) & _MASK, (a * b + c * distance + b) & _MASK
+        distance = 2 * distance & _MASK
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _constants(values: Sequence[int]) -> Column:
+    """One literal, folded into a constant array by the optimizer."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
+
+
+def _masked(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(_MASK))
+
+
 def scramble(text: Column) -> Column:
     """Other letters for letters, other digits for digits; everything else stays.
 
-    The same text always gives the same result. Work grows linearly with the text.
+    The same text always gives the same result. Work grows linearly with the text (times the logarithm of
+    its number of blocks); the state before a block follows from the block's number alone.
     """
-    # One literal each, folded into a constant array by the optimizer.
-    a, b, c = (F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
-               for values in _block_coefficients(_BLOCK))
-    seed = F.crc32(text.cast("binary")).bitwiseAND(F.lit(_MASK))
+    a, b, c = map(_constants, _block_coefficients(_BLOCK))
+    jump_a, jump_c, jump_b = map(_constants, zip(*_jump_coefficients(_BLOCK), strict=True))
+    seed = _masked(F.crc32(text.cast("binary")))
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
-    later = F.sequence(F.lit(0), F.size(blocks) - 1)
 
+    # Factors stay below 2**31, so every product fits; each is masked before adding.
     def step(state: Column, j: Column, start: Column) -> Column:
-        # Factors stay below 2**31, so every product fits; each is masked before adding.
-        own = (F.get(a, j) * state).bitwiseAND(F.lit(_MASK))
-        by_index = (F.get(c, j) * start).bitwiseAND(F.lit(_MASK))
-        return (own + by_index + F.get(b, j)).bitwiseAND(F.lit(_MASK))
-
-    # State before each block; the last one is not used.
-    states = F.aggregate(
-        later, F.array(seed),
-        lambda acc, i: F.concat(acc, F.array(step(F.element_at(acc, -1), F.lit(_BLOCK), i * _BLOCK))))
-
-    def one_block(pair: Column, i: Column) -> Column:
-        chars = F.split(pair.getField("block"), "")
-        return F.array_join(F.transform(
-            chars, lambda ch, j: _letter(ch, step(pair.getField("state"), j + 1, i * _BLOCK))), "")
-
-    pairs = F.arrays_zip(blocks.alias("block"), F.slice(states, F.lit(1), F.size(blocks)).alias("state"))
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(pairs, one_block), ""))
+        return _masked(_masked(F.get(a, j) * state) + _masked(F.get(c, j) * start) + F.get(b, j))
+
+    def state_of(first: Column, number: Column) -> Column:
+        """The state before a block: one jump for every bit of its number."""
+        def jump(at: Column, bit: Column) -> Column:
+            there = _masked(_masked(F.get(jump_a, bit) * at["state"]) + _masked(F.get(jump_c, bit) * at["index"]) + F.get(jump_b, bit))
+            ahead = F.struct(there.alias("state"), (at["index"] + F.call_function("shiftleft", F.lit(_BLOCK).cast("long"), bit)).alias("index"))
+            return F.when(F.getbit(number, bit) == 1, ahead).otherwise(at)
+
+        bits = F.sequence(F.lit(0), F.length(F.bin(number)) - 1)
+        return F.aggregate(bits, F.struct(first.alias("state"), F.lit(0).cast("long").alias("index")), jump, lambda at: at["state"])
+
+    def one_block(first: Column, block: Column, i: Column) -> Column:
+        return let(state_of(first, i), lambda state: F.array_join(F.transform(
+            F.split(block, ""), lambda ch, j: _letter(ch, step(state, j + 1, i * _BLOCK))), ""))
+
+    return F.when(text == "", text).otherwise(
+        let(seed, lambda first: F.array_join(F.transform(blocks, lambda block, i: one_block(first, block, i)), "")))
 
 
 def _letter(char: Column, state: Column) -> Column:

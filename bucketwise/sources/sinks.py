@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bucketwise.functions.fields import quote
+from bucketwise.operators.anonymize import Processor, anonymize
 from bucketwise.operators.profile import Profile, bucket_names
 from bucketwise.operators.shape import export_safe
 from bucketwise.sources.tables import local_rows
@@ -96,15 +98,51 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """JSON lines with a declared schema; blank and broken lines are skipped."""
+def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """JSON lines with a declared schema, or else with that of all lines; blank and broken lines are skipped."""
     return parse_json_lines(spark.read.text(path), schema)
 
 
-def parse_json_lines(lines: DataFrame, schema: str | T.StructType, column: str = "value") -> DataFrame:
-    """Parse a text column, in batch or on a stream."""
-    valid = lines.where(F.schema_of_variant(F.try_parse_json(F.trim(F.col(column)))).startswith("OBJECT"))
-    return valid.select(F.from_json(F.col(column), schema).alias("row")).select("row.*")
+def parse_json_lines(lines: DataFrame, schema: str | T.StructType | None = None, column: str = "value") -> DataFrame:
+    """Parse a text column. A stream needs a declared schema."""
+    if schema is None:
+        if lines.isStreaming:
+            raise ValueError("a stream of JSON lines needs a schema, or scrub_json_lines")
+        schema = discovered_schema(lines, column)
+    return _objects(lines, column).select(F.from_json(F.col(column), schema).alias("row")).select("row.*")
+
+
+def _objects(lines: DataFrame, column: str) -> DataFrame:
+    return lines.where(F.schema_of_variant(F.try_parse_json(F.trim(F.col(column)))).startswith("OBJECT"))
+
+
+def discovered_schema(lines: DataFrame, column: str = "value") -> T.StructType:
+    """The fields that any of the lines has, from one aggregate that is merged before the shuffle.
+
+    Fields with values of several types, with nulls only, and empty objects are text: the JSON of the value, a text as
+    it is. The result grows with the number of different names; lines in which names are data are for ``scrub_json_lines``.
+    """
+    parsed = _objects(lines, column).select(F.try_parse_json(F.trim(F.col(column))).alias("line"))
+    found = parsed.agg(F.schema_of_variant_agg("line").alias("found")).first()["found"]
+    if not found.startswith("OBJECT<") or found == "OBJECT<>":  # no line, or none with a field
+        return T.StructType()
+    pieces = re.split(r"(`(?:[^`]|``)*`)", found)  # quoted names stay
+    for i in range(0, len(pieces), 2):
+        plain = re.sub(r"OBJECT<>", "STRING", pieces[i])
+        plain = re.sub(r"(: |ARRAY<)(?:VARIANT|VOID)(?=[,>])", r"\1STRING", plain)
+        pieces[i] = plain.replace("OBJECT<", "STRUCT<")
+    return T.StructType.fromDDL("row " + "".join(pieces)).fields[0].dataType
+
+
+def scrub_json_lines(lines: DataFrame, chain: Processor, column: str = "value") -> DataFrame:
+    """JSON lines through a chain of rules, in batch or on a stream; fields need not be declared.
+
+    Each line keeps the fields it has, at any depth, but for those the chain drops. Blank lines, broken ones and those
+    that are no object are skipped. The result is one text column.
+    """
+    rows = lines.select(F.try_parse_json(F.trim(F.col(column))).alias(column))
+    kept = rows.where(F.schema_of_variant(F.col(column)).startswith("OBJECT"))
+    return anonymize(kept, chain).select(F.to_json(F.col(column)).alias(column))
 
 
 # -- profiles -----------------------------------------------------------------------------

@@ -170,6 +170,50 @@ def _(spark, folder):
     return spark.read.schema("event_id long, event_type string, user_agent string, note string").json(out)
 
 
+# What each line holds follows from the event: clicks have an agent, errors a nested object, and "extra" changes its type.
+OPEN_LINE = """concat('{"event_id":', event_id, ',"kind":"', event_type, '"',
+  CASE WHEN event_type = 'click' THEN concat(',"user_agent":"agent ', user_id, '"') ELSE '' END,
+  CASE WHEN event_type = 'error' THEN concat(',"more":{"ip":"10.0.0.', user_id % 250, '","tags":["a","u', user_id, '@example.com"]}') ELSE '' END,
+  CASE WHEN event_id % 2 = 0 THEN concat(',"extra":', user_id) ELSE concat(',"extra":"x', user_id, '"') END,
+  CASE WHEN event_id % 7 = 0 THEN concat(',"odd name":{"k', event_id % 3, '":null}') ELSE '' END, '}')"""
+
+
+def open_lines(spark, folder):
+    """JSON lines with blank, broken and foreign ones among them."""
+    path = scratch_path(spark, "open-lines")
+    lines = table(spark, folder, "events").select("event_id", F.expr(OPEN_LINE).alias("value"))
+    noise = F.when(F.col("event_id") % 4 == 0, F.array("value", F.lit("  "), F.lit("[1]"))).when(
+        F.col("event_id") % 4 == 1, F.array("value", F.concat(F.lit("{broken"), "value"))).otherwise(F.array("value"))
+    lines.select(F.explode(noise).alias("value")).write.text(path)
+    return path
+
+
+@register("s22_json_lines_open_schema", """
+SELECT event_id, event_type AS kind, CASE WHEN event_type = 'click' THEN concat('agent ', user_id) END AS user_agent,
+  CASE WHEN event_type = 'error' THEN concat('10.0.0.', user_id % 250) END AS ip,
+  CASE WHEN event_type = 'error' THEN concat('u', user_id, '@example.com') END AS tag,
+  CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE concat('x', user_id) END AS extra,
+  event_id % 7 = 0 AS odd, 'bigint string string' AS kinds FROM events""")
+def _(spark, folder):
+    rows = sinks.read_json_lines(spark, open_lines(spark, folder))
+    kinds = dict(rows.dtypes)
+    return rows.select("event_id", "kind", "user_agent", "more.ip", F.col("more.tags")[1].alias("tag"), "extra",
+                       F.col("odd name").isNotNull().alias("odd"),
+                       F.lit(f"{kinds['event_id']} {kinds['kind']} {kinds['extra']}").alias("kinds"))
+
+
+@register("s22_json_lines_scrubbed", """
+SELECT concat('{"event_id":', event_id, CASE WHEN event_id % 2 = 0 THEN concat(',"extra":', user_id) ELSE concat(',"extra":"x', user_id, '"') END,
+  ',"kind":"', event_type, '"', CASE WHEN event_type = 'error' THEN ',"more":{"ip":"<IP>","tags":["a","<EMAIL>"]}' ELSE '' END,
+  CASE WHEN event_id % 7 = 0 THEN ',"odd name":{}' ELSE '' END,
+  CASE WHEN event_type = 'click' THEN ',"user_agent":"REDACTED"' ELSE '' END, '}') AS value FROM events""")
+def _(spark, folder):
+    from bucketwise.operators.anonymize import by_column, chain, default_rules, drop_fields, replace_with
+
+    rules = chain(drop_fields("k0", "k1", "k2"), by_column({"ip": replace_with("10.1.2.3")}), default_rules())
+    return sinks.scrub_json_lines(spark.read.text(open_lines(spark, folder)), rules)
+
+
 # -- projection and fields -----------------------------------------------------------
 
 @register("p1_expression_field", "SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem")

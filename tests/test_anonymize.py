@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import re
@@ -107,6 +108,61 @@ def test_maps_and_variants_are_walked(spark):
     assert row.m == {"x": "y"} and row.n == {1: "<EMAIL>"} and row.v == '{"k":"<EMAIL>","l":[1,"<EMAIL>"]}' and row.w
 
 
+NAMES = ["a", "b", "password", "User_Name", "note", "x y", 'q"t', "ip", "0", "~"]
+
+
+def made_json(rnd, depth):
+    kind = rnd.random()
+    if depth and kind < .35:
+        return {n: made_json(rnd, depth - 1) for n in rnd.sample(NAMES, rnd.randrange(5))}
+    if depth and kind < .55:
+        return [made_json(rnd, depth - 1) for _ in range(rnd.randrange(5))]
+    return rnd.choice(["mail a@b.com", "", None, 5, 1.5, True, "plain", 'é"\\\n{['])
+
+
+def walked_json(value, name):
+    """The rules of ``VARIANT_RULES``, restated on Python values."""
+    if name == "note":
+        return "<TRUNCATED>"
+    if isinstance(value, dict):
+        return {k: walked_json(v, k) for k, v in value.items() if k != "password"}
+    if isinstance(value, list):
+        return [walked_json(v, name) for v in value]
+    if name.lower() == "user_name" and value not in (None, ""):
+        return "N"
+    return re.sub(r"[a-z]+@[a-z.]+", "<EMAIL>", value) if isinstance(value, str) else value
+
+
+VARIANT_RULES = an.chain(an.drop_fields("password"), an.truncate_fields("note"), an.by_column({"user_name": an.replace_with("N")}),
+                         an.text_pattern("[a-z]+@[a-z.]+", "<EMAIL>"))
+
+
+def test_rules_reach_any_depth_of_a_variant(spark):
+    rnd = random.Random(1)
+    values = [made_json(rnd, 6) for _ in range(300)]
+    deep = {"a": "x@y.z"}
+    for i in range(40):
+        deep = {"b": [deep, 1]} if i % 2 else {"password": 1, "User_Name": deep}
+    values += [deep, {f"k{i}": {"password": i, "v": "a@b.c"} for i in range(400)}, [[]], {}, "top a@b.c", None, 7]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string").selectExpr(
+        "i", "parse_json(j) AS v", "array(parse_json(j)) AS l", "map('note', parse_json(j), 'k', parse_json(j)) AS m")
+    for r in an.anonymize(df, VARIANT_RULES).selectExpr("i", "to_json(v) AS v", "to_json(l[0]) AS l", "to_json(m['note']) AS n", "to_json(m['k']) AS k").collect():
+        value = values[r.i]
+        assert json.loads(r.v) == walked_json(value, "v") and json.loads(r.l) == walked_json(value, "l")
+        assert json.loads(r.k) == walked_json(value, "k") and json.loads(r.n) == "<TRUNCATED>"
+
+
+def test_missing_variants_stay_missing(spark):
+    df = spark.sql("SELECT parse_json(CAST(NULL AS STRING)) AS v, 1 AS i")
+    assert an.anonymize(df, an.default_rules()).first().v is None
+    assert an.anonymize(df, an.drop_fields("v")).columns == ["i"]
+
+
+def test_long_texts_are_scrambled_by_jumps_over_blocks(spark):
+    text = "Long Text 42, " * 3000  # some hundred blocks
+    assert spark.createDataFrame([(text,)], "t string").select(an.scramble(F.col("t"))).first()[0] == derived_scramble(text)
+
+
 def test_dropping_ends_the_chain(spark):
     def never(value):
         raise AssertionError("must not run")

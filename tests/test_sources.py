@@ -1,9 +1,13 @@
+import json
+
 import pandas as pd
+import pytest
 from datetime import datetime
 from pyspark.sql import functions as F
 
 from bucketwise.functions import fields as fld
 from bucketwise.functions import scalars as sc
+from bucketwise.operators import anonymize as an
 from bucketwise.operators.filters import FilterState
 from bucketwise.plans.spec import RunContext, compile_query, from_table
 from bucketwise.session import checkpointed, scratch_path, shared_dir
@@ -80,3 +84,32 @@ def test_nested_columns_are_exported_as_json(spark, tmp_path):
         sinks.export(df, str(tmp_path / fmt), fmt)
         back = spark.read.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").option("escape", "\\").csv(str(tmp_path / fmt))
         assert tuple(back.first()) == ("1", "[1,2]", '{"k":"v"}', '{"x":1}', None)
+
+
+def test_json_lines_without_a_schema(spark, tmp_path):
+    lines = ['{"a":1,"odd `k` <VOID>, x":"q"}', "", " ", "{broken", "[1]", "7", '{"a":2.5,"m":"t","n":null}', '{"m":4,"o":{"p":[1,"x"],"q":{}},"OBJECT":true}',
+             '  {"o":{"p":[],"r":"deep"}}  ']
+    (tmp_path / "in.txt").write_text("\n".join(lines))
+    rows = sinks.read_json_lines(spark, str(tmp_path / "in.txt"))
+    assert dict(rows.dtypes) == {"OBJECT": "boolean", "a": "decimal(21,1)", "m": "string", "n": "string", "odd `k` <VOID>, x": "string",
+                                 "o": "struct<p:array<string>,q:string,r:string>"}
+    got = list(map(str, rows.collect()))
+    assert len(got) == 4 and "Decimal('2.5')" in "".join(got) and "p=['1', 'x'], q='{}'" in "".join(got)
+    (tmp_path / "none.txt").write_text("\n{}\nx\n")
+    assert sinks.read_json_lines(spark, str(tmp_path / "none.txt")).columns == []
+
+
+def test_streams_of_json_lines_need_a_schema_or_the_scrubber(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    (folder / "1.txt").write_text('{"user_name":"Jane","n":{"password":"x","m":"a@b.org"}}\n\n{broken\n[1]\n')
+    stream = spark.readStream.text(str(folder))
+    with pytest.raises(ValueError, match="schema"):
+        sinks.parse_json_lines(stream)
+    rules = an.chain(an.drop_fields("password"), an.default_rules())
+    query = (sinks.scrub_json_lines(stream, rules).writeStream.format("text").option("checkpointLocation", str(tmp_path / "c"))
+             .trigger(availableNow=True).start(str(tmp_path / "out")))
+    assert query.awaitTermination(120)
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(got) == 1 and got[0]["n"] == {"m": "<EMAIL>"} and got[0]["user_name"] not in ("Jane", "") and len(got[0]["user_name"]) == 4
+    assert [r.value for r in sinks.scrub_json_lines(spark.read.text(str(folder)), rules).collect()] == [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
