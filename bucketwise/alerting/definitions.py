@@ -24,10 +24,10 @@ HAVING_MARK = "--HAVING--"
 BUCKET_MARK = "--BUCKET--"
 HEADER_LINES = 3
 
-_HEADER = re.compile(r"^(?P<width>.+?)(?:\s+lag\s+(?P<lag>\d+))?$", re.IGNORECASE)
+_HEADER = re.compile(r"^(?P<width>.+?)(?:\s+lag\s+(?P<lag>\d+))?(?:\s+back\s+(?P<back>.+))?$", re.IGNORECASE)
 
 DEFINITION_SCHEMA = (
-    "alert_id_group string, alert_id_key string, width_s long, offset_s long, lag long, "
+    "alert_id_group string, alert_id_key string, width_s long, offset_s long, delay_s long, "
     "value_gt double, value_lt double, alert_message string, check_every string"
 )
 
@@ -53,7 +53,8 @@ class AlertDefinition:
     """A metric per time bucket, compared with a threshold at every tick.
 
     ``lag=0`` looks at the running bucket (counts only grow), ``lag=1`` at the last
-    full one (averages may still move).
+    full one (averages may still move). ``back`` seconds more are taken off the clock
+    first, for data that comes late.
     """
 
     id: AlertId
@@ -67,6 +68,12 @@ class AlertDefinition:
     check_every: str = "@15minutes"
     # Time column behind ``{{FILTERS}}`` in the query text; bounds the scan.
     ts: str | None = None
+    back: int = 0
+
+    @property
+    def delay(self) -> int:
+        """Seconds by which the clock is set back before the bucket is looked up."""
+        return self.lag * self.width.seconds + self.back
 
     @property
     def thresholds(self) -> dict[str, float]:
@@ -74,7 +81,7 @@ class AlertDefinition:
         return {k: v for k, v in both.items() if v is not None}
 
     def row(self) -> tuple:
-        return (self.id.group, self.id.key, self.width.seconds, self.width.offset_seconds, self.lag,
+        return (self.id.group, self.id.key, self.width.seconds, self.width.offset_seconds, self.delay,
                 self.value_gt, self.value_lt, self.message, self.check_every)
 
     def batch_sql(self, span: tuple[datetime, datetime] | None = None) -> str:
@@ -99,13 +106,16 @@ def _terminated(text: str) -> str:
     return text.rstrip().rstrip(";")
 
 
-def bucket_header(text: str) -> tuple[Width, int]:
-    """Width and lag from ``--BUCKET: 15 minutes [lag 1]`` in the first lines."""
+def bucket_header(text: str) -> tuple[Width, int, int]:
+    """Width, lag and seconds back from ``--BUCKET: 15 minutes [lag 1] [back 20 minutes]`` in the first lines."""
     for line in text.splitlines()[:HEADER_LINES]:
         _, mark, rest = line.partition(BUCKET_HEADER)
         if mark:
             found = _HEADER.match(rest.strip())
-            return Width.parse(found.group("width")), int(found.group("lag") or 0)
+            width, back = Width.parse(found.group("width")), Width.parse(found.group("back")) if found.group("back") else Width(0)
+            if width.seconds is None or back.seconds is None:
+                raise ValueError(f"alerts need buckets and offsets of a fixed length: {line.strip()!r}")
+            return width, int(found.group("lag") or 0), back.seconds
     raise ValueError(f"{BUCKET_HEADER} ... not found in the first {HEADER_LINES} lines")
 
 
@@ -134,7 +144,7 @@ def parse_definitions(path: str) -> list[AlertDefinition]:
         except OSError as error:
             raise ValueError(f"{key}: reading {query_path}: {error}") from error
         try:
-            width, lag = bucket_header(query)
+            width, lag, back = bucket_header(query)
         except ValueError as error:
             raise ValueError(f"{key}: {query_path}: {error}") from error
         check_every = body.get("check_every") or "@15minutes"
@@ -143,7 +153,7 @@ def parse_definitions(path: str) -> list[AlertDefinition]:
         out.append(AlertDefinition(
             AlertId(path, key), width, lag, query, dict(body.get("params") or {}),
             _number(condition.get("value_gt")), _number(condition.get("value_lt")),
-            body.get("message") or "", check_every, body.get("time_column")))
+            body.get("message") or "", check_every, body.get("time_column"), back))
     return out
 
 

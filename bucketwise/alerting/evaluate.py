@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import math
+import re
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bucketwise.alerting.definitions import AlertDefinition, definitions_df
 from bucketwise.alerting.ticks import ticks, to_epoch
-from bucketwise.functions.buckets import bucket, epoch_seconds
+from bucketwise.functions.buckets import Width, bucket, epoch_seconds
 from bucketwise.functions.fields import quote
 from bucketwise.functions.scalars import number_or_zero
 from bucketwise.functions.schema import require_columns
 from bucketwise.operators.filters import as_utc, sql_literal
-from bucketwise.operators.shape import union_tagged
 from bucketwise.sources.tables import local_rows
 
 # States and the texts of failed evaluations.
@@ -80,35 +83,106 @@ def bucket_rows(metrics: DataFrame, keys: Sequence[str] = (*ID, "time_ts")) -> D
 
 def sql_metrics(spark: SparkSession, definitions: Iterable[AlertDefinition],
                 span: tuple[datetime, datetime] | None = None) -> DataFrame:
-    """Metric rows of alerts given as query texts, over all buckets or a time span."""
-    parts = {str(d.id): _metric(spark, d, d.batch_sql(span)) for d in definitions}
-    tagged = union_tagged(parts, "alert_id")
-    group = F.substring_index("alert_id", "#", 1)
-    key = F.expr("substr(alert_id, locate('#', alert_id) + 1)")
-    return tagged.select(group.alias(ID[0]), key.alias(ID[1]), *[c for c in tagged.columns if c != "alert_id"])
+    """Metric rows of alerts given as query texts, over all buckets or a time span; one query for each distinct text."""
+    return _text_metrics(spark, [(d, d.batch_sql(span)) for d in definitions])
+
+
+# A quoted text, a quoted name, a comment (all left alone), or a parameter marker.
+_MARKER = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?<![:\w]):([A-Za-z_]\w*)", re.DOTALL)
+
+
+def _markers(text: str) -> list[str]:
+    return sorted({m.group(1) for m in _MARKER.finditer(text) if m.group(1)})
+
+
+def _text_metrics(spark: SparkSession, texts: Sequence[tuple[AlertDefinition, str]]) -> DataFrame:
+    """Metric rows of definitions and their final query texts.
+
+    Alerts that share a text and differ in parameters are evaluated by one query: the parameters are the columns of a
+    local table, which the text is joined with laterally. Spark turns that into a join, so the text's tables are
+    read once. A text that can't be correlated (parameters inside a WITH clause) is run for each alert.
+    """
+    groups: dict[tuple, list[AlertDefinition]] = {}
+    for d, text in texts:
+        used = [(k, type(d.params[k])) for k in _markers(text) if k in d.params]
+        groups.setdefault((text, tuple(used)), []).append(d)
+    parts = []
+    for (text, used), members in groups.items():
+        joined = _joined_metric(spark, members, text, dict(used)) if len(members) > 1 else None
+        parts += [joined] if joined is not None else [_metric(spark, d, text) for d in members]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+_KINDS = {str: "string", int: "bigint", float: "double", bool: "boolean"}
+
+
+def _joined_metric(spark: SparkSession, definitions: Sequence[AlertDefinition], text: str, used: Mapping[str, type]) -> DataFrame | None:
+    if any(kind not in _KINDS for kind in used.values()):
+        return None
+    columns = {name: f"__p{i}" for i, name in enumerate(used)}
+    schema = ", ".join([f"{ID[0]} string", f"{ID[1]} string", *[f"{columns[n]} {_KINDS[k]}" for n, k in used.items()]])
+    view = f"alert_parameters_{uuid.uuid4().hex}"
+    local_rows(spark, [(d.id.group, d.id.key, *[d.params[n] for n in used]) for d in definitions], schema).createTempView(view)
+    correlated = _MARKER.sub(lambda m: f"__a.{columns[m.group(1)]}" if m.group(1) in columns else m.group(0), text)
+    try:
+        found = spark.sql(f"SELECT __a.{ID[0]}, __a.{ID[1]}, __q.* FROM {view} __a, LATERAL (\n{correlated}\n) __q")
+    except AnalysisException:
+        return None
+    finally:
+        spark.catalog.dropTempView(view)
+    return _typed(found)
 
 
 def _metric(spark: SparkSession, definition: AlertDefinition, text: str) -> DataFrame:
-    used = {k: v for k, v in definition.params.items() if f":{k}" in text}
-    df = require_columns(spark.sql(text, args=used) if used else spark.sql(text), ["time_ts", "value"])
-    names = ["time_ts", "value", *[c for c in _OVERRIDES if c in df.columns]]
-    return df.select(F.col("time_ts").cast("long").alias("time_ts"),
-                     *[F.col(c).cast("double").alias(c) for c in names[1:]])
+    used = {k: definition.params[k] for k in _markers(text) if k in definition.params}
+    df = spark.sql(text, args=used) if used else spark.sql(text)
+    return _typed(df.select(F.lit(definition.id.group).alias(ID[0]), F.lit(definition.id.key).alias(ID[1]), "*"))
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    require_columns(df, ["time_ts", "value"])
+    names = ["value", *[c for c in _OVERRIDES if c in df.columns]]
+    return df.select(*ID, F.col("time_ts").cast("long").alias("time_ts"), *[F.col(c).cast("double").alias(c) for c in names])
+
+
+# Measures that can be put together from parts: the parts, and what becomes of them.
+_MERGED = {
+    "count": (("count",), lambda n: F.sum(n).cast("double")),
+    "sum": (("sum",), lambda s: F.sum(s).cast("double")),
+    "min": (("min",), lambda v: F.min(v).cast("double")),
+    "max": (("max",), lambda v: F.max(v).cast("double")),
+    "avg": (("sum", "count"), lambda s, n: (F.sum(s) / F.sum(n)).cast("double")),
+}
+_MEASURE = re.compile(r"^\s*(\w+)\s*\((.*)\)\s*$", re.DOTALL)
+
+
+def _parts_of(measure: str) -> tuple[list[str], Callable[..., Column]]:
+    """SQL of the parts of a measure, and how they are merged."""
+    match = _MEASURE.match(measure)
+    kind, body = (match.group(1).lower(), match.group(2).strip()) if match else ("", "")
+    depth = 0
+    for char in body:
+        depth += (char == "(") - (char == ")")
+        if depth < 0:
+            break
+    if kind not in _MERGED or depth or re.match(r"distinct\b", body, re.IGNORECASE):
+        raise ValueError(f"alerts of different bucket widths need one of {sorted(_MERGED)} of an expression, not {measure!r}")
+    parts, merge = _MERGED[kind]
+    return [f"{p}({body})" for p in parts], merge
 
 
 def family_metrics(df: DataFrame, definitions: Sequence[AlertDefinition], ts: str,
                    params: Mapping[str, str], measure: str = "count(*)",
                    span: tuple[datetime, datetime] | None = None) -> DataFrame:
-    """Metrics of many alerts that differ in parameters and thresholds only.
+    """Metrics of many alerts that differ in parameters, thresholds and bucket widths only.
 
-    ``params`` maps parameter names to columns. The table is read once for all of
-    them and grouped by those columns; ``span`` bounds the scan. All definitions
-    must share one bucket width.
+    ``params`` maps parameter names to columns. The table is read once for all of them and grouped by those
+    columns; ``span`` bounds the scan. With several widths the rows are grouped by the greatest width that divides all of
+    them, and the groups are put together for each width; that takes a count, sum, minimum, maximum or average.
     """
-    widths = {d.width for d in definitions}
-    if len(widths) != 1:
-        raise ValueError("alerts of one family share one bucket width")
-    width = next(iter(widths))
     spark = df.sparkSession
     if span:
         df = df.where(F.expr(f"{quote(ts)} >= {sql_literal(span[0])} AND {quote(ts)} < {sql_literal(span[1])}"))
@@ -118,16 +192,33 @@ def family_metrics(df: DataFrame, definitions: Sequence[AlertDefinition], ts: st
             df = df.where(F.col(quote(column)).isin(*sorted({str(d.params[param]) for d in definitions})))
     columns = list(params.values())
     names = [f"__p{i}" for i in range(len(columns))]
+    widths = {d.width for d in definitions}
+    one = len(widths) == 1
+    base = next(iter(widths)) if one else Width(math.gcd(*[s for w in widths for s in (w.seconds, w.offset_seconds) if s]))
+    parts, merge = ([measure], None) if one else _parts_of(measure)
+    held = [f"__v{i}" for i in range(len(parts))]
     grouped = (
-        df.withColumn("__bucket", bucket(ts, width))
+        df.withColumn("__bucket", bucket(ts, base))
         .groupBy("__bucket", *[F.col(quote(c)).cast("string").alias(n) for c, n in zip(columns, names)])
-        .agg(F.expr(measure).cast("double").alias("value"))
-        .select(epoch_seconds("__bucket").alias("time_ts"), *names, "value")
+        .agg(*[F.expr(p).alias(h) for p, h in zip(parts, held, strict=True)])
+        .select(epoch_seconds("__bucket").alias("time_ts"), *names, *held)
     )
-    wanted = local_rows(
-        spark, [(d.id.group, d.id.key, *[str(d.params[p]) for p in params]) for d in definitions],
-        ", ".join([f"{ID[0]} string", f"{ID[1]} string", *[f"{n} string" for n in names]]))
-    return grouped.join(wanted, names).select(*ID, "time_ts", "value")
+    wanted = [(d.id.group, d.id.key, d.width.seconds, d.width.offset_seconds, *[str(d.params[p]) for p in params]) for d in definitions]
+    kinds = ", ".join(["__w long", "__o long", *[f"{n} string" for n in names]])
+    on = [*names, "__w"]
+    if one:
+        grouped = grouped.select(*names, F.lit(base.seconds).cast("long").alias("__w"), "time_ts", F.col(held[0]).cast("double").alias("value"))
+    else:
+        if names:
+            wider = grouped.join(local_rows(spark, sorted({w[2:] for w in wanted}), kinds), names)
+        else:
+            each = [F.struct(F.lit(w.seconds).cast("long").alias("__w"), F.lit(w.offset_seconds).cast("long").alias("__o")) for w in widths]
+            wider = grouped.select("*", F.inline(F.array(*each)))
+        moved = F.col("time_ts") - F.col("__o")
+        wider = wider.withColumn("time_ts", moved - F.pmod(moved, F.col("__w")) + F.col("__o"))
+        grouped = wider.groupBy(*on, "time_ts").agg(merge(*[F.col(h) for h in held]).alias("value"))
+    alerts = local_rows(spark, wanted, f"{ID[0]} string, {ID[1]} string, {kinds}")
+    return grouped.join(alerts.drop("__o"), on).select(*ID, "time_ts", "value")
 
 
 # -- evaluation ---------------------------------------------------------------------
@@ -135,7 +226,7 @@ def family_metrics(df: DataFrame, definitions: Sequence[AlertDefinition], ts: st
 def live_bucket(definition: AlertDefinition, now: datetime) -> int:
     """Epoch second of the bucket a definition looks at now."""
     width, offset = definition.width.seconds, definition.width.offset_seconds
-    moved = to_epoch(now) - offset - definition.lag * width
+    moved = to_epoch(now) - offset - definition.delay
     return moved - moved % width + offset
 
 
@@ -151,21 +242,10 @@ def _stamped(df: DataFrame, tick: Column) -> DataFrame:
 
 
 def evaluate_live(spark: SparkSession, definitions: Sequence[AlertDefinition], now: datetime) -> DataFrame:
-    """Evaluate query-text alerts at ``now``: one result row each, lazily."""
-    results = []
-    for d in definitions:
-        found = _metric(spark, d, d.live_sql(live_bucket(d, now)))
-        extra = [F.max(c).alias(c) for c in _OVERRIDES if c in found.columns]
-        one = found.agg(F.count(F.lit(1)).alias("n_rows"), F.max("value").alias("value"), *extra)
-        judged = judge(one.select(
-            "*", F.lit(d.id.group).alias(ID[0]), F.lit(d.id.key).alias(ID[1]),
-            F.lit(d.value_gt).cast("double").alias("value_gt"), F.lit(d.value_lt).cast("double").alias("value_lt"),
-            F.lit(d.message).alias("alert_message")))
-        results.append(_stamped(judged, F.lit(to_epoch(now))))
-    out = results[0]
-    for part in results[1:]:
-        out = out.unionByName(part)
-    return out
+    """Evaluate query-text alerts at ``now``: one result row each, lazily; one query for each distinct text."""
+    found = bucket_rows(_text_metrics(spark, [(d, d.live_sql(live_bucket(d, now))) for d in definitions]), ID)
+    at = definitions_df(spark, definitions).join(found, list(ID), "left")
+    return _stamped(judge(at), F.lit(to_epoch(now)))
 
 
 def evaluate_family_live(df: DataFrame, definitions: Sequence[AlertDefinition], now: datetime, ts: str,
@@ -179,8 +259,8 @@ def evaluate_family_live(df: DataFrame, definitions: Sequence[AlertDefinition],
 
 
 def tick_bucket() -> Column:
-    """Bucket a tick looks at, from columns tick, width_s, offset_s and lag."""
-    moved = F.col("tick") - F.col("offset_s") - F.col("lag") * F.col("width_s")
+    """Bucket a tick looks at, from columns tick, width_s, offset_s and delay_s."""
+    moved = F.col("tick") - F.col("offset_s") - F.col("delay_s")
     return moved - F.pmod(moved, F.col("width_s")) + F.col("offset_s")
 
 
@@ -206,6 +286,6 @@ def replay(spark: SparkSession, definitions: Sequence[AlertDefinition], metrics:
 
 def replay_span(definitions: Sequence[AlertDefinition], start: datetime, end: datetime) -> tuple[datetime, datetime]:
     """Scan bounds that hold every bucket a replay can look at."""
-    back = max((d.lag + 1) * d.width.seconds for d in definitions)
+    back = max(d.delay + d.width.seconds for d in definitions)
     return as_utc(start) - timedelta(seconds=back), as_utc(end) + timedelta(seconds=back)
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bucketwise.functions.buckets import DEFAULT_BUCKET_SECONDS, Width, bucket, pick_width
+from bucketwise.functions.buckets import DEFAULT_BUCKET_SECONDS, Width, bucket, bucket_sql, pick_width
 from bucketwise.functions.scalars import json_path, sql_string
 
 KINDS = ("expr", "count", "enum", "autoBucket")
@@ -91,11 +91,9 @@ def time_field(definition: str, alias: str, bucket_ms: int) -> Field:
     return Field(definition, alias, bucket_ms=bucket_ms)
 
 
-def every(column: str, width: int | str, alias: str = "time") -> Field:
-    """Fixed-width bucket of a column."""
-    from bucketwise.functions.buckets import bucket_sql
-
-    return Field(bucket_sql(column, width), alias, bucket_ms=Width.parse(width).ms)
+def every(column: str, width: int | str, alias: str = "time", zone: str | None = None) -> Field:
+    """Bucket of a column; with a ``zone``, days, weeks and months go by its clocks."""
+    return Field(bucket_sql(column, width, zone), alias, bucket_ms=Width.parse(width).ms)
 
 
 def every_15_minutes(column: str = "timestamp") -> Field:

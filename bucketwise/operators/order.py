@@ -21,7 +21,8 @@ from bucketwise.session import checkpointed
 _POSITION_BITS = 33
 
 
-def _sorted_with_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def sorted_with_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows in order, checkpointed, with the number of their partition (``__part``) and their place in it (``__pos``)."""
     placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
     return (
         checkpointed(placed)
@@ -33,7 +34,7 @@ def _sorted_with_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
     """Exact global row number, from 1, in the given total order."""
-    rows = _sorted_with_position(df, order)
+    rows = sorted_with_position(df, order)
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
@@ -45,6 +46,27 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_number") -
     )
 
 
+def running_sums(df: DataFrame, value: str, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Sum of ``value`` over the rows of a group up to each row, in the given order.
+
+    Sums inside a sorted partition, plus what the group has in the partitions before (one row a partition
+    and group): a group is spread over as many partitions as its rows need.
+    """
+    keys = [F.col(quote(b)) for b in by]
+    rows = sorted_with_position(df, [*[k.asc_nulls_first() for k in keys], *order])
+    groups = [f"__g{i}" for i in range(len(keys))]
+    sums = rows.groupBy(F.col("__part").alias("__p"), *[k.alias(g) for k, g in zip(keys, groups, strict=True)]).agg(
+        F.sum(quote(value)).alias("__sum"))
+    earlier = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.sum("__sum").over(earlier)).drop("__sum")
+    on = [F.col("__part") == F.col("__p")] + [k.eqNullSafe(F.col(g)) for k, g in zip(keys, groups, strict=True)]
+    inside = F.sum(quote(value)).over(Window.partitionBy("__part", *keys).orderBy("__pos")
+                                      .rowsBetween(Window.unboundedPreceding, 0))
+    before = F.col("__before")
+    return (rows.join(sums, on).withColumn(name, F.when(before.isNull(), inside).otherwise(before + F.coalesce(inside, F.lit(0))))
+            .drop("__part", "__pos", "__p", "__before", *groups))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Interpolated quantiles per group, exact at any group size or skew.
@@ -61,7 +83,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     groups = [f"__g{i}" for i in range(len(keys))]
-    rows = _sorted_with_position(counts, [F.col(g).asc_nulls_last() for g in groups] + [F.col("__v").asc()])
+    rows = sorted_with_position(counts, [F.col(g).asc_nulls_last() for g in groups] + [F.col("__v").asc()])
 
     edges = rows.groupBy("__part", *groups).agg(F.sum("__n").alias("__in_part"))
     earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

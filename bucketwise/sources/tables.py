@@ -27,13 +27,13 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
     return spark.read.schema(schema).option("sep", sep).csv(path)
 
 
-def local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+def local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation, whose size Spark knows exactly.
 
     Joins against it are broadcast below the session's own threshold and shuffled
     beyond it.
     """
-    struct = T.StructType.fromDDL(schema)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = struct.fieldNames()
     data = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(struct))
     return spark.createDataFrame(data, schema=struct)

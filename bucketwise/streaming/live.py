@@ -6,6 +6,8 @@ one to the end of its input, which is also how a bounded backlog is caught up.
 
 from __future__ import annotations
 
+import json
+import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager, nullcontext
@@ -24,6 +26,7 @@ from bucketwise.functions.buckets import Width, epoch_seconds
 from bucketwise.functions.fields import quote
 from bucketwise.operators.anonymize import Processor, anonymize
 from bucketwise.session import checkpointed, scratch_path
+from bucketwise.sources.files import Files
 
 
 def live_series(events: DataFrame, ts: str, series: Sequence[str], width: int | str, lateness: str,
@@ -47,35 +50,115 @@ def live_series(events: DataFrame, ts: str, series: Sequence[str], width: int |
 
 
 class RunningTable:
-    """The newest row of each key from a stream in update mode, as a table.
+    """The newest row of each key from a stream in update mode, as a table. This is the sink of a running series.
 
-    Rows are stored by day and micro-batch, so a repeated batch replaces its own rows and readers
-    take the newest batch of each key. This is the sink of a running series.
+    Each micro-batch is a folder of its own, so a repeated batch replaces its own rows. Every ``compact_every`` batches the
+    days they touch are written anew with one row a key, and a manifest names the valid files of each day and the last batch
+    in them. A reader takes the newest manifest: days without later batches are read as they are, only the others
+    are merged. The manifest is put in place by one rename, after everything it names has been written, so a compaction that
+    fails on the way changes nothing. What a manifest replaces is kept until the next one, for readers at work.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], time: str):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], time: str, compact_every: int = 20, tasks_a_day: int = 4):
         self.spark, self.path, self.keys, self.time = spark, path.rstrip("/"), list(keys), time
+        self.compact_every, self.tasks_a_day = compact_every, tasks_a_day
+        self._files = Files(spark)
 
     def write(self, batch: DataFrame, number: float) -> None:
         """Usable as a ``foreachBatch`` function."""
-        rows = batch.withColumn("stored_day", F.to_date(self.time)).withColumn("stored_batch", F.lit(float(number)))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("stored_day", "stored_batch").parquet(self.path))
+        rows = batch.withColumn(_DAY, F.to_date(self.time)).withColumn("stored_batch", F.lit(float(number)))
+        # A batch touches few days as a rule; their rows are dealt to some tasks each, which write one file a day.
+        part = F.pmod(F.xxhash64(*[F.col(quote(k)) for k in self.keys]), F.lit(self.tasks_a_day))
+        (rows.repartition(F.col(_DAY), part).write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy(_DAY).parquet(self._batch(number)))
+        if not self._files.exists(f"{self.path}/schema"):
+            self._files.put(f"{self.path}/schema", rows.schema.json())
+        manifest = self._manifest()
+        # The batch at hand may be repeated; those before it are final.
+        done = [n for n in self._batches() if manifest["through"] < n < number]
+        if len(done) >= self.compact_every:
+            self._compact(manifest, done)
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self._files.exists(f"{self.path}/schema")
 
     def read(self, since: date | None = None) -> DataFrame:
         """The newest rows, of days from ``since`` on."""
-        stored = self.spark.read.parquet(self.path)
-        if since is not None:
-            stored = stored.where(F.col("stored_day") >= F.lit(since))
-        rest = [c for c in stored.columns if c not in (*self.keys, "stored_day", "stored_batch")]
+        manifest = self._manifest()
+        later = [n for n in self._batches() if n > manifest["through"]]
+        wanted = lambda day: since is None or day == _NO_DAY or day >= since.isoformat()
+        touched = {day for n in later for day in self._days(self._batch(n)) if wanted(day)}
+        days = {day: folder for day, folder in manifest["days"].items() if wanted(day)}
+        closed = self._load([f for day, f in days.items() if day not in touched])
+        opened = [f for day, f in days.items() if day in touched]
+        opened += [f"{self._batch(n)}/{_DAY}={day}" for n in later for day in self._days(self._batch(n)) if day in touched]
+        return self._plain(closed).unionByName(self._plain(self._newest(self._load(opened))))
+
+    def _batch(self, number: float) -> str:
+        return f"{self.path}/batches/{float(number)!r}"
+
+    def _batches(self) -> list[float]:
+        return sorted(float(n) for n in self._files.names(f"{self.path}/batches"))
+
+    def _days(self, folder: str) -> list[str]:
+        return [n.partition("=")[2] for n in self._files.names(folder) if n.startswith(f"{_DAY}=")]
+
+    def _manifests(self) -> list[str]:
+        return sorted(self._files.names(f"{self.path}/manifests"))
+
+    def _manifest(self, back: int = 1) -> dict:
+        found = self._manifests()
+        return json.loads(self._files.text(f"{self.path}/manifests/{found[-back]}")) if len(found) >= back else {"through": -1.0, "days": {}}
+
+    def _load(self, folders: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(self._files.text(f"{self.path}/schema")))
+        stored = T.StructType([f for f in schema.fields if f.name != _DAY])
+        if not folders:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).parquet(*folders)
+
+    def _newest(self, stored: DataFrame) -> DataFrame:
+        rest = [c for c in stored.columns if c not in self.keys]
         newest = F.max_by(F.struct(*[F.col(quote(c)) for c in rest]), "stored_batch").alias("__newest")
         return (stored.groupBy(*[F.col(quote(k)) for k in self.keys]).agg(newest)
                 .select(*[F.col(quote(k)) for k in self.keys], "__newest.*"))
 
+    @staticmethod
+    def _plain(stored: DataFrame) -> DataFrame:
+        return stored.drop("stored_batch")
+
+    def _compact(self, manifest: dict, done: Sequence[float]) -> None:
+        touched = {day for n in done for day in self._days(self._batch(n))}
+        folders = [manifest["days"][day] for day in touched if day in manifest["days"]]
+        folders += [f"{self._batch(n)}/{_DAY}={day}" for n in done for day in self._days(self._batch(n))]
+        target = f"{self.path}/days/{done[-1]!r}-{uuid.uuid4().hex}"
+        rows = self._newest(self._load(folders)).withColumn(_DAY, F.to_date(self.time))
+        (rows.hint("rebalance", F.col(_DAY)).write.partitionBy(_DAY).parquet(target))  # few files a day, large days split
+        days = {**manifest["days"], **{day: f"{target}/{_DAY}={day}" for day in self._days(target)}}
+        self._commit({"through": done[-1], "days": days})
+
+    def _commit(self, manifest: dict) -> None:
+        before = self._manifest()
+        number = int(self._manifests()[-1]) + 1 if self._manifests() else 0
+        self._files.put(f"{self.path}/manifests/{number:012d}", json.dumps(manifest))
+        for name in self._manifests()[:-2]:
+            self._files.remove(f"{self.path}/manifests/{name}")
+        for n in self._batches():
+            if n <= before["through"]:
+                self._files.remove(self._batch(n))
+        used = {*manifest["days"].values(), *before["days"].values()}
+        for version in self._files.names(f"{self.path}/days"):
+            folder = f"{self.path}/days/{version}"
+            left = [day for day in self._days(folder) if f"{folder}/{_DAY}={day}" in used]
+            for day in set(self._days(folder)) - set(left):
+                self._files.remove(f"{folder}/{_DAY}={day}")
+            if not left:
+                self._files.remove(folder)
+
+
+_DAY = "stored_day"
+_NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder for rows without a time
+
 
 def with_heartbeat(events: DataFrame, beats: DataFrame, ts: str, weight: str = "weight",
                    keys: Sequence[Mapping[str, object]] = ()) -> DataFrame:
@@ -108,7 +191,7 @@ def judge_batch(metric: DataFrame, definitions: Sequence[AlertDefinition]) -> Da
 
     A metric with alert ids is matched by id; one without is given to every alert.
     Results carry the time from which the bucket is looked at: its start, or with a
-    lag its end.
+    delay the time at which it is looked up first.
     """
     alerts = definitions_df(metric.sparkSession, definitions)
     if ID[0] in metric.columns:
@@ -117,7 +200,7 @@ def judge_batch(metric: DataFrame, definitions: Sequence[AlertDefinition]) -> Da
         each = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(d.row(), alerts.schema.fields)])
                 for d in definitions]
         joined = bucket_rows(metric, ["time_ts"]).select("*", F.inline(F.array(*each)))
-    seen = F.col("time_ts") + F.col("lag") * F.col("width_s")
+    seen = F.col("time_ts") + F.col("delay_s")
     return judge(joined).select(*ID, F.timestamp_seconds(seen).cast("timestamp_ntz").alias("timestamp"),
                                 "status", "message", "value")
 

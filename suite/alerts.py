@@ -23,9 +23,9 @@ TYPES = ("error", "click", "view", "signup", "purchase")
 def sql_definition(file: str, key: str, event_type: str, **condition) -> AlertDefinition:
     with open(f"{HERE}/sql/{file}", encoding="utf-8") as handle:
         text = handle.read()
-    width, lag = bucket_header(text)
+    width, lag, back = bucket_header(text)
     return AlertDefinition(AlertId("checks", key), width, lag, text, {"event_type": event_type},
-                           message=f"{key} out of range", check_every="@15minutes", ts="ts", **condition)
+                           message=f"{key} out of range", check_every="@15minutes", ts="ts", back=back, **condition)
 
 
 def family(lag: int = 0, copies: int = 1) -> list[AlertDefinition]:
@@ -106,6 +106,38 @@ def _(spark, folder):
     return ev.evaluate_family_live(table(spark, folder, "events"), family(), LIVE_AT, "ts", {"event_type": "event_type"})
 
 
+FIFTY = [sql_definition("event_count_alert.sql", f"{kind}-{i}", kind, **({"value_lt": float(i)} if i % 2 else {"value_gt": float(i)}))
+         for kind in TYPES for i in range(10)]
+
+
+@register("al2_many_texts", f"""
+SELECT 'checks' AS alert_id_group, kind || '-' || i AS alert_id_key, TIMESTAMP '{LIVE_AT}' AS timestamp,
+  CASE WHEN bad THEN 'error' ELSE 'OK' END AS status, CASE WHEN bad THEN kind || '-' || i || ' out of range' ELSE '' END AS message, value
+FROM (SELECT kind, i, value, CASE WHEN i % 2 = 0 THEN coalesce(value, 0) > i ELSE coalesce(value, 0) < i END AS bad
+  FROM (VALUES {", ".join(f"('{k}')" for k in TYPES)}) k(kind), range(10) r(i)
+  LEFT JOIN (SELECT event_type, CAST(count(*) AS DOUBLE) AS value FROM events
+    WHERE ts >= TIMESTAMP '2024-01-20 14:00' AND ts < TIMESTAMP '2024-01-20 15:00' GROUP BY 1) ON event_type = kind)""")
+def _(spark, folder):
+    views(spark, folder, "events")
+    return ev.evaluate_live(spark, FIFTY, LIVE_AT)
+
+
+@register("al3_lower_and_missing_conditions", """
+SELECT event_type, time, CASE event_type WHEN 'error' THEN CASE WHEN total < 20 THEN 'error' ELSE 'OK' END
+    WHEN 'click' THEN 'error' ELSE CASE WHEN total > 60 THEN 'error' ELSE 'OK' END END AS status,
+  CASE event_type WHEN 'error' THEN CASE WHEN total < 20 THEN 'odd' ELSE '' END WHEN 'click' THEN 'INTERNAL ERROR: no alert_if condition found.'
+    ELSE CASE WHEN total > 60 THEN 'odd' ELSE '' END END AS message
+FROM (SELECT event_type, date_trunc('hour', ts) AS time, max(value) AS total FROM events GROUP BY 1, 2)""")
+def _(spark, folder):
+    rows = (table(spark, folder, "events").groupBy("event_type", F.window("ts", "1 hour").start.alias("time"))
+            .agg(F.max("value").alias("value")))
+    kind = F.col("event_type")
+    judged = ev.judge(rows.select(
+        "*", F.lit(1).cast("long").alias("n_rows"), F.lit("odd").alias("alert_message"),
+        F.when(~kind.isin("error", "click"), 60.0).alias("value_gt"), F.when(kind != "click", 20.0).alias("value_lt")))
+    return judged.select("event_type", "time", "status", "message")
+
+
 @register("al3_threshold_rules", """
 SELECT time, n_rows, CASE WHEN n_rows > 1 THEN 'error' WHEN total > 120 THEN 'error' ELSE 'OK' END AS status,
   CASE WHEN n_rows > 1 THEN 'QUERY ERROR: found ' || n_rows || ' result rows, but only 0 or 1 allowed'
@@ -128,6 +160,30 @@ def many_alerts(spark, folder):
     return replayed(spark, folder, HUNDRED)
 
 
+# Four widths in one family; the quarter hours look 20 minutes back.
+MIXED = [AlertDefinition(AlertId("mixed", f"{kind}-{width}"), Width.parse(width), lag, params={"event_type": kind}, back=back,
+                         message="odd mean", check_every="@15minutes", **({"value_lt": 45.0} if width == "1 day" else {"value_gt": 55.0}))
+         for kind in TYPES for width, lag, back in (("15 minutes", 0, 1200), ("1 hour", 1, 0), ("1 day", 0, 0), ("1 week", 1, 0))]
+MIXED_VALUES = "(VALUES " + ", ".join(
+    f"('{d.id.key}', '{d.params['event_type']}', {d.width.seconds}, {d.width.offset_seconds}, {d.delay}, {d.value_gt or 'NULL'}, {d.value_lt or 'NULL'})"
+    for d in MIXED) + ") d(k, kind, w, o, delay, gt, lt)"
+
+
+@register("al4_mixed_widths", f"""
+WITH ticks AS (SELECT CAST(g AS TIMESTAMP) AS tick, CAST(epoch(g) AS BIGINT) AS s FROM generate_series(
+    TIMESTAMP '{START}' + INTERVAL 15 MINUTE, TIMESTAMP '{END}', INTERVAL 15 MINUTE) t(g)),
+e AS (SELECT event_type, value, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events),
+m AS (SELECT event_type, w, (s - o) // w * w + o AS bucket, avg(value) AS mean FROM e, (SELECT DISTINCT w, o FROM {MIXED_VALUES}) GROUP BY 1, 2, 3)
+SELECT 'mixed' AS alert_id_group, k AS alert_id_key, tick AS timestamp, CASE WHEN bad THEN 'error' ELSE 'OK' END AS status,
+  CASE WHEN bad THEN 'odd mean' ELSE '' END AS message, round(mean, 9) AS value
+FROM (SELECT *, CASE WHEN gt IS NOT NULL THEN coalesce(mean, 0) > gt ELSE coalesce(mean, 0) < lt END AS bad FROM ticks
+  CROSS JOIN {MIXED_VALUES} LEFT JOIN m ON m.event_type = d.kind AND m.w = d.w AND m.bucket = (s - o - delay) // d.w * d.w + o)""")
+def mixed_widths(spark, folder):
+    span = ev.replay_span(MIXED, START, END)
+    metrics = ev.family_metrics(table(spark, folder, "events"), MIXED, "ts", {"event_type": "event_type"}, "avg(value)", span)
+    return ev.replay(spark, MIXED, metrics, START, END).withColumn("value", F.round("value", 9))
+
+
 @register("al5_row_thresholds", """
 SELECT event_type, time, CASE WHEN value > limit_value THEN 'error' ELSE 'OK' END AS status FROM (
   SELECT event_type, date_trunc('hour', ts) AS time, CAST(count(*) AS DOUBLE) AS value,

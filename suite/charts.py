@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from bucketwise.functions import buckets
 from bucketwise.functions import fields as fld
 from bucketwise.operators import filters as flt
 from bucketwise.operators import series as ser
@@ -58,6 +59,18 @@ def time_line_filled(spark, folder):
     return chart.run(context(spark, folder, "events")).df
 
 
+MONTHLY = "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS time, count(*) AS cnt FROM orders WHERE o_totalprice > 400000 AND o_custkey % 11 = 0 GROUP BY 1"
+
+
+@register("l3_gap_fill_months", f"""
+WITH m AS ({MONTHLY}) SELECT CAST(g AS TIMESTAMP) AS time, coalesce(cnt, 0) AS cnt FROM (
+  SELECT unnest(generate_series(min(time), max(time), INTERVAL 1 MONTH)) AS g FROM m) LEFT JOIN m ON time = g""")
+def _(spark, folder):
+    months = (table(spark, folder, "orders").where("o_totalprice > 400000 AND o_custkey % 11 = 0")
+              .groupBy(buckets.bucket("o_orderdate", "month").alias("time")).agg(F.count("*").alias("cnt")))
+    return ser.gap_fill(months, "time", "1 month")
+
+
 @register("l3_gap_fill_whole_range", f"""
 WITH base AS (SELECT event_type, date_trunc('day', ts) AS time, count(*) AS cnt FROM events WHERE value > 200 GROUP BY 1, 2),
 s AS (SELECT DISTINCT event_type FROM base),

@@ -201,19 +201,48 @@ def _(spark, folder):
     return compile_query(spec, context(spark, folder, "events")).df
 
 
-@register("b3_rounding_units", """
-SELECT 'second' AS unit, count(*) AS buckets FROM (SELECT DISTINCT date_trunc('second', ts) FROM events) UNION ALL
-SELECT 'minute', count(*) FROM (SELECT DISTINCT date_trunc('minute', ts) FROM events) UNION ALL
-SELECT 'hour', count(*) FROM (SELECT DISTINCT date_trunc('hour', ts) FROM events) UNION ALL
-SELECT 'day', count(*) FROM (SELECT DISTINCT date_trunc('day', ts) FROM events) UNION ALL
-SELECT 'month', count(*) FROM (SELECT DISTINCT date_trunc('month', ts) FROM events)""")
+@register("b2_two_months", """
+SELECT make_date(CAST(b // 12 AS INTEGER), CAST(b % 12 AS INTEGER) + 1, 1)::TIMESTAMP AS time, cnt, round(total, 2) AS total FROM (
+  SELECT (year(o_orderdate) * 12 + month(o_orderdate) - 1) // 2 * 2 AS b, count(*) AS cnt, sum(o_totalprice) AS total FROM orders GROUP BY 1)""")
+def _(spark, folder):
+    f = fld.every("o_orderdate", "2 months")
+    spec = from_table("orders", f, fld.count(), fld.field("round(sum(o_totalprice), 2)", "total")).grouping(f).unfiltered()
+    return compile_query(spec, context(spark, folder, "orders")).df
+
+
+UNITS = ("second", "minute", "hour", "day", "month", "quarter", "year")
+
+
+@register("b3_rounding_units", " UNION ALL ".join(
+    f"SELECT '{u}' AS unit, CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS time, count(*) AS cnt FROM events GROUP BY 2" for u in UNITS))
 def _(spark, folder):
     events = table(spark, folder, "events").select("ts")
-    counts = None
-    for unit in ("second", "minute", "hour", "day", "month"):
-        one = events.select(buckets.bucket("ts", unit).alias("b")).distinct().select(F.lit(unit).alias("unit"))
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.groupBy("unit").agg(F.count("*").alias("buckets"))
+    rows = None
+    for unit in UNITS:
+        one = events.groupBy(buckets.bucket("ts", unit).alias("time")).agg(F.count("*").alias("cnt")).select(F.lit(unit).alias("unit"), "time", "cnt")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+# Moved by 75 days, the events lie around the end of March 2024, when Berlin goes from one to two hours before UTC.
+LATER = "ts + INTERVAL '75' DAY"
+TO_SUMMER = "TIMESTAMP '2024-03-31 01:00:00'"
+
+
+@register("b3_days_in_zone", f"""
+SELECT unit, CAST(day - CASE WHEN day <= TIMESTAMP '2024-03-31' THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END AS TIMESTAMP) AS time, count(*) AS cnt FROM (
+  SELECT unit, CASE unit WHEN 'day' THEN date_trunc('day', local) WHEN 'month' THEN date_trunc('month', local)
+    ELSE time_bucket(INTERVAL '7 days', local, TIMESTAMP '1970-01-04') END AS day
+  FROM (SELECT moved + CASE WHEN moved < {TO_SUMMER} THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END AS local FROM (SELECT {LATER} AS moved FROM events)),
+       (VALUES ('day'), ('week'), ('month')) u(unit)) GROUP BY 1, 2""")
+def _(spark, folder):
+    later = table(spark, folder, "events").select(F.expr(LATER).alias("at"))
+    rows = None
+    for unit in ("day", "week", "month"):
+        one = (later.groupBy(buckets.bucket("at", unit, "Europe/Berlin").alias("time")).agg(F.count("*").alias("cnt"))
+               .select(F.lit(unit).alias("unit"), "time", "cnt"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @register("b4_week_from_sunday", """

@@ -11,6 +11,7 @@ from bucketwise.alerting.log import AlertLog
 from bucketwise.functions.buckets import Width
 from bucketwise.operators import anonymize as an
 from bucketwise.session import scratch_path
+from bucketwise.sources.files import Files
 from bucketwise.sources.tables import time_grid
 from bucketwise.streaming import live
 from suite.registry import register, table
@@ -31,6 +32,17 @@ def live_series(spark, folder):
     return live.run_available(series, "live-series")
 
 
+@register("st1_compacted_series", "SELECT date_trunc('hour', ts) AS time, event_type, count(*) AS y FROM events GROUP BY 1, 2")
+def _(spark, folder):
+    """Four batches over the same hours; every second one puts the days together."""
+    path = scratch_path(spark, "mixed-events")
+    table(spark, folder, "events").repartition(4).write.parquet(path)
+    events = live.file_stream(spark, path, table(spark, folder, "events").schema, files_per_trigger=1)
+    running = live.RunningTable(spark, scratch_path(spark, "compacted-series"), ["time", "event_type"], "time", compact_every=2, tasks_a_day=1)
+    live.run_batches(live.live_series(events, "ts", ["event_type"], "1 hour", "40 days"), "compacted-series", running.write, "update")
+    return running.read()
+
+
 @register("st1_running_series", "SELECT date_trunc('hour', ts) AS time, event_type, count(*) AS y FROM events GROUP BY 1, 2")
 def _(spark, folder):
     series = live.live_series(event_stream(spark, folder), "ts", ["event_type"], "1 hour", LATE)
@@ -69,11 +81,12 @@ def _(spark, folder):
     """The events come in three batches that each hold a part of every hour, so buckets are judged again."""
     errors = table(spark, folder, "events").where("event_type = 'error'")
     path = scratch_path(spark, "parts")
-    for part in range(3):
-        errors.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+    for part in range(3):  # each by as many tasks as Spark reads the events with
+        errors.where(F.col("event_id") % 3 == part).write.mode("append").parquet(path)
+    files = len(Files(spark).names(path))
     store = AlertLog(spark, scratch_path(spark, "alert-log"))
     store.clear()
-    metric = live.live_metric(live.file_stream(spark, path, errors.schema, files_per_trigger=1), "ts", "1 hour", "40 days")
+    metric = live.live_metric(live.file_stream(spark, path, errors.schema, files_per_trigger=-(-files // 3)), "ts", "1 hour", "40 days")
     live.run_batches(metric, "several", live.alert_writer([alert(0, value_gt=3.0)], store), "update")
     return store.read().withColumn("event_date", F.col("event_date").cast("string"))
 

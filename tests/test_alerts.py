@@ -1,5 +1,6 @@
 import os
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -40,11 +41,19 @@ def test_bad_definitions(tmp_path, body, text):
         dfn.parse_definitions(str(tmp_path / "a.json"))
 
 
-@pytest.mark.parametrize("text, width, lag", [
-    ("--BUCKET: 15 minutes\nSELECT", 900, 0), ("-- x\n-- y\n--BUCKET: 1 hour lag 1", 3600, 1)])
-def test_bucket_header(text, width, lag):
-    found, back = dfn.bucket_header(text)
-    assert (found.seconds, back) == (width, lag)
+# Headers and what they say.
+@pytest.mark.parametrize("text, width, lag, back", [
+    ("--BUCKET: 15 minutes\nSELECT", 900, 0, 0), ("-- x\n-- y\n--BUCKET: 1 hour lag 1", 3600, 1, 0),
+    ("--BUCKET: 15 minutes back 20 minutes", 900, 0, 1200), ("--BUCKET: 1 day LAG 2 back 90 seconds\n", 86400, 2, 90)])
+def test_bucket_header(text, width, lag, back):
+    found = dfn.bucket_header(text)
+    assert (found[0].seconds, *found[1:]) == (width, lag, back)
+
+
+@pytest.mark.parametrize("text", ["--BUCKET: 1 month", "--BUCKET: 1 hour back month", "--BUCKET: 1 hour back soon", "SELECT 1"])
+def test_headers_without_fixed_lengths_are_refused(text):
+    with pytest.raises(ValueError):
+        dfn.bucket_header(text)
 
 
 # -- ticks --------------------------------------------------------------------------------
@@ -150,6 +159,87 @@ def test_query_texts_are_bounded_too(spark, events):
     assert "1=1" in dfn.AlertDefinition(d.id, d.width, query=d.query).live_sql(0)
 
 
+@pytest.mark.parametrize("lag, back", [(0, 0), (1, 0), (0, 1200), (1, 90), (0, 3600)])
+def test_the_clock_is_set_back_by_any_time(spark, lag, back):
+    d = dfn.AlertDefinition(dfn.AlertId("g", "k"), Width.parse("15 minutes"), lag, value_gt=1.0, back=back)
+    for minute in (0, 7, 14, 15, 44):
+        now = datetime(2023, 8, 15, 10, minute, 30)
+        seconds = int((now - datetime(1970, 1, 1)).total_seconds()) - 900 * lag - back
+        assert ev.live_bucket(d, now) == seconds // 900 * 900
+        at_tick = dfn.definitions_df(spark, [d]).withColumn("tick", F.lit(seconds + 900 * lag + back).cast("long"))
+        assert at_tick.select(ev.tick_bucket()).first()[0] == seconds // 900 * 900
+        assert ev.live_bucket(d, now) >= int((ev.replay_span([d], now, now)[0].replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()) - 900
+
+
+COLUMNS = ["alert_id_group", "alert_id_key", "timestamp", "status", "message", "value"]
+
+
+def test_alerts_of_one_text_share_one_scan(spark, events):
+    events.createOrReplaceTempView("events")
+    now = datetime(2024, 1, 20, 14, 37)
+    alerts = [replace(definition(kind, value_gt=float(i)), id=dfn.AlertId("g", f"{kind}{i}")) for kind in ("error", "click", "none", "view", "it's")
+              for i in range(10)]
+    alerts += [replace(definition("view", lag=1, value_lt=2.0), id=dfn.AlertId("g", "late"))]
+    shared = ev.evaluate_live(spark, alerts[:50], now)
+    assert plan_of(shared).count("FileScan") == 1 and "GreaterThanOrEqual(ts,2024-01-20T14:00)" in plan_of(shared)
+    some = alerts[:50:7] + alerts[50:]
+    alone = [tuple(r) for d in some for r in ev.evaluate_live(spark, [d], now).select(COLUMNS).collect()]
+    together = {r.alert_id_key: tuple(r) for r in ev.evaluate_live(spark, alerts, now).select(COLUMNS).collect()}
+    assert len(together) == 51 and [together[d.id.key] for d in some] == alone
+    span = ev.replay_span(alerts, datetime(2024, 1, 10), datetime(2024, 1, 11))
+    metrics = ev.sql_metrics(spark, alerts[:50], span)
+    assert plan_of(metrics).count("FileScan") == 1
+    for d in alerts[:50:13]:
+        single = sorted(map(tuple, ev.sql_metrics(spark, [d], span).collect()))
+        assert sorted(map(tuple, metrics.where(F.col("alert_id_key") == d.id.key).collect())) == single
+
+
+def test_markers_in_any_place_of_a_text(spark, events):
+    events.createOrReplaceTempView("events")
+    text = """SELECT 0 AS time_ts, sum(CASE WHEN event_type = :kind THEN :weight ELSE 0 END) AS value, :weight * 2 AS alert_if_value_gt
+      FROM events WHERE ':kind' <> ":weight" /* :kind */ AND event_id::int >= 0 -- :weight and it's
+      """
+    alerts = [dfn.AlertDefinition(dfn.AlertId("g", f"{k}{w}"), Width.parse("1 hour"), query=text, params={"kind": k, "weight": w}, value_gt=1.0)
+              for k in ("error", "view") for w in (2, 3)]
+    found = {r.alert_id_key: (r.value, r.alert_if_value_gt) for r in ev.sql_metrics(spark, alerts).collect()}
+    n = {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
+    assert found == {f"{k}{w}": (float(n[k] * w), 2.0 * w) for k in ("error", "view") for w in (2, 3)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("alert_parameters")]
+
+
+def test_texts_that_cannot_be_correlated_still_run(spark, events):
+    events.createOrReplaceTempView("events")
+    text = "WITH e AS (SELECT * FROM events WHERE event_type = :kind LIMIT 7) SELECT 0 AS time_ts, count(*) AS value FROM e"
+    alerts = [dfn.AlertDefinition(dfn.AlertId("g", k), Width.parse("1 hour"), query=text, params={"kind": k}, value_gt=1.0)
+              for k in ("error", "view", "none")]
+    assert {r.alert_id_key: r.value for r in ev.sql_metrics(spark, alerts).collect()} == {"error": 7.0, "view": 7.0, "none": 0.0}
+
+
+@pytest.mark.parametrize("measure", ["count(*)", "sum(value)", "min(value + 1)", "max(value)", "avg(CASE WHEN value > 20 THEN value END)"])
+def test_widths_of_one_family_share_one_scan(events, measure):
+    alerts = [dfn.AlertDefinition(dfn.AlertId("g", f"{kind} {width}"), Width.parse(width), params={"event_type": kind}, value_gt=1.0)
+              for kind in ("error", "click") for width in ("20 minutes", "1 hour", "1 week", "45 minutes")]
+    mixed = ev.family_metrics(events, alerts, "ts", {"event_type": "event_type"}, measure)
+    assert plan_of(mixed).count("FileScan") == 1
+    single = None
+    for width in {d.width for d in alerts}:
+        one = ev.family_metrics(events, [d for d in alerts if d.width == width], "ts", {"event_type": "event_type"}, measure)
+        single = one if single is None else single.unionByName(one)
+    rounded = lambda df: sorted((r.alert_id_key, r.time_ts, r.value and round(r.value, 6)) for r in df.collect())
+    assert rounded(mixed) == rounded(single)
+    unfiltered = [replace(d, params={}) for d in alerts if d.params["event_type"] == "error"]
+    total = ev.family_metrics(events, unfiltered, "ts", {}, "count(*)").where("alert_id_key LIKE '%week'").agg(F.sum("value")).first()[0]
+    assert total == events.count()
+
+
+@pytest.mark.parametrize("measure", ["count(DISTINCT user_id)", "percentile(value, 0.5)", "count(*) + sum(value)", "sum(value) / count(*)", "1"])
+def test_measures_that_cannot_be_merged_need_one_width(events, measure):
+    alerts = [dfn.AlertDefinition(dfn.AlertId("g", w), Width.parse(w), params={"event_type": "error"}, value_gt=1.0) for w in ("1 hour", "1 day")]
+    with pytest.raises(ValueError, match="widths"):
+        ev.family_metrics(events, alerts, "ts", {"event_type": "event_type"}, measure)
+    assert ev.family_metrics(events, alerts[:1], "ts", {"event_type": "event_type"}, measure).count() > 0
+
+
 # -- log ------------------------------------------------------------------------------------------
 
 RESULTS = "alert_id_group string, alert_id_key string, timestamp timestamp_ntz, status string, message string, value double"

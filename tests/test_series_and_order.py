@@ -41,6 +41,78 @@ def test_gap_fill_over_a_range(spark):
     assert [r.y for r in out.collect()] == [0, 0, 7, 0, 0]
 
 
+def plain_fill(times, step):
+    """Steps from each given time up to the next one."""
+    out = set(times)
+    for a, b in zip(times, times[1:], strict=False):
+        k = 1
+        while step(a, k) < b:
+            out.add(step(a, k))
+            k += 1
+    return sorted(out)
+
+
+def months_later(t, k):
+    number = t.year * 12 + t.month - 1 + k
+    last = (datetime(number // 12 + (number % 12 == 11), (number + 1) % 12 + 1, 1) - timedelta(days=1)).day
+    return t.replace(year=number // 12, month=number % 12 + 1, day=min(t.day, last))
+
+
+@pytest.mark.parametrize("split", [True, False])
+@pytest.mark.parametrize("step, later", [("1 hour", lambda t, k: t + timedelta(hours=k)), ("1 month", months_later),
+                                         ("2 months", lambda t, k: months_later(t, 2 * k)), ("year", lambda t, k: months_later(t, 12 * k))])
+def test_gap_fill_equals_a_loop_in_one_task_and_in_many(spark, split, step, later):
+    rnd = random.Random(len(step))
+    span = 400 if "hour" in step else 400 * 720
+    rows = {(k, T0 + timedelta(hours=rnd.randrange(span))) for k in ("a", "b", None) for _ in range(40)}
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "k string, t timestamp_ntz, y long, s string").repartition(7)
+    got = series.gap_fill(df, "t", step, ["k"], split=split).collect()
+    for k in ("a", "b", None):
+        times = sorted(t for key, t in rows if key == k)
+        assert sorted(r.t for r in got if r.k == k) == plain_fill(times, later)
+    assert sum(r.y for r in got) == len(rows) and {r.s for r in got} == {"x", ""}
+    alone = series.gap_fill(df.where("k = 'a'").drop("k"), "t", step, split=split)
+    assert sorted(r.t for r in alone.collect()) == plain_fill(sorted(t for key, t in rows if key == "a"), later)
+
+
+def test_gap_fill_without_series_is_split(spark):
+    df = spark.range(5000).selectExpr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, id * 7) AS t", "1L AS y")
+    out = series.gap_fill(df, "t", 1)
+    assert "SinglePartition" not in plan_of(out) and out.count() == 4999 * 7 + 1 and out.agg(F.sum("y")).first()[0] == 5000
+    low, high = datetime(2023, 12, 31, 23, 59, 50), datetime(2024, 1, 1, 9, 43, 20)
+    assert series.gap_fill(df, "t", 1, bounds=(low, high)).count() == 10 + int((high - T0).total_seconds()) + 1
+    assert series.gap_fill(df.limit(0), "t", 1).count() == 0
+
+
+def test_a_bucket_with_many_series_is_spread(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 'hot' END AS x", "id AS series", "id % 5 - 1 AS y").repartition(8)
+    shares = series.share(df, "y", ["x"])
+    assert "Window" not in plan_of(shares)
+    total = {r.x: r.t for r in df.groupBy("x").agg(F.sum("y").alias("t")).collect()}
+    assert all(abs(r.share - r.y / total[r.x]) < 1e-12 for r in shares.collect())
+    stacked = series.stack_positions(df, "x", "series", "y")
+    ends, parts = {}, {}
+    for r in sorted(stacked.withColumn("p", F.spark_partition_id()).collect(), key=lambda r: r.series):
+        ends[r.x] = ends.get(r.x, 0) + r.y
+        assert (r.y1, r.y2) == (ends[r.x] - r.y, ends[r.x])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the rows were too large for one partition
+    try:
+        rows = order.sorted_with_position(df, [F.col("x").asc_nulls_first(), F.col("series")])
+        for r in rows.groupBy("x", "__part").count().collect():
+            parts.setdefault(r.x, []).append(r["count"])
+        assert len(parts["hot"]) > 2 and max(parts["hot"]) < 8000
+        again = series.stack_positions(df, "x", "series", "y")
+        assert again.exceptAll(stacked).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_running_sums_skip_nulls_like_a_window(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None), ("a", 4, 2), (None, 1, 3)], "k string, i int, y long")
+    got = {(r.k, r.i): r.s for r in order.running_sums(df, "y", ["k"], [F.col("i")], "s").collect()}
+    assert got == {("a", 1): None, ("a", 2): 5, ("a", 3): 5, ("a", 4): 7, (None, 1): 3}
+
+
 def test_shares_and_stacks(spark):
     df = frame(spark, [("a", T0, 1), ("b", T0, 3), ("a", T0 + timedelta(hours=1), 5), ("c", T0 + timedelta(hours=1), 0)])
     shares = series.share(df, "y", ["t"]).groupBy("t").agg(F.sum("share").alias("s")).collect()

@@ -1,5 +1,8 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from bucketwise.alerting.definitions import AlertDefinition, AlertId
@@ -71,3 +74,92 @@ def test_stream_anonymizer_equals_batch(spark):
     df = spark.createDataFrame([("a@b.org", 1), ("fine", 2)], "message string, n int")
     got = live.run_available(live.anonymize_stream(files(spark, df, "pii"), an.default_rules()), "clean")
     assert got.exceptAll(an.anonymize(df, an.default_rules())).count() == 0 and got.count() == 2
+
+
+SERIES = "k string, time timestamp_ntz, y long"
+
+
+def batch_rows(rnd, number, size=6):
+    """Rows of the last hours before a batch's time, now and then of any earlier day or without a time."""
+    out = {}
+    for _ in range(size):
+        hours = rnd.randrange(max(0, number - 30), number + 1) if rnd.random() < 0.9 else rnd.randrange(number + 1)
+        out[rnd.choice("abc"), None if rnd.random() < 0.03 else T0 + timedelta(hours=hours)] = rnd.randrange(1000)
+    return out
+
+
+def table_of(df):
+    rows = [((r.k, r.time), r.y) for r in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+def test_a_running_table_stays_small(spark, tmp_path):
+    rnd, want, files = random.Random(4), {}, []
+    store = live.RunningTable(spark, str(tmp_path / "t"), ["k", "time"], "time", compact_every=4, tasks_a_day=1)
+    assert not store.exists()
+    for number in range(48):
+        rows = batch_rows(rnd, number)
+        if number % 13:
+            want.update(rows)
+        frame = spark.createDataFrame([(k, t, y) for (k, t), y in rows.items()] if number % 13 else [], SERIES).coalesce(1)
+        store.write(frame, number)
+        if number % 12 == 11:
+            assert table_of(store.read()) == want
+            since = T0.date() + timedelta(days=number // 30)
+            assert table_of(store.read(since)) == {key: y for key, y in want.items() if key[1] is None or key[1].date() >= since}
+            files.append((len(store.read().inputFiles()), len([f for f in (tmp_path / "t").rglob("*.parquet")])))
+    days = 48 // 24 + 2
+    assert max(read for read, _ in files) <= days + 5 * 3 and max(kept for _, kept in files) <= 2 * days + 2 * 5 * 3
+    store.write(spark.createDataFrame([("a", T0, 5)], SERIES), 48)
+    store.write(spark.createDataFrame([("a", T0, 6)], SERIES), 48)  # the same batch again
+    assert table_of(store.read())["a", T0] == 6
+
+
+@pytest.mark.parametrize("failing", ["put", "write", "remove"])
+def test_a_failed_compaction_loses_nothing(spark, tmp_path, monkeypatch, failing):
+    rnd, want = random.Random(5), {}
+    store = live.RunningTable(spark, str(tmp_path / "t"), ["k", "time"], "time", compact_every=3, tasks_a_day=1)
+
+    def add(number):
+        rows = batch_rows(rnd, number)
+        want.update(rows)
+        store.write(spark.createDataFrame([(k, t, y) for (k, t), y in rows.items()], SERIES).coalesce(1), number)
+
+    def fail(*_):
+        raise OSError("lost")
+
+    for number in range(7):
+        add(number)
+    with monkeypatch.context() as broken:
+        if failing == "put":  # everything is written, the manifest isn't
+            broken.setattr(store._files, "put", fail)
+        elif failing == "write":  # half of the days are written
+            whole = store._newest
+            broken.setattr(store, "_newest", lambda stored: whole(stored).withColumn("y", F.expr(
+                "CASE WHEN k = 'a' THEN CAST(raise_error('lost') AS BIGINT) ELSE y END")))
+        else:  # the manifest is there, what it replaces isn't gone
+            broken.setattr(store._files, "remove", fail)
+        failures = 0
+        for number in range(7, 11):
+            try:
+                add(number)
+            except Exception as error:  # noqa: BLE001
+                assert "lost" in str(error)
+                failures += 1
+        assert failures
+    assert table_of(store.read()) == want
+    for number in range(11, 17):
+        add(number)
+    assert table_of(store.read()) == want
+    assert len(list((tmp_path / "t" / "batches").iterdir())) <= 9
+
+
+def test_readers_at_work_keep_their_files(spark, tmp_path):
+    store = live.RunningTable(spark, str(tmp_path / "t"), ["k", "time"], "time", compact_every=3)
+    for number in range(8):
+        store.write(spark.createDataFrame([("a", T0 + timedelta(hours=number), number)], SERIES), number)
+    early = store.read()
+    for number in range(8, 11):  # one more compaction
+        store.write(spark.createDataFrame([("a", T0 + timedelta(hours=number), number)], SERIES), number)
+    assert len(table_of(early)) == 8 and len(table_of(store.read())) == 11
