@@ -19,6 +19,7 @@ from bucketwise.functions.fields import Field, auto_bucket, count, enum, quote
 from bucketwise.functions.schema import CATEGORICAL, TEMPORAL, first_of_class
 from bucketwise.operators.filters import FilterState
 from bucketwise.operators.series import order_categories, share, stack_positions
+from bucketwise.plans.shared import compile_together
 from bucketwise.plans.spec import Compiled, Query, QuerySpec, RunContext, compile_query, from_table, query_from_dict
 from bucketwise.sources.sqltext import SqlText
 
@@ -216,20 +217,21 @@ def default_params(widgets) -> dict[str, str]:
 def run_dashboard(text: str | Mapping, ctx: RunContext) -> DashboardResult:
     """Build every chart of a stored dashboard under one filter state.
 
-    The results are lazy and share the context's tables; widgets that draw no data
-    are skipped with a note.
+    Charts that group one table are computed together, in one pass over it (see :func:`compile_together`); the
+    others are lazy. Widgets that draw no data are skipped with a note.
     """
     data = json.loads(text) if isinstance(text, str) else text
     widgets = data.get("widgets") or ()
     ctx = replace(ctx, params={**default_params(widgets), **ctx.params})
-    charts, notes = {}, []
+    queries, notes = {}, []
     for path, kind, widget in _walk(widgets):
         if kind in PARAMETER_TYPES:
             continue
         if kind not in CHART_TYPES:
             notes.append(f"widget {path}: type {kind!r} shows no query result, skipped")
             continue
-        charts[f"{path}:{kind}"] = run_chart(widget, ctx)
+        queries[f"{path}:{kind}"] = Chart.from_dict(widget).build()
+    charts = dict(zip(queries, compile_together(list(queries.values()), ctx), strict=True))
     return DashboardResult(data.get("title") or "", charts, tuple(notes))
 
 

@@ -103,9 +103,12 @@ class QuerySpec:
 
     # -- compilation ----------------------------------------------------------
     def to_df(self, base: DataFrame) -> DataFrame:
-        """Build the query over ``base``; nothing runs."""
+        """Build the query over ``base``. Nothing runs, but for a gap fill without series, which is sorted at once."""
         df = where_all(base, self.where)
-        out = self._grouped(df) if self.group_by else self._projected(df)
+        return self.finished(self._grouped(df) if self.group_by else self._projected(df))
+
+    def finished(self, out: DataFrame) -> DataFrame:
+        """Gap fill, order and limit over the selected columns."""
         if self.fill_step:
             if not self.order_by:
                 raise ValueError("gap fill needs an order: its last column is filled")
@@ -117,6 +120,12 @@ class QuerySpec:
             out = out.limit(self.limit)
         return out
 
+    @property
+    def measures(self) -> tuple[Field, ...]:
+        """What a grouped query selects besides its keys."""
+        keys = {f.alias for f in self.group_by}
+        return tuple(f for f in self.select if f.alias not in keys)
+
     def _grouped(self, df: DataFrame) -> DataFrame:
         # Each time bucket gets a projection of its own, since Spark resolves one
         # tumbling window per projection.
@@ -127,8 +136,7 @@ class QuerySpec:
                 keys.append(F.col(f"__bucket{i}").alias(f.alias))
             else:
                 keys.append(f.column().alias(f.alias))
-        key_names = {f.alias for f in self.group_by}
-        measures = [f.column().alias(f.alias) for f in self.select if f.alias not in key_names]
+        measures = [f.column().alias(f.alias) for f in self.measures]
         grouped = df.groupBy(*keys)
         out = grouped.agg(*measures) if measures else df.select(*keys).distinct()
         return out.select(*[F.col(quote(f.alias)) for f in self.select]) if self.select else out
@@ -211,5 +219,10 @@ def compile_query(query: Query, ctx: RunContext) -> Compiled:
     if not resolved.table:
         raise ValueError("the query names no table")
     df = resolved.filtering(*clauses).to_df(ctx.table(resolved.table, resolved.catalog))
+    return Compiled(df, span, bucket_width(resolved))
+
+
+def bucket_width(resolved: QuerySpec) -> int | None:
+    """Milliseconds of the first time bucket among a query's fields."""
     widths = [f.bucket_ms for f in (*resolved.select, *resolved.group_by) if f.bucket_ms]
-    return Compiled(df, span, widths[0] if widths else None)
+    return widths[0] if widths else None
