@@ -6,6 +6,7 @@ import math
 import re
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -19,7 +20,9 @@ from bucketwise.functions.buckets import Width, bucket, epoch_seconds
 from bucketwise.functions.fields import quote
 from bucketwise.functions.scalars import number_or_zero
 from bucketwise.functions.schema import require_columns
-from bucketwise.operators.filters import as_utc, sql_literal
+from bucketwise.operators.filters import as_utc, join_clauses, sql_literal
+from bucketwise.plans.spec import Compiled, RunContext
+from bucketwise.sources.sqltext import FILTERS_TOKEN
 from bucketwise.sources.tables import local_rows
 
 # States and the texts of failed evaluations.
@@ -270,6 +273,16 @@ def _lookup(at: DataFrame, metrics: DataFrame) -> DataFrame:
     return at.withColumn("bucket_ts", tick_bucket()).join(found, [*ID, "bucket_ts"], "left")
 
 
+def alert_series(definition: AlertDefinition, ctx: RunContext) -> Compiled:
+    """All buckets of a query-text alert under the filters of a page, with the thresholds to draw as lines."""
+    span = ctx.range
+    clauses = ctx.filters.clauses(ctx.ts, as_utc(ctx.now), ctx.zone)
+    text = definition.query.replace(FILTERS_TOKEN, join_clauses(clauses)).rstrip().rstrip(";")
+    given = {**ctx.params, **(span.bind() if span else {}), **definition.params}
+    found = _metric(ctx.spark, replace(definition, params=given), text)
+    return Compiled(found.drop(*ID), span, definition.width.ms, definition.thresholds)
+
+
 def planned_ticks(spark: SparkSession, definitions: Sequence[AlertDefinition], start: datetime,
                   end: datetime) -> DataFrame:
     """One row per definition and execution time in (start, end]."""

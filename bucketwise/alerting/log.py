@@ -21,8 +21,9 @@ from bucketwise.operators.topk import latest_per_key
 
 EVENT_SCHEMA = ("alert_id_group string, alert_id_key string, timestamp timestamp_ntz, status string, "
                 "message string, event_date date")
-# Fixed value: how long log entries are kept.
+# How long log entries are kept, and what a failed notification says.
 RETENTION_DAYS = 365
+NOTIFIER_FAILED = "Error triggering notifier: %s"
 
 
 def changes(results: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ def notify(kept: DataFrame, send: Callable[[dict], None]) -> DataFrame:
                     send(row)
                 except Exception as failure:  # noqa: BLE001 - any failure is recorded
                     batch.iloc[i, batch.columns.get_loc("status")] = ERROR
-                    batch.iloc[i, batch.columns.get_loc("message")] = f"Error triggering notifier: {failure}"
+                    batch.iloc[i, batch.columns.get_loc("message")] = NOTIFIER_FAILED % failure
             yield batch
 
     return kept.mapInPandas(each, kept.schema)

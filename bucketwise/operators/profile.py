@@ -18,6 +18,7 @@ from bucketwise.functions.fields import quote
 from bucketwise.functions.schema import is_listable, is_numeric_like, time_column
 from bucketwise.operators.filters import recent
 from bucketwise.sources.tables import local_rows
+from bucketwise.operators.order import running_sums
 from bucketwise.operators.topk import distinct_counts, latest_k, top_tuples
 
 # Characters of the readable part of a bucket's name; a digest of the whole tuple follows it.
@@ -84,8 +85,9 @@ def _ranked(counted: DataFrame, limit: int | None) -> DataFrame:
     order = [F.col("count").desc(), F.col("value").asc_nulls_last()]
     if limit:
         return latest_k(counted, ["column"], order, limit, "rank").select("column", "value", "count", "rank")
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
-    return counted.select("column", "value", "count", rank.alias("rank"))
+    # The whole list of a column may be long: it is ranked over sorted partitions.
+    ranked = running_sums(counted.withColumn("__one", F.lit(1)), "__one", ["column"], order, "rank")
+    return ranked.select("column", "value", "count", F.col("rank").cast("int").alias("rank"))
 
 
 def choose_dims(columns: Sequence[str], listable: Sequence[str], config: ProfileConfig) -> list[str]:

@@ -8,12 +8,14 @@ range. Values are bound through ``:name`` markers, never pasted.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bucketwise.functions.buckets import bucket_sql, pick_width
+from bucketwise.functions.fields import quote
 from bucketwise.operators.filters import join_clauses
 
 FILTERS_TOKEN = "{{FILTERS}}"
@@ -21,6 +23,21 @@ BUCKET_TOKEN = re.compile(r"\{\{BUCKET:([^{}]+)\}\}")
 ANY_TOKEN = re.compile(r"\{\{[A-Z]+[^{}]*\}\}")
 
 
+@contextmanager
+def within(spark: SparkSession, catalog: str | None) -> Iterator[None]:
+    """Look up plain table names in a catalog or database (``name`` or ``catalog.name``); temporary views come first."""
+    if not catalog:
+        yield
+        return
+    before = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
+    spark.sql("USE " + ".".join(quote(part) for part in catalog.split(".")))
+    try:
+        yield
+    finally:
+        spark.catalog.setCurrentCatalog(before[0])
+        spark.catalog.setCurrentDatabase(before[1])
+
+
 @dataclass(frozen=True)
 class SqlText:
     """A query text with its options; ``path`` is read when the query is compiled."""
@@ -71,7 +88,8 @@ class SqlText:
     def to_df(self, spark: SparkSession, params: Mapping | None = None) -> DataFrame:
         text = self.render()
         used = {k: v for k, v in (params or {}).items() if re.search(rf":{re.escape(k)}\b", text)}
-        return spark.sql(text, args=used) if used else spark.sql(text)
+        with within(spark, self.catalog):  # names are looked up when the text is analyzed, which is now
+            return spark.sql(text, args=used) if used else spark.sql(text)
 
     def to_dict(self) -> dict:
         body = {"kind": "raw", "sql": self.text} if self.path is None else {"kind": "file", "path": self.path}

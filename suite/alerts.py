@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from bucketwise.alerting.definitions import AlertDefinition, AlertId, bucket_header
+from bucketwise.alerting.definitions import AlertDefinition, AlertId, bucket_header, discover
 from bucketwise.alerting import evaluate as ev
 from bucketwise.alerting import log as alog
 from bucketwise.alerting.ticks import ticks
@@ -282,3 +282,34 @@ def _(spark, folder):
     store.clear()
     store.replace(alog.changes(replay_last_full(spark, folder)))
     return store.read().withColumn("event_date", F.col("event_date").cast("string"))
+
+
+@register("al1_definitions_from_files", f"""
+SELECT key, every, CASE WHEN gt IS NULL AND lt IS NULL THEN 'error' WHEN gt IS NOT NULL THEN CASE WHEN coalesce(v, 0) > gt THEN 'error' ELSE 'OK' END
+    ELSE CASE WHEN coalesce(v, 0) < lt THEN 'error' ELSE 'OK' END END AS status, v AS value
+FROM (VALUES ('errors', '*/30 * * * *', 2.0, NULL), ('views', '@15minutes', NULL, 3.0), ('mean', '@15minutes', 40.0, 1.0),
+             ('unset', '@15minutes', NULL, NULL)) d(key, every, gt, lt)
+LEFT JOIN (SELECT 'errors' AS k, CAST(count(*) AS DOUBLE) AS v FROM events WHERE event_type = 'error' AND date_trunc('hour', ts) = TIMESTAMP '2024-01-20 14:00' HAVING count(*) > 0
+  UNION ALL SELECT 'views', count(*) FROM events WHERE event_type = 'view' AND date_trunc('hour', ts) = TIMESTAMP '2024-01-20 14:00' HAVING count(*) > 0
+  UNION ALL SELECT 'unset', count(*) FROM events WHERE event_type = 'signup' AND date_trunc('hour', ts) = TIMESTAMP '2024-01-20 14:00' HAVING count(*) > 0
+  UNION ALL SELECT 'mean', avg(value) FROM events WHERE event_type = 'click' AND date_trunc('hour', ts) = TIMESTAMP '2024-01-20 13:00' HAVING count(*) > 0) ON k = key""")
+def _(spark, folder):
+    views(spark, folder, "events")
+    found = discover([f"{HERE}/sql/alerts.json"])
+    every = F.create_map(*[F.lit(x) for d in found for x in (d.id.key, d.check_every)])
+    return ev.evaluate_live(spark, found, LIVE_AT).select(F.col("alert_id_key").alias("key"), every[F.col("alert_id_key")].alias("every"), "status", "value")
+
+
+def refuse_late_ones(row: dict) -> None:
+    if row["timestamp"].hour >= 12:
+        raise RuntimeError("no route")
+
+
+@register("al11_failed_notifications", """
+SELECT 'g' AS alert_id_group, event_type AS alert_id_key, date_trunc('hour', ts) AS timestamp, CASE WHEN hour(ts) >= 12 THEN 'error' ELSE 'warn' END AS status,
+  CASE WHEN hour(ts) >= 12 THEN 'Error triggering notifier: no route' ELSE 'seen' END AS message FROM events GROUP BY 2, 3, 4, 5""")
+def _(spark, folder):
+    kept = (table(spark, folder, "events").groupBy(F.lit("g").alias("alert_id_group"), F.col("event_type").alias("alert_id_key"),
+                                                   F.window("ts", "1 hour").start.alias("timestamp"))
+            .agg(F.lit("warn").alias("status"), F.lit("seen").alias("message")))
+    return alog.notify(kept, refuse_late_ones)

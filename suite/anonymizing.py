@@ -206,3 +206,10 @@ SELECT page_id, {secrets_sql('u')} AS url, {secrets_sql('h')} AS html FROM (
   SELECT page_id, {masked_sql('url')} AS u, {masked_sql('html')} AS h FROM pages)""")
 def _(spark, folder):
     return scrub(spark, table(spark, folder, "pages"), an.default_rules())
+
+
+@register("u1_custom_rule", """
+SELECT c_custkey, c_nationkey, c_acctbal, upper(c_mktsegment) AS c_mktsegment FROM customer""")
+def _(spark, folder):
+    rule = an.custom(lambda name, text: an.DROP if name == "c_name" else F.upper(F.lower(text)))
+    return an.anonymize(table(spark, folder, "customer"), an.chain(rule, None))

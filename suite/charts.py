@@ -191,18 +191,17 @@ def _(spark, folder):
     return sorted_by_measure(chart, chart.run(context(spark, folder, "part")), reverse=True)
 
 
-@register("c14_alert_series", """
-SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS time_ts, CAST(count(*) AS DOUBLE) AS value,
-       CAST(5 AS DOUBLE) AS value_gt FROM events WHERE event_type = 'error' GROUP BY 1""")
+@register("c14_alert_series", f"""
+SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS time_ts, CAST(count(*) AS DOUBLE) AS value, CAST(5 AS DOUBLE) AS value_gt,
+  3600000 AS bucket_ms FROM events WHERE event_type = 'error' AND user_id % 2 = 0 AND {IN_MONTH} GROUP BY 1""")
 def _(spark, folder):
-    from bucketwise.alerting.evaluate import sql_metrics
+    from bucketwise.alerting.evaluate import alert_series
     from suite.alerts import sql_definition
-    from suite.registry import views
 
-    views(spark, folder, "events")
     d = sql_definition("event_count_alert.sql", "errors", "error", value_gt=5)
-    series = sql_metrics(spark, [d]).select("time_ts", "value")
-    return series.withColumns({k: F.lit(v) for k, v in d.thresholds.items()})
+    found = alert_series(d, context(spark, folder, "events", filters=flt.FilterState(flt.TimeRange("720h"), ("user_id % 2 = 0",))))
+    lines = {name: F.lit(v).cast("double") for name, v in found.thresholds.items()}
+    return found.df.withColumns({**lines, "bucket_ms": F.lit(found.bucket_ms)})
 
 
 @register("c15_auto_chart", """
@@ -269,6 +268,25 @@ DASHBOARD = {"title": "Traffic", "widgets": [
         "y": {"kind": "expr", "definition": "cnt", "alias": "cnt"}}}]}
 
 
+TOGETHER = [
+    Chart("timeBar", from_table("events"), x=fld.auto_bucket("ts"), y=fld.count()),
+    Chart("barVertical", from_table("events").filtering("value > 20"), x=fld.enum("event_type"), y=fld.count()),
+    Chart("timeLine", from_table("events"), x=fld.every("ts", "1 day"), y=fld.field("round(sum(value), 4)", "total"), stroke=fld.enum("event_type"))]
+
+
+@register("u5_shared_scan", f"""
+SELECT 'hours' AS chart, CAST(date_trunc('hour', ts) AS VARCHAR) AS label, NULL AS event_type, CAST(count(*) AS DOUBLE) AS y FROM events WHERE {IN_MONTH} GROUP BY 2
+UNION ALL SELECT 'types', NULL, event_type, count(*) FROM events WHERE value > 20 AND {IN_MONTH} GROUP BY 3
+UNION ALL SELECT 'days', CAST(date_trunc('day', ts) AS VARCHAR), event_type, round(sum(value), 4) FROM events WHERE {IN_MONTH} GROUP BY 2, 3""")
+def _(spark, folder):
+    result = run_dashboard({"widgets": [c.to_dict() for c in TOGETHER]}, context(spark, folder, "events"))
+    hours, types, days = (c.df for c in result.charts.values())
+    label, none = F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("label"), F.lit(None).cast("string")
+    return union_tagged({"hours": hours.select(label, none.alias("event_type"), F.col("cnt").cast("double").alias("y")),
+                         "types": types.select(none.alias("label"), "event_type", F.col("cnt").cast("double").alias("y")),
+                         "days": days.select(label, "event_type", F.col("total").cast("double").alias("y"))}, "chart")
+
+
 @register("u5_dashboard", f"""
 SELECT 'bar' AS chart, date_trunc('hour', ts) AS time, count(*) AS cnt FROM events WHERE value > 20 AND {IN_MONTH} GROUP BY 2
 UNION ALL SELECT 'line', date_trunc('hour', ts), count(*) FROM events WHERE event_type = 'error' AND {IN_MONTH} GROUP BY 2""")

@@ -119,13 +119,51 @@ def _(spark, folder):
 
 
 @register("s21_profile_written_and_read", """
-SELECT 'values' AS kind, count(*) AS n, sum(count) AS total FROM (
-  SELECT o_orderstatus AS v, count(*) AS count FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1)
-UNION ALL SELECT 'samples', sum(least(c, 3)), sum(c * least(c, 3)) FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderstatus, o_orderpriority)""")
+SELECT 'values' AS kind, "column" AS a, value AS b, count AS n, NULL AS row_key FROM (
+  SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS count FROM orders GROUP BY 2
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2)
+UNION ALL SELECT 'samples', o_orderstatus, o_orderpriority, count, o_orderkey FROM (
+  SELECT *, count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS count,
+    row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r <= 3""")
 def _(spark, folder):
     path = scratch_path(spark, "profile")
     written = pr.profile_table(orders(spark, folder), "orders", NOW, ORDERS)
     sinks.write_profile(written, path)
     back = sinks.read_profile(spark, path, written)
-    totals = lambda df: df.agg(F.count("*").alias("n"), F.sum("count").cast("long").alias("total"))
-    return union_tagged({"values": totals(back.column_values), "samples": totals(back.bucket_samples)}, "kind")
+    none = F.lit(None).cast("long").alias("row_key")
+    values = back.column_values.select(F.col("column").alias("a"), F.col("value").alias("b"), F.col("count").alias("n"), none)
+    samples = back.bucket_samples.select(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"), F.col("count").alias("n"),
+                                         F.col("sample.o_orderkey").alias("row_key"))
+    return union_tagged({"values": values, "samples": samples}, "kind")
+
+
+@register("pr2_listable_columns", """
+SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS count FROM orders GROUP BY 2
+UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def _(spark, folder):
+    rows = orders(spark, folder)
+    at_once, _ = pr.split_columns(rows, ["o_comment"])
+    return pr.value_counts(rows, at_once)
+
+
+@register("pr4_whole_value_lists", """
+SELECT "column", value, count, CAST(row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS INTEGER) AS rank FROM (
+  SELECT 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS value, count(*) AS count FROM orders GROUP BY 2 UNION ALL
+  SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2)""")
+def _(spark, folder):
+    return pr.column_values(table(spark, folder, "orders"), ["o_custkey", "o_orderpriority"])
+
+
+@register("pr5_chosen_dimensions", """
+SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2""")
+def _(spark, folder):
+    rows = orders(spark, folder)
+    at_once, others = pr.split_columns(rows, [])
+    config = pr.ProfileConfig(preferred_dims=("o_orderpriority", "o_orderstatus", "missing"), max_dims=3)
+    return rows.groupBy(*pr.choose_dims([*at_once, *others], at_once, config)).agg(F.count("*").alias("n"))
+
+
+@register("pr7_newest_rows_first", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 200")
+def _(spark, folder):
+    rows = table(spark, folder, "events")
+    return rows.orderBy(*pr.sample_order(rows, EVENTS)).limit(200).select("event_id", "ts")

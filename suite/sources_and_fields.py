@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from bucketwise.functions import fields as fld
+from bucketwise.functions import schema
 from bucketwise.functions.scalars import composite_id, json_number, split_id
 from bucketwise.alerting.log import within_retention
 from bucketwise.operators import shape
@@ -16,7 +18,7 @@ from bucketwise.operators.profile import row_count
 from bucketwise.plans.charts import folded_stacks
 from bucketwise.plans.spec import RunContext, compile_query, from_table
 from bucketwise.session import scratch_path
-from bucketwise.sources import sinks, sqltext, tables
+from bucketwise.sources import catalog, sinks, sqltext, tables
 from suite.registry import EVENTS_FROM, EVENTS_TO, NOW, register, table, views
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -307,3 +309,59 @@ def _(spark, folder):
 
     tables = {name: table(spark, folder, name) for name in ("events", "orders", "embeddings", "documents")}
     return columns_of(tables, spark).select("table", "column", "class")
+
+
+@register("s5_catalog_of_sql_text", """
+SELECT n_regionkey, count(*) AS n, min(n_name) AS first FROM nation WHERE n_nationkey > 3 GROUP BY 1""")
+def _(spark, folder):
+    home = f"elsewhere_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {home} LOCATION '{scratch_path(spark, 'database')}'")
+    table(spark, folder, "nation").write.option("path", scratch_path(spark, "places")).saveAsTable(f"{home}.places")
+    text = sqltext.SqlText("SELECT n_regionkey, count(*) AS n, min(n_name) AS first FROM places WHERE {{FILTERS}} GROUP BY 1",
+                           where=("n_nationkey > 3",), catalog=f"spark_catalog.{home}")
+    found = text.to_df(spark)
+    assert spark.catalog.currentDatabase() == "default"
+    return found
+
+
+@register("s16_listed_tables", """
+SELECT 'nation' AS name, count(*) AS total_rows FROM nation UNION ALL SELECT 'region', count(*) FROM region""")
+def _(spark, folder):
+    views(spark, folder, "nation", "region", "supplier", "part")
+    names = catalog.list_tables(spark, include=["N%N", "reg%", "part"], exclude=["p%"])
+    return shape.union_tagged({n: row_count(spark.table(n)) for n in names}, "name")
+
+
+@register("s19_time_columns", """
+SELECT 'events' AS name, 'ts' AS used, min(ts) AS first, max(ts) AS last FROM events
+UNION ALL SELECT 'orders', 'o_orderdate', min(o_orderdate), max(o_orderdate) FROM orders
+UNION ALL SELECT 'lineitem', 'l_shipdate', min(l_shipdate), max(l_shipdate) FROM lineitem""")
+def _(spark, folder):
+    found = {}
+    for name in ("events", "orders", "lineitem"):
+        rows = table(spark, folder, name)
+        time = schema.time_column(rows)
+        found[name] = rows.agg(F.lit(time).alias("used"), F.min(time).alias("first"), F.max(time).alias("last"))
+    return shape.union_tagged(found, "name")
+
+
+@register("u2_bound_parameters", """
+SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+WHERE event_type IN ('error', 'view') AND user_id > 40 AND value < 55.5 GROUP BY 1""")
+def _(spark, folder):
+    views(spark, folder, "events")
+    text = sqltext.from_string_unfiltered("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+      WHERE event_type IN (:one, :other) AND user_id > :least AND value < :most GROUP BY 1""")
+    params = sqltext.typed_params({"one": "error", "other": "view", "least": "40", "most": "55.5"}, {"least": "Int64", "most": "Float64"})
+    return text.to_df(spark, params)
+
+
+@register("u6_derived_queries", """
+SELECT 'base' AS query, event_type, count(*) AS cnt FROM events GROUP BY 2
+UNION ALL SELECT 'derived', event_type, count(*) FROM events WHERE value > 50 GROUP BY 2""")
+def _(spark, folder):
+    kind = fld.enum("event_type")
+    base = from_table("events", kind, fld.count()).grouping(kind).unfiltered()
+    derived = base.filtering("value > 50")  # the base stays as it is
+    ctx = context(spark, folder, "events")
+    return shape.union_tagged({"base": compile_query(base, ctx).df, "derived": compile_query(derived, ctx).df}, "query")

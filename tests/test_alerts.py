@@ -11,6 +11,8 @@ from bucketwise.alerting import evaluate as ev
 from bucketwise.alerting import log as alog
 from bucketwise.alerting.ticks import parse_cron, ticks
 from bucketwise.functions.buckets import Width
+from bucketwise.operators.filters import FilterState, TimeRange
+from bucketwise.plans.spec import RunContext
 from tests.conftest import plan_of
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -159,6 +161,19 @@ def test_query_texts_are_bounded_too(spark, events):
     assert "1=1" in dfn.AlertDefinition(d.id, d.width, query=d.query).live_sql(0)
 
 
+def test_series_of_an_alert_with_filters_and_thresholds(spark, events):
+    events.createOrReplaceTempView("events")
+    d = definition("error", value_gt=3.0, value_lt=1.0)
+    ctx = RunContext(spark, datetime(2024, 1, 31), FilterState(TimeRange("168h"), ("user_id % 2 = 0",)), ts="ts")
+    found = ev.alert_series(d, ctx)
+    assert found.thresholds == {"value_gt": 3.0, "value_lt": 1.0} and found.bucket_ms == 3600000 and found.time_range.seconds == 604800
+    want = (events.where("event_type = 'error' AND user_id % 2 = 0 AND ts >= TIMESTAMP_NTZ'2024-01-24'")
+            .groupBy(F.window("ts", "1 hour").start.alias("t")).count().selectExpr("unix_timestamp(t) AS time_ts", "CAST(count AS DOUBLE) AS value"))
+    assert sorted(map(tuple, found.df.collect())) == sorted(map(tuple, want.collect())) and found.df.columns == ["time_ts", "value"]
+    whole = ev.alert_series(d, RunContext(spark, datetime(2024, 1, 31), ts="ts"))
+    assert whole.time_range is None and whole.df.agg(F.sum("value")).first()[0] == events.where("event_type = 'error'").count()
+
+
 @pytest.mark.parametrize("lag, back", [(0, 0), (1, 0), (0, 1200), (1, 90), (0, 3600)])
 def test_the_clock_is_set_back_by_any_time(spark, lag, back):
     d = dfn.AlertDefinition(dfn.AlertId("g", "k"), Width.parse("15 minutes"), lag, value_gt=1.0, back=back)

@@ -113,3 +113,18 @@ def test_streams_of_json_lines_need_a_schema_or_the_scrubber(spark, tmp_path):
     got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(got) == 1 and got[0]["n"] == {"m": "<EMAIL>"} and got[0]["user_name"] not in ("Jane", "") and len(got[0]["user_name"]) == 4
     assert [r.value for r in sinks.scrub_json_lines(spark.read.text(str(folder)), rules).collect()] == [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+
+
+def test_texts_of_another_catalog(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    for home, n in (("elsewhere", 5), ("default", 7)):
+        spark.sql(f"DROP TABLE IF EXISTS {home}.plain_name")
+        spark.range(n).write.option("path", scratch_path(spark, "plain")).saveAsTable(f"{home}.plain_name")
+    text = sqltext.from_string_unfiltered("SELECT count(*) AS n FROM plain_name")
+    for catalog, n in ((None, 7), ("elsewhere", 5), ("spark_catalog.elsewhere", 5)):
+        query = sqltext.SqlText.from_dict({**text.to_dict(), "database": catalog})
+        assert compile_query(query, RunContext(spark, NOW)).df.first().n == n
+        assert spark.catalog.currentDatabase() == "default" and spark.catalog.currentCatalog() == "spark_catalog"
+    with pytest.raises(Exception, match="missing_one"):
+        sqltext.SqlText("SELECT * FROM missing_one", skip_filters=True, catalog="elsewhere").to_df(spark)
+    assert spark.catalog.currentDatabase() == "default"
