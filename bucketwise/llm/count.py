@@ -6,8 +6,8 @@ a sequence leaves when it has no ranked pair. The symbols that survive are the t
 number is kept.
 
 Defined cases: a null text counts as an empty one, with no tokens; strings that are tokens of their own
-count one wherever they stand in a text; repeated rows are counted each for itself; other columns of
-the input are ignored.
+count one wherever they stand in a text; repeated rows are counted each for itself; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

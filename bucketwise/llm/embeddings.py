@@ -4,7 +4,8 @@ On a bounded sample the vectors are centred, turned to their principal axes, and
 bring the coordinates close to their signs, so the bits are balanced and vectors of small angle share most of
 them. A rotation gives up to 64 bits; these are cut into blocks, and each block is one Hamming table. The
 width of a block follows from the number of vectors in a label (a chance meeting is then rare), the number
-of tables from the wanted recall at the threshold. Every vector is in every table. Vectors that meet in a
+of tables from the wanted recall, given how many bits pairs at the threshold share: that is measured on the sample, since
+vectors that share a direction lie at wider angles once they are centred. Every vector is in every table. Vectors that meet in a
 table are reranked by the cosine of the original vectors in double precision, within their label only.
 
 What is sent around per table is an id and a key; vectors travel only for buckets with several members.
@@ -54,11 +55,50 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int
     return mean, np.stack(out)
 
 
-def plan_tables(vectors: int, bits: int, threshold: float) -> tuple[int, int]:
-    """Bits of a block and number of tables."""
+def codes_of(x: np.ndarray, mean: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """One code of up to 64 bits a rotation, for each unit vector."""
+    power = np.uint64(1) << np.arange(turns.shape[2], dtype=np.uint64)
+    centred = x - mean
+    return np.stack([((centred @ turn > 0) * power).sum(1, dtype=np.uint64) for turn in turns], 1)
+
+
+def shared_bits(sample: np.ndarray, threshold: float, pairs: int = 2000, rotations: int = 4) -> np.ndarray:
+    """Share of equal bits of pairs at the threshold, one value a pair.
+
+    The partner of a sample vector lies at the threshold's angle from it; half of them in any direction, half in
+    a direction in which the sample's own vectors differ.
+    """
+    mean, turns = learn_rotations(sample, rotations)
+    random = np.random.default_rng(1)
+    x = sample[random.integers(len(sample), size=pairs)]
+    away = random.normal(size=x.shape)
+    half = pairs // 2
+    away[:half] = sample[random.integers(len(sample), size=half)] - sample[random.integers(len(sample), size=half)]
+    away[np.abs(away).max(1) == 0] = 1.0
+    away -= (away * x).sum(1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold ** 2)) * away / np.maximum(size, 1e-12)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    differ = np.bitwise_count(codes_of(x, mean, turns) ^ codes_of(y, mean, turns)).sum(1)
+    return 1 - differ / (len(turns) * turns.shape[2])
+
+
+def plan_tables(vectors: int, bits: int, shared: np.ndarray) -> tuple[int, int]:
+    """Bits of a block and number of tables: as many as leave pairs with these shares of equal bits a chance of
+    ``1 - RECALL`` to meet nowhere, on average."""
     width = max(1, min(bits, 1 + math.ceil(math.log2(max(2, vectors)))))
-    same = (1 - math.acos(threshold) / math.pi) ** width
-    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - same)) if same < 1 else 1
+    meet = np.clip(shared, 1 / bits, 1.0) ** width
+
+    def missed(tables: int) -> float:
+        return float(((1 - meet) ** tables).mean())
+
+    low, high = 0, 1
+    while missed(high) > 1 - RECALL:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(middle) > 1 - RECALL else (low, middle)
+    return width, high
 
 
 def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -136,7 +176,7 @@ def _compare_classes(classes: DataFrame, most: int, threshold: float) -> tuple[D
         matrix[i, :len(v)] = v
     matrix /= np.linalg.norm(matrix / np.abs(matrix).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(matrix).max(1, keepdims=True)
     bits = min(64, longest)
-    width, tables = plan_tables(most, bits, threshold)
+    width, tables = plan_tables(most, bits, shared_bits(matrix, threshold))
     blocks = bits // width
     model = spark.sparkContext.broadcast(learn_rotations(matrix, -(-tables // blocks)))
 
@@ -151,13 +191,11 @@ def _compare_classes(classes: DataFrame, most: int, threshold: float) -> tuple[D
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, turns = model.value
-        power = np.uint64(1) << np.arange(turns.shape[2], dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, size = unit(batch.column("vector"))
-            centred = x[:, :longest] - mean
-            codes = np.stack([((centred @ turn > 0) * power).sum(1, dtype=np.uint64) for turn in turns], 1)
+            codes = codes_of(x[:, :longest], mean, turns)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(turns), pa.int32()),
                                              pa.array(codes.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), lists],

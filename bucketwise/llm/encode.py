@@ -5,7 +5,8 @@ whole. Second tier: a miss is merged byte by byte; a heap holds the ranked neigh
 so the lowest rank is always merged next. Each worker merges a distinct miss once (a bounded cache).
 
 Defined cases: a null text encodes like an empty one, to no ids; the digest of nothing is that of the
-empty string; repeated rows are encoded each for itself; other columns of the input are ignored.
+empty string; repeated rows are encoded each for itself; an empty table gives no rows; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from bucketwise.llm.embeddings import forest, linked_vectors, plan_tables
+from bucketwise.llm.embeddings import codes_of, forest, learn_rotations, linked_vectors, plan_tables, shared_bits
 from bucketwise.llm.graph import components
 from bucketwise.llm.minhash import BINS, band_size, keep_one, sketches, without_near_copies
 from bucketwise.llm.passages import remove_repeats, without_repeats
@@ -156,8 +156,42 @@ def test_vectors_against_brute_force(spark):
     assert linked_vectors(df.limit(0)).count() == 0
 
 
-def test_tables_reach_the_recall():
-    for n in (10, 5000, 10**8):
-        width, tables = plan_tables(n, 64, 0.93)
-        same = (1 - math.acos(0.93) / math.pi) ** width
-        assert (1 - same) ** tables <= 1e-4 * 1.001
+def directed(rng, n, dims, mean):
+    """Unit vectors around a common direction of the given length, and near copies of some at a cosine of 0.935."""
+    common = np.zeros(dims)
+    common[0] = mean
+    x = rng.normal(size=(n, dims))
+    x[:, 0] = 0
+    x = common + math.sqrt(1 - mean * mean) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = x[rng.integers(n, size=n // 4)]
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    y = 0.935 * base + math.sqrt(1 - 0.935 ** 2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    return x, base, y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dims", [64, 384])
+@pytest.mark.parametrize("mean", [0.0, 0.8, 0.9])
+def test_tables_reach_the_recall_also_around_a_common_direction(dims, mean):
+    x, base, near = directed(np.random.default_rng(3), 8000, dims, mean)
+    sample = np.concatenate([x[:4000], near[:500]])
+    width, tables = plan_tables(8000, min(64, dims), shared_bits(sample, 0.93))
+    blocks = 64 // width
+    middle, turns = learn_rotations(sample, -(-tables // blocks))
+    differ = codes_of(base, middle, turns) ^ codes_of(near, middle, turns)
+    met = np.zeros(len(base), bool)
+    for t in range(tables):
+        met |= (differ[:, t // blocks] >> np.uint64(t % blocks * width)) & np.uint64((1 << width) - 1) == 0
+    assert met.mean() >= 0.998, (width, tables)
+
+
+def test_vectors_around_a_common_direction_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x, base, near = directed(rng, 240, 64, 0.8)
+    all_rows = np.concatenate([x, base, near])
+    rows = [(i % 290, int(i % 7 == 0), v.tolist()) for i, v in enumerate(all_rows)]  # some ids twice
+    labels, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    links = (all_rows @ all_rows.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(len(rows), dtype=bool)
+    got = collections.Counter((r.vec_id, r.n_links) for r in linked_vectors(
+        spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+    assert got == collections.Counter(zip(ids.tolist(), links.sum(1).tolist(), strict=True)) and links.sum() > 100
