@@ -8,6 +8,7 @@ import pytest
 
 from bucketwise.llm import katz, toxicity
 from bucketwise.llm.quality import quality_rules, with_rules_applied
+from bucketwise.llm.ragged import hash_slices
 from bucketwise.llm.registry import QUERIES
 from tests.conftest import SMALL
 from tests.llm.conftest import COLUMNS, rows_of
@@ -203,3 +204,93 @@ def test_risk_is_corrected(seed):
         return toxicity._sigmoid(weights.mean(0)[np.searchsorted(kept, row[np.isin(row, kept)])].sum() + intercepts.mean())
 
     assert np.mean([score(r) >= 0.7 for r in hidden[50:]]) > 0.9 and np.mean([score(r) < 0.7 for r in clean[450:]]) > 0.97
+
+
+def plain_training(toxic, unlabelled, prior, steps, rate=0.1, shrink=1e-4):
+    """The non-negative risk and its gradient with plain loops; the same draws of rows."""
+    inside, outside = collections.Counter(), collections.Counter()
+    for row in toxic:
+        inside.update(row.tolist())
+    for row in unlabelled:
+        outside.update(row.tolist())
+    kept = sorted(f for f, c in inside.items() if c >= max(toxicity.MIN_TEXTS, toxicity.MIN_SHARE * len(toxic))
+                  and (c + .5) / (len(toxic) + 1) / ((outside[f] + .5) / (len(unlabelled) + 1)) >= toxicity.LIFT)
+    place = {f: i for i, f in enumerate(kept)}
+    toxic, unlabelled = ([[place[f] for f in row.tolist() if f in place] for row in rows] for rows in (toxic, unlabelled))
+    models, risks = [], []
+    for c in range(toxicity.CLASSIFIERS):
+        random = np.random.default_rng(c)
+        theta = [0.0] * len(kept) + [math.log(prior / (1 - prior))]
+        first, second = [0.0] * len(theta), [0.0] * len(theta)
+        value = lambda row: sum(theta[f] for f in row) + theta[-1]  # noqa: E731, B023
+
+        def mean_loss(rows, sign):
+            loss, slope = 0.0, [0.0] * len(theta)  # noqa: B023
+            for row in rows:
+                f = value(row)  # noqa: B023
+                loss += math.log1p(math.exp(-sign * f)) / len(rows)
+                d = -sign / (1 + math.exp(sign * f)) / len(rows)
+                for k in [*row, len(theta) - 1]:  # noqa: B023
+                    slope[k] += d
+            return loss, slope
+
+        for step in range(1, steps + 1):
+            p = [toxic[i] for i in random.integers(len(toxic), size=min(1024, 2 * len(toxic)))]
+            u = [unlabelled[i] for i in random.integers(len(unlabelled), size=min(1024, 2 * len(unlabelled)))]
+            (_, up), (risk_p, down), (risk_u, all_down) = mean_loss(p, 1), mean_loss(p, -1), mean_loss(u, -1)
+            positive = risk_u >= prior * risk_p
+            risks.append(positive)
+            grad = [prior * a + (b - prior * d) if positive else prior * d - b for a, b, d in zip(up, all_down, down, strict=True)]
+            for k in range(len(theta)):
+                g = grad[k] + (shrink * theta[k] if k < len(kept) else 0)
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.001 * (g * g - second[k])
+                theta[k] -= rate * (first[k] / (1 - 0.9 ** step)) / (math.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+                if k < len(kept):
+                    theta[k] = max(theta[k], 0.0)
+        models.append(theta)
+    mean = lambda row: sum(sum(t[f] for f in row) + t[-1] for t in models) / len(models)
+    yes, no = [mean(r) for r in toxic], [mean(r) for r in unlabelled]
+    low, high = min(yes + no), max(yes + no)
+    tried = []
+    for k in range(1001):
+        at = low + (high - low) * k / 1000
+        missed, accused = sum(v < at for v in yes) / len(yes), sum(v >= at for v in no) / len(no)
+        tried.append((prior * missed + max(0.0, accused - prior * (1 - missed)), at))
+    best = [at for risk, at in tried if risk <= min(tried)[0] + 0.005 * prior]
+    limit = sum(best) / len(best)
+    score = lambda row: 2 * (mean([place[f] for f in row.tolist() if f in place]) - limit) + math.log(0.7 / 0.3)
+    return kept, score, risks
+
+
+def test_training_equals_plain_loops():
+    rng = np.random.default_rng(5)
+    noise = lambda: rng.integers(1000, 3000, 8, dtype=np.uint64)
+    toxic = [np.unique(np.append(noise(), rng.choice(6, 3, replace=False).astype(np.uint64))) for _ in range(40)]
+    others = [np.unique(np.append(noise(), rng.choice(6, int(rng.random() < 0.15), replace=False).astype(np.uint64))) for _ in range(80)]
+    for steps, prior in ((1, 0.2), (6, 0.1), (25, 0.6)):
+        want_kept, want, risks = plain_training(toxic, others, prior, steps)
+        kept, weights, intercepts = toxicity.train(toxic, others, prior, steps=steps)
+        assert kept.tolist() == want_kept
+        got = lambda row: weights.mean(0)[np.searchsorted(kept, row[np.isin(row, kept)])].sum() + intercepts.mean()  # noqa: E731, B023
+        for row in [*toxic[:10], *others[:10]]:
+            assert math.isclose(got(row), want(row), rel_tol=1e-6, abs_tol=1e-6)
+    assert not all(risks)  # the corrected risk was negative in some steps
+
+
+def test_scores_of_texts_equal_a_plain_sum(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    kept, weights, intercepts = toxicity.learn(docs, labels)
+    weight = dict(zip(kept.tolist(), weights.mean(0).tolist(), strict=True))
+    assert kept.size
+    for r in toxicity.score_documents(docs, labels).join(docs, "doc_id").collect():
+        data = np.frombuffer((r.text or "").translate(LOWER).encode(), np.uint8)
+        found = set()
+        for word in re.finditer(rb"[^\x20\x09-\x0D]+", data.tobytes()):
+            a, b = np.array([word.start()]), np.array([word.end()])
+            found.add(int(hash_slices(data, a, b, 20)[0]))
+            found.update(int(hash_slices(data, a, np.minimum(b, a + n), 20 + n)[0]) for n in toxicity.BEGINNINGS)
+        value = sum(weight.get(f, 0.0) for f in found) + intercepts.mean()
+        assert math.isclose(r.score, 1 / (1 + math.exp(-value)), rel_tol=1e-9, abs_tol=1e-12)
+        assert r.predicted == (r.score >= 0.7)
