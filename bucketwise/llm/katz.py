@@ -78,7 +78,7 @@ def discounts(n: dict[int, int], lowest: int) -> np.ndarray:
 
 
 def make_model(word_counts: dict[int, int], pair_counts: dict[int, int], tokens: int, distinct: int, ends: int,
-               least_pairs: int = 2) -> Model:
+               least_pairs: int = 1) -> Model:
     words_d, pairs_d = discounts(word_counts, 1), discounts(pair_counts, least_pairs)
     lost = sum((1 - words_d[r]) * r * word_counts.get(r, 0) for r in range(1, TOP + 1))
     unknown = lost / tokens if tokens else 1.0
@@ -322,10 +322,10 @@ def _add_up(model: Model):
 
 
 def score_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_column: str = "doc_id",
-                text_column: str = "text", least_pairs: int = 2) -> DataFrame:
+                text_column: str = "text", least_pairs: int = 1) -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id as text) modulo ``folds`` is not the held-out one.
 
-    ``least_pairs`` is the count from which the model knows a pair: 1 for all.
+    ``least_pairs`` is the count from which the model knows a pair; all are known unless a caller asks for less.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_column]

@@ -71,7 +71,7 @@ def test_lines_above_the_limits_on_a_large_host(spark):
     assert not any(r.removed_words for r in quality_rules(df, line_share=0.5, line_many=15).collect())
 
 
-def brute_model(docs):
+def brute_model(docs, least):
     tokens = {d: [*WORD.findall((t or "").translate(LOWER)), "</s> "] for d, t in docs.items()}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
     one, two, hist = collections.Counter(), collections.Counter(), collections.Counter()
@@ -83,10 +83,10 @@ def brute_model(docs):
             hist.update(before)
     n1, n2 = collections.Counter(one.values()), collections.Counter(two.values())
     n, v = sum(one.values()), len(one)
-    model = katz.make_model({r: n1[r] for r in range(1, 7)}, {r: n2[r] for r in range(1, 7)}, n, v, one["</s> "])
+    model = katz.make_model({r: n1[r] for r in range(1, 7)}, {r: n2[r] for r in range(1, 7)}, n, v, one["</s> "], least)
     seen = collections.defaultdict(dict)
     for (h, w), c in two.items():
-        if c > 1:
+        if c >= least:
             seen[h][w] = c
 
     def word(w):
@@ -106,10 +106,11 @@ def brute_model(docs):
                 sum(math.log10(pair(w, h)) for h, w in zip(["<s> ", *t[:-1]], t, strict=True))) for d, t in tokens.items()}
 
 
-def test_katz_against_recursion(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_katz_against_recursion(spark, least):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
-    want = brute_model({r.doc_id: r.text for r in docs.collect()})
-    got = katz.score_texts(docs).collect()
+    want = brute_model({r.doc_id: r.text for r in docs.collect()}, least)
+    got = (katz.score_texts(docs) if least == 1 else katz.score_texts(docs, least_pairs=least)).collect()
     assert len(got) == len(want)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
