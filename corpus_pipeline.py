@@ -2,7 +2,13 @@
 
 STAGES are applied in order, each to what the one before has kept. Every stage but the last returns the columns of
 ``documents``; ``n_chars`` follows a text that a stage has changed. The SQL side can't express the classifier and the
-tokenizer, so there is none; the tests hold every stage against a brute-force version.
+tokenizer, so there is none; the tests hold every stage against plain Python on planted texts (the classifier's training
+and scores against plain loops).
+
+Defined cases: a null or empty text has no words and goes with the quality rules; nulls in other columns stay as they are;
+rows that repeat id and text stay once after the near-copy stage, rows of one id with different texts are documents of their own
+(ordered by a hash of the text); ties go to the smaller id; an empty table gives no rows; further columns, whatever their names,
+stay up to the last stage.
 """
 
 from __future__ import annotations
