@@ -1,8 +1,8 @@
 """Table profiles: cardinalities, value lists, and sampled dimension buckets.
 
-Three passes over the table in all: cardinalities of every column at once, value
-lists of every small column at once, and the newest rows of the most frequent
-dimension combinations.
+A few passes over the table in all: cardinalities of every column at once, value
+lists of every small column at once, which dimension combinations can be the most
+frequent, and their newest rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from bucketwise.functions.schema import is_listable, is_numeric_like, time_colum
 from bucketwise.operators.filters import recent
 from bucketwise.sources.tables import local_rows
 from bucketwise.operators.order import running_sums
-from bucketwise.operators.topk import distinct_counts, latest_k, top_tuples
+from bucketwise.operators.topk import distinct_counts, frequent_rows, latest_k, top_tuples
 
 # Characters of the readable part of a bucket's name; a digest of the whole tuple follows it.
 NAME_LIMIT = 150
@@ -141,10 +141,11 @@ def _top_tuples_with_newest_days(df: DataFrame, dims: Sequence[str], ts: str, co
 
     Counts per tuple and day tell where the samples lie, so that the sampling pass
     sorts the rows of a few days instead of all rows. Without such a day (NULL) every
-    row of the tuple is looked at.
+    row of the tuple is looked at. Only tuples that can be among the most frequent are counted by day.
     """
     cols = [F.col(quote(d)) for d in dims]
-    daily = df.groupBy(*cols, F.to_date(F.col(quote(ts))).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
+    narrow = df.select(*[F.col(quote(c)) for c in dict.fromkeys([*dims, ts])])
+    daily = frequent_rows(narrow, dims, config.bucket_limit).groupBy(*cols, F.to_date(F.col(quote(ts))).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
     newest_first = Window.partitionBy(*cols).orderBy(F.col("__day").desc_nulls_last())
     enough = F.sum("__n").over(newest_first) >= config.samples_per_bucket
     return (

@@ -1,7 +1,9 @@
 """Most frequent values, and newest rows per key.
 
 Counts and newest rows are reduced on the map side, so one hot key costs each task
-a single partial result.
+a single partial result. Where there are many different tuples, a small table of
+counts by hash slot tells first which of them can be among the most frequent, so
+that rare tuples are not shuffled.
 """
 
 from __future__ import annotations
@@ -14,33 +16,60 @@ from pyspark.sql import types as T
 
 from bucketwise.functions.fields import quote
 from bucketwise.functions.schema import require_columns
+from bucketwise.session import checkpointed
 
 # From this k on, groups are limited in parts first: Spark's own limit before the shuffle ends here.
 LARGE_K, PARTS = 1000, 64
+# Hash slots that tuples are counted in; a task ships at most one row a slot.
+SLOTS = 1 << 16
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """Most frequent values of a column as text; ties go to the smaller value."""
     require_columns(df, [column])
-    return (
-        df.groupBy(F.col(quote(column)).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.col("count").desc(), F.col("value").asc_nulls_last())
-        .limit(k)
-    )
+    return top_tuples(df.select(F.col(quote(column)).cast("string").alias("value")), ["value"], k)
 
 
 def top_tuples(df: DataFrame, dims: Sequence[str], n: int, name: str = "count") -> DataFrame:
-    """Most frequent combinations of dimension values."""
-    require_columns(df, dims)
+    """Most frequent combinations of dimension values; ties go to the smaller tuple, NULL last."""
     return (
-        df.groupBy(*[F.col(quote(d)) for d in dims])
+        frequent_rows(df, dims, n)
+        .groupBy(*[F.col(quote(d)) for d in dims])
         .agg(F.count(F.lit(1)).alias(name))
         .orderBy(F.col(name).desc(), *[F.col(quote(d)).asc_nulls_last() for d in dims])
         .limit(n)
     )
 
 
+def frequent_rows(df: DataFrame, dims: Sequence[str], n: int, slots: int = SLOTS) -> DataFrame:
+    """The rows without those whose tuple is certainly not among the ``n`` most frequent.
+
+    Rows are counted by the hash slot of their tuple; a slot's total is no less than the count of any
+    tuple in it. The tuples of the heaviest slots are counted exactly, and the n-th of them is a floor
+    that every wanted tuple reaches. Slots below the floor are left out; all rows of a tuple stay or go
+    together, so counts over what stays are exact. Where tuples are few, or so even that no slot is below
+    the floor, all rows stay. Tables of slots are broadcast: ``slots`` rows of two numbers at most.
+    """
+    require_columns(df, dims)
+    heaviest = 4 * n
+    if heaviest >= slots or any(df.schema[d].dataType.typeName() in ("map", "variant") for d in dims):
+        return df
+    tuples = [F.col(quote(d)) for d in dims]
+    slot = F.pmod(F.xxhash64(*tuples), F.lit(slots))
+    totals = checkpointed(df.groupBy(slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__total")))
+    if totals.count() * 4 <= slots:  # so few tuples that counting them ships no more than the slots do
+        return df
+    dealt = df.withColumn("__slot", slot)
+    heavy = totals.orderBy(F.col("__total").desc(), "__slot").limit(heaviest).select("__slot")
+    counted = (dealt.join(F.broadcast(heavy), "__slot", "left_semi").groupBy(*tuples).agg(F.count(F.lit(1)).alias("__n"))
+               .orderBy(F.col("__n").desc()).limit(n))
+    floor = counted.agg(F.count(F.lit(1)).alias("found"), F.min("__n").alias("least")).first()
+    if floor.found < n:
+        return df
+    wanted = totals.where(F.col("__total") >= floor.least).select("__slot")
+    return dealt.join(F.broadcast(wanted), "__slot", "left_semi").drop("__slot")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
                    skip_null: Sequence[str] = ()) -> DataFrame:
     """Newest value of each column per key, as a hash aggregate without sorting.

@@ -99,6 +99,13 @@ def _(spark, folder):
     return topk.top_tuples(table(spark, folder, "part"), ["p_brand", "p_type", "p_size"], 50)
 
 
+@register("a9_top_of_many_tuples", """
+SELECT l_partkey, l_shipmode, l_returnflag, count(*) AS count FROM lineitem GROUP BY 1, 2, 3
+ORDER BY count DESC, l_partkey, l_shipmode, l_returnflag LIMIT 200""")
+def _(spark, folder):
+    return topk.top_tuples(table(spark, folder, "lineitem"), ["l_partkey", "l_shipmode", "l_returnflag"], 200)
+
+
 @register("a10_continuous_stats", """
 SELECT 'value' AS column, min(value) AS min, max(value) AS max FROM events UNION ALL
 SELECT 'user_id', CAST(min(user_id) AS DOUBLE), CAST(max(user_id) AS DOUBLE) FROM events""")

@@ -191,3 +191,41 @@ def test_top_values_and_distinct_counts(spark):
     assert (exact.s, exact.n) == (3, 2)
     with pytest.raises(ValueError):
         topk.top_values(df, "missing", 2)
+
+
+def skewed_tuples(spark, n=40000):
+    """A few frequent tuples (one a third of all rows, one with NULL) among many rare ones."""
+    key = (F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 7 == 1, F.lit(-2) - F.col("id") % 5)
+           .when(F.col("id") % 11 != 2, F.col("id")))
+    return spark.range(n).select(key.alias("k"), F.concat(F.lit("v"), (F.coalesce(key, F.lit(0)) % 2).cast("string")).alias("v"), "id")
+
+
+def plain_top(df, n):
+    return [tuple(r) for r in df.groupBy("k", "v").count().orderBy(F.desc("count"), F.asc_nulls_last("k"), "v").limit(n).collect()]
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 8, 50])
+def test_frequent_tuples_equal_plain_counts(spark, n):
+    df = skewed_tuples(spark)
+    kept = topk.frequent_rows(df, ["k", "v"], n, slots=1024)
+    assert plain_top(kept, n) == plain_top(df, n)
+    assert [tuple(r) for r in topk.top_tuples(df, ["k", "v"], n).collect()] == plain_top(df, n)
+
+
+def test_rare_tuples_are_not_shuffled(spark):
+    df = skewed_tuples(spark)
+    kept = topk.frequent_rows(df, ["k", "v"], 5, slots=4096)
+    assert kept.columns == df.columns
+    assert kept.select("k", "v").distinct().count() < 200 < 20000 < df.select("k", "v").distinct().count()
+    plan = plan_of(kept)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("Scan ExistingRDD")[0]
+
+
+def test_even_and_few_tuples_keep_all_rows(spark):
+    even = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    assert topk.frequent_rows(even, ["k", "v"], 10, slots=1024).count() == 5000
+    few = spark.range(5000).select((F.col("id") % 9).alias("k"), F.lit("x").alias("v"))
+    assert topk.frequent_rows(few, ["k"], 3).count() == 5000
+    assert topk.top_tuples(few.limit(0), ["k"], 3).count() == 0
+    with pytest.raises(ValueError):
+        topk.frequent_rows(few, ["missing"], 3)
