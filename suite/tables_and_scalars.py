@@ -100,10 +100,10 @@ def _(spark, folder):
 
 
 @register("a9_top_of_many_tuples", """
-SELECT l_partkey, l_shipmode, l_returnflag, count(*) AS count FROM lineitem GROUP BY 1, 2, 3
-ORDER BY count DESC, l_partkey, l_shipmode, l_returnflag LIMIT 200""")
+SELECT l_partkey, l_linenumber, l_returnflag, count(*) AS count FROM lineitem GROUP BY 1, 2, 3
+ORDER BY count DESC, l_partkey, l_linenumber, l_returnflag LIMIT 200""")
 def _(spark, folder):
-    return topk.top_tuples(table(spark, folder, "lineitem"), ["l_partkey", "l_shipmode", "l_returnflag"], 200)
+    return topk.top_tuples(table(spark, folder, "lineitem"), ["l_partkey", "l_linenumber", "l_returnflag"], 200)
 
 
 @register("a10_continuous_stats", """

@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -161,6 +162,25 @@ def test_exact_quantiles_with_a_hot_key(spark):
             assert abs(getattr(got[key], name) - np.quantile(values, p)) < 1e-9
 
 
+@pytest.mark.parametrize("limit", [order.BROADCAST_ROWS, 0])
+def test_only_values_at_wanted_ranks_go_on(spark, monkeypatch, limit):
+    monkeypatch.setattr(order, "BROADCAST_ROWS", limit)
+    rows, df = hot_rows(spark)
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    probs = [0.1, 0.5, 0.95]
+    picked = order.rows_at_ranks(counts, ["k"], "v", "n", probs)
+    by_key = {}
+    for r in picked.collect():
+        by_key.setdefault(r.k, []).append(r)
+    for key in {r[0] for r in rows}:
+        values = sorted(r[3] for r in rows if r[0] == key)
+        wanted = {f(p * (len(values) - 1)) for p in probs for f in (math.floor, math.ceil)}
+        assert sorted(r.v for r in by_key[key]) == sorted({values[w] for w in wanted})
+        assert all(values[r["__start"]] == r.v == values[r["__end"] - 1] and r["__total"] == len(values) for r in by_key[key])
+    plan = plan_of(picked)
+    assert ("BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan) if limit else "SortMergeJoin" in plan
+
+
 def test_quantiles_ignore_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "v double")
     assert order.exact_quantiles(df, "v", [0.5]).first().q50 == 2.0
