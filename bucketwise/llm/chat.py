@@ -9,8 +9,9 @@ it ends.
 
 Defined cases: a null text or role is an empty one; a null conversation id is a conversation of its own;
 turns go by number (null first), then role and text, so repeated turns have a fixed order; an empty
-table gives no rows; other columns of the input are ignored. Rows of a conversation are streamed in
-order through one task with a running state, never held together.
+table gives no rows; other columns of the input are ignored. Turns are encoded where they are read, however
+long their conversation; offsets and digests alone need the order, so that only these stream through one
+task a conversation, with a running state and never held together.
 """
 
 from __future__ import annotations
@@ -45,6 +46,14 @@ def _escaped(column: pa.Array) -> pa.Array:
     return pa.array([escape(t or "") for t in column.to_pylist()], pa.string())
 
 
+def _between(begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """True from each begin up to its end: the running sum of +1 and -1."""
+    step = np.zeros(size + 1, np.int64)
+    np.add.at(step, begin, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step)[:-1].astype(bool)
+
+
 def format_turns(turns: DataFrame, path: str | None = None, loss_role: str = "assistant") -> DataFrame:
     """The turns of conversations in order, each with its ids, loss mask and place in its conversation.
 
@@ -54,49 +63,52 @@ def format_turns(turns: DataFrame, path: str | None = None, loss_role: str = "as
     shared = spark.sparkContext.broadcast(Codec.from_file(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
     kinds = dict(turns.dtypes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
         start, separator, end = (len(codec.tokens) + i for i in range(3))
-        last, place = object(), 0
         for batch in batches:
             for part in chunks(batch):
-                rows = part.num_rows
                 role_ids, role_at = codec.encode(*text_bytes(_escaped(part.column("role"))))
                 text_ids, text_at = codec.encode(*text_bytes(_escaped(part.column("text"))))
                 n_role, n_text = np.diff(role_at), np.diff(text_at)
                 at = np.concatenate([[0], np.cumsum(n_role + n_text + 3)])
                 ids = np.empty(at[-1], np.int32)
                 mark = np.zeros(at[-1], bool)
-                text_from = at[:-1] + n_role + 2
                 for where, value in ((at[:-1], start), (at[:-1] + n_role + 1, separator), (at[1:] - 1, end)):
                     ids[where], mark[where] = value, True
-                step = np.zeros(at[-1] + 1, np.int64)  # role ids lie before the second mark of a turn
-                step[at[:-1] + 1] += 1
-                step[at[:-1] + 1 + n_role] -= 1
-                in_role = np.cumsum(step)[:-1].astype(bool)
+                in_role = _between(at[:-1] + 1, at[:-1] + 1 + n_role, at[-1])
                 ids[in_role] = role_ids
                 ids[~in_role & ~mark] = text_ids
-                step[:] = 0
-                learnt = np.array([r == loss_role for r in part.column("role").to_pylist()], bool)
-                np.add.at(step, text_from[learnt], 1)
-                np.add.at(step, (text_from + n_text)[learnt], -1)
-                loss = np.cumsum(step)[:-1].astype(bool)
-                conv, offset = part.column("conv_id").to_pylist(), np.zeros(rows, np.int64)
-                for i, size in enumerate(np.diff(at).tolist()):
-                    if conv[i] != last:
-                        last, place = conv[i], 0
-                    offset[i] = place
-                    place += size
-                bounds = pa.array(at, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), part.column("turn"), pa.array(offset),
-                     pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.ListArray.from_arrays(bounds, pa.array(loss))],
-                    ["conv_id", "turn", "offset", "ids", "loss_mask"])
-
-    ordered = (turns.select("conv_id", "turn", "role", "text")
-               .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))
-    return ordered.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, offset long, ids array<int>, "
-                                   "loss_mask array<boolean>")
+                    [*part.columns, pa.array(n_role, pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], [*part.schema.names, "n_role", "ids"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = object(), 0
+        for batch in batches:
+            lists = batch.column("ids")
+            at = lists.offsets.to_numpy().astype(np.int64)
+            at -= at[0]
+            learnt = np.array([r == loss_role for r in batch.column("role").to_pylist()], bool)
+            text_from = at[:-1] + batch.column("n_role").to_numpy() + 2
+            loss = _between(text_from[learnt], at[1:][learnt] - 1, at[-1])
+            offset = np.zeros(batch.num_rows, np.int64)
+            for i, (conv, size) in enumerate(zip(batch.column("conv_id").to_pylist(), np.diff(at).tolist(), strict=True)):
+                if conv != last:
+                    last, place = conv, 0
+                offset[i] = place
+                place += size
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), batch.column("turn"), pa.array(offset), lists,
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(loss))],
+                ["conv_id", "turn", "offset", "ids", "loss_mask"])
+
+    given = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}"
+    encoded = turns.select("conv_id", "turn", "role", "text").mapInArrow(
+        assembled, f"{given}, role string, text string, n_role int, ids array<int>")
+    ordered = (encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+               .select("conv_id", "turn", "role", "n_role", "ids"))
+    return ordered.mapInArrow(placed, f"{given}, offset long, ids array<int>, loss_mask array<boolean>")
 
 
 def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
