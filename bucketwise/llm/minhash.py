@@ -92,15 +92,19 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (x, p) of nodes whose sets have 100 * intersection >= percent * union."""
-    sizes = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    groups = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    members = (pairs.join(sizes, "p").withColumn("part", F.pmod(F.xxhash64("x"), groups).cast("int"))
-               .join(texts.withColumnRenamed("node", "x"), "x")
-               .select("p", "part", F.lit(1).alias("role"), "x", "text"))
-    pivots = (sizes.withColumn("part", F.explode(F.sequence(F.lit(0), groups - 1)))
+    """The pairs (x, p) of nodes whose sets have 100 * intersection >= percent * union.
+
+    ``most`` is the size of the largest bucket that a pair met in. It says over how many parts, each with a copy of
+    p, the pairs of p from buckets of that size are dealt (a power of two, so that there are few such sizes); no
+    row has to meet a count of all pairs of p.
+    """
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("most") / GROUP_ROWS, F.lit(1.0))))).cast("int")
+    dealt = pairs.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    members = (dealt.join(texts.withColumnRenamed("node", "x"), "x")
+               .select("p", "parts", "part", F.lit(1).alias("role"), "x", "text"))
+    pivots = (dealt.select("p", "parts", "part").distinct()
               .join(texts.withColumnRenamed("node", "p"), "p")
-              .select("p", "part", F.lit(0).alias("role"), F.col("p").alias("x"), "text"))
+              .select("p", "parts", "part", F.lit(0).alias("role"), F.col("p").alias("x"), "text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.zeros(0, np.uint64)
@@ -119,7 +123,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     linked[i] = 100 * both >= percent * (len(own) + len(pivot) - both)
                 yield part.select(["x", "p"]).filter(pa.array(linked))
 
-    rows = members.unionByName(pivots).repartition("p", "part").sortWithinPartitions("p", "part", "role")
+    keys = ["p", "parts", "part"]
+    rows = members.unionByName(pivots).repartition(*keys).sortWithinPartitions(*keys, "role")
     kind = pairs.select("x", "p").schema
     return rows.mapInArrow(compare, kind)
 
@@ -206,11 +211,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     entries = classes.select("node", "n", F.explode("keys").alias("key"))
     busy = saved(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("p"),
                                             F.min_by("n", "node").alias("pn")).where("members > 1"), "buckets")
-    members = saved(entries.join(busy.drop("members"), "key"), "members")
+    members = saved(entries.join(busy, "key"), "members")
     close = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     texts = saved(keyed.select(F.struct("doc", "tag").alias("node"), "text")
                   .join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    pairs = saved(members.where((F.col("node") != F.col("p")) & close).select(F.col("node").alias("x"), "p").distinct(), "pairs")
+    pairs = saved(members.where((F.col("node") != F.col("p")) & close).groupBy(F.col("node").alias("x"), "p")
+                  .agg(F.max("members").alias("most")), "pairs")
     edges = saved(_verified(pairs, texts, width, percent), "links")
     linked = components(edges.select(F.col("x").alias("u"), F.col("p").alias("v")))
     placed = (members.select("key", "node", "n").join(linked, "node", "left")

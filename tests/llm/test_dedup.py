@@ -9,6 +9,7 @@ import pytest
 
 from bucketwise.llm.embeddings import codes_of, forest, learn_rotations, linked_vectors, plan_tables, shared_bits
 from bucketwise.llm.graph import components
+from bucketwise.llm import minhash
 from bucketwise.llm.minhash import BINS, band_size, keep_one, sketches, without_near_copies
 from bucketwise.llm.passages import remove_repeats, without_repeats
 
@@ -78,7 +79,9 @@ def brute_components(docs, width, percent):
     return {d: (len(sets[d]), groups.top(d), groups.top(d) == d) for d in docs}
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("group_rows", [minhash.GROUP_ROWS, 3])
+def test_near_copies_against_brute_force(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(minhash, "GROUP_ROWS", group_rows)
     random.seed(5)
     base = [[random.choice("abcdefghijklmnop") + random.choice("xyzuv") for _ in range(40)] for _ in range(15)]
     docs = {3: None}
