@@ -8,10 +8,10 @@ can be taken back. The loss mask is the running sum of +1 where an assistant tex
 it ends.
 
 Defined cases: a null text or role is an empty one; a null conversation id is a conversation of its own;
-turns go by number (null first), then role and text, so repeated turns have a fixed order; an empty
-table gives no rows; other columns of the input are ignored. Turns are encoded where they are read, however
-long their conversation; offsets and digests alone need the order, so that only these stream through one
-task a conversation, with a running state and never held together.
+turns go by number (null first), then role, the first 32 characters of the text and the ids, so repeated
+turns have a fixed order; an empty table gives no rows; other columns of the input are ignored. Turns are
+encoded where they are read, however long their conversation; offsets and digests alone need the order, so
+only these stream through one task a conversation, with a running state and never held together.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from bucketwise.llm.encode import Codec
 from bucketwise.llm.ragged import chunks, text_bytes
 
 MARKS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
+TIE_CHARS = 32
 _PLAIN = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 
@@ -106,7 +107,9 @@ def format_turns(turns: DataFrame, path: str | None = None, loss_role: str = "as
     given = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}"
     encoded = turns.select("conv_id", "turn", "role", "text").mapInArrow(
         assembled, f"{given}, role string, text string, n_role int, ids array<int>")
-    ordered = (encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # Whole texts do not travel beside their ids: the start orders repeated turns, the ids settle the rest.
+    keyed = encoded.select("conv_id", "turn", "role", F.left("text", F.lit(TIE_CHARS)).alias("start"), "n_role", "ids")
+    ordered = (keyed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "start", "ids")
                .select("conv_id", "turn", "role", "n_role", "ids"))
     return ordered.mapInArrow(placed, f"{given}, offset long, ids array<int>, loss_mask array<boolean>")
 
