@@ -58,7 +58,7 @@ def choose_local_dir(spark: SparkSession) -> None:
 
 
 def ship_code(spark: SparkSession, *more: str) -> None:
-    """Give this package, and modules or packages next to it, to the Python workers (once per application)."""
+    """Give this package, and modules or packages next to it, with their data files, to the Python workers (once per application)."""
     context = spark.sparkContext
     if getattr(context, "_bucketwise_shipped", False):
         return
@@ -66,8 +66,8 @@ def ship_code(spark: SparkSession, *more: str) -> None:
     archive = Path(tempfile.mkdtemp(prefix="bucketwise-")) / "bucketwise_code.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for name in (Path(__file__).resolve().parent.name, *more):
-            for file in [root / f"{name}.py", *sorted((root / name).rglob("*.py"))]:
-                if file.exists():
+            for file in [root / f"{name}.py", *sorted((root / name).rglob("*"))]:
+                if file.is_file() and file.suffix != ".pyc":
                     out.write(file, file.relative_to(root))
     context.addPyFile(str(archive))
     context._bucketwise_shipped = True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from datetime import datetime
+from importlib import resources
 
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ TYPES = ("error", "click", "view", "signup", "purchase")
 
 
 def sql_definition(file: str, key: str, event_type: str, **condition) -> AlertDefinition:
-    with open(f"{HERE}/sql/{file}", encoding="utf-8") as handle:
-        text = handle.read()
+    # Workers import this module from a zip file, where only the package's resources can be read.
+    text = resources.files(__package__).joinpath("sql", file).read_text(encoding="utf-8")
     width, lag, back = bucket_header(text)
     return AlertDefinition(AlertId("checks", key), width, lag, text, {"event_type": event_type},
                            message=f"{key} out of range", check_every="@15minutes", ts="ts", back=back, **condition)

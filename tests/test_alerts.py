@@ -1,7 +1,10 @@
 import os
 import random
+import subprocess
+import sys
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from bucketwise.alerting.ticks import parse_cron, ticks
 from bucketwise.functions.buckets import Width
 from bucketwise.operators.filters import FilterState, TimeRange
 from bucketwise.plans.spec import RunContext
+from bucketwise.session import ship_code
 from tests.conftest import plan_of
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -325,6 +329,14 @@ def test_failed_notification_becomes_an_error(spark):
     assert out == {"k1": ("OK", "fine"), "k2": ("error", "Error triggering notifier: no route")}
 
 
+def test_modules_of_notifiers_are_importable_from_the_shipped_code(tmp_path):
+    shipped = []
+    ship_code(SimpleNamespace(sparkContext=SimpleNamespace(addPyFile=shipped.append)), "suite")
+    code = "import pickle, suite.alerts as a; assert '.zip' in a.__file__; pickle.loads(pickle.dumps(a.refuse_late_ones))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": shipped[0]}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_retention_prunes(spark):
     df = spark.createDataFrame([(datetime(2023, 1, 1),), (datetime(2024, 1, 2),)], "t timestamp_ntz")
     assert alog.within_retention(df, "t", datetime(2024, 12, 31)).count() == 1
