@@ -218,6 +218,15 @@ def _walk_map(value: Value, dtype: T.MapType, p: Processor):
                  T.MapType(dtype.keyType, probe.dtype), value.key)
 
 
+def dealt(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
+    """Rows in even parts of about so many; deal out few columns, before others are derived from them.
+
+    Scrubbing a row costs far more than reading it, but a file's row group, which may hold a million rows, is read
+    by one task. The rows are counted first; a file's footer has their number.
+    """
+    return df.repartition(max(1, -(-df.count() // rows_per_task)))
+
+
 def anonymize(df: DataFrame, p: Processor, keep: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Scrub every field of every row; ``keep`` names columns left alone.
 
@@ -374,14 +383,17 @@ def scramble(text: Column) -> Column:
     The same text always gives the same result. Work grows linearly with the text (times the logarithm of
     its number of blocks); the state before a block follows from the block's number alone.
     """
-    a, b, c = map(_constants, _block_coefficients(_BLOCK))
+    steps = [values[1:] for values in _block_coefficients(_BLOCK)]  # at j: the state at the block's character j
+    a, b, c = _constants(steps[0]), _constants(steps[1]), _constants([value * _BLOCK & _MASK for value in steps[2]])
     jump_a, jump_c, jump_b = map(_constants, zip(*_jump_coefficients(_BLOCK), strict=True))
     seed = _masked(F.crc32(text.cast("binary")))
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    # Most names and addresses are one block, which is neither cut out nor jumped to.
+    blocks = F.when(F.length(text) <= _BLOCK, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
 
-    # Factors stay below 2**31, so every product fits; each is masked before adding.
-    def step(state: Column, j: Column, start: Column) -> Column:
-        return _masked(_masked(F.get(a, j) * state) + _masked(F.get(c, j) * start) + F.get(b, j))
+    # Factors stay below 2**31, so a product fits, and so does its sum with terms below 2**31.
+    def step(state: Column, j: Column, number: Column) -> Column:
+        return _masked(_masked(F.get(a, j) * state) + F.get(c, j) * number + F.get(b, j))
 
     def state_of(first: Column, number: Column) -> Column:
         """The state before a block: one jump for every bit of its number."""
@@ -394,8 +406,8 @@ def scramble(text: Column) -> Column:
         return F.aggregate(bits, F.struct(first.alias("state"), F.lit(0).cast("long").alias("index")), jump, lambda at: at["state"])
 
     def one_block(first: Column, block: Column, i: Column) -> Column:
-        return let(state_of(first, i), lambda state: F.array_join(F.transform(
-            F.split(block, ""), lambda ch, j: _letter(ch, step(state, j + 1, i * _BLOCK))), ""))
+        return let(F.when(i == 0, first).otherwise(state_of(first, i)), lambda state: F.array_join(F.transform(
+            F.split(block, ""), lambda ch, j: _letter(ch, step(state, j, i))), ""))
 
     return F.when(text == "", text).otherwise(
         let(seed, lambda first: F.array_join(F.transform(blocks, lambda block, i: one_block(first, block, i)), "")))

@@ -145,7 +145,8 @@ V6 = "concat('fe80::', lower(to_hex(user_id)), ':', lower(to_hex(event_id % 6553
 
 @register("an8_scrambled_names", f"{CRC_TABLE} SELECT c_custkey, {scrambled_sql('c_name')} AS c_name FROM customer, crc")
 def _(spark, folder):
-    return table(spark, folder, "customer").select("c_custkey", an.scramble(F.col("c_name")).alias("c_name"))
+    rows = an.dealt(table(spark, folder, "customer").select("c_custkey", "c_name"))
+    return rows.select("c_custkey", an.scramble(F.col("c_name")).alias("c_name"))
 
 
 @register("an9_scrambled_addresses", f"""{CRC_TABLE}
@@ -156,7 +157,7 @@ FROM (SELECT event_id, {crc_sql(V4)} AS h, {V6} AS v6 FROM events, crc), crc""")
 def _(spark, folder):
     v4 = F.concat_ws(".", F.lit("10"), (F.col("user_id") % 250).cast("string"), (F.col("event_id") % 250).cast("string"), F.lit("7"))
     v6 = F.concat(F.lit("fe80::"), F.lower(F.hex("user_id")), F.lit(":"), F.lower(F.hex(F.col("event_id") % 65536)))
-    rows = table(spark, folder, "events").select("event_id", v4.alias("v4"), v6.alias("v6"))
+    rows = an.dealt(table(spark, folder, "events").select("event_id", "user_id")).select("event_id", v4.alias("v4"), v6.alias("v6"))
     return rows.select("event_id", an.scramble_ip(F.col("v4")).alias("v4"), an.scramble_ip(F.col("v6")).alias("v6"))
 
 
@@ -170,7 +171,7 @@ SELECT c_custkey, {", ".join(f"'<EMAIL>' AS {c}" for c in MAILS)}, {", ".join(f"
   {", ".join(f"{scrambled_sql('n')} AS {c}" for c in PEOPLE)}, 'REDACTED' AS user_agent, 'R. <EMAIL>' AS remark
 FROM (SELECT c_custkey, concat('Jane ', c_name) AS n FROM customer), crc""")
 def named_columns(spark, folder):
-    rows = table(spark, folder, "customer")
+    rows = an.dealt(table(spark, folder, "customer").select("c_custkey", "c_name"))
     mail = F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.org"))
     address = F.concat_ws(".", F.lit("10.1"), (F.col("c_custkey") % 250).cast("string"), F.lit("9"))
     columns = [*(mail.alias(c) for c in MAILS), *(address.alias(c) for c in ADDRESSES),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bucketwise.operators import anonymize as an
+from suite import anonymizing, registry  # noqa: F401
 from tests.conftest import SMALL, plan_of
 
 
@@ -163,6 +164,16 @@ def test_long_texts_are_scrambled_by_jumps_over_blocks(spark):
     assert spark.createDataFrame([(text,)], "t string").select(an.scramble(F.col("t"))).first()[0] == derived_scramble(text)
 
 
+@pytest.mark.parametrize("name", ["an8_scrambled_names", "an9_scrambled_addresses", "an10_named_columns"])
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, name):
+    n = 25_000
+    ids = spark.range(0, n, 1, 1)
+    ids.select(F.col("id").alias("c_custkey"), F.lit("Ann").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    ids.select(F.col("id").alias("event_id"), F.col("id").alias("user_id")).write.parquet(str(tmp_path / "events.parquet"))
+    parts = registry.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 3 and sum(r["count"] for r in parts) == n and max(r["count"] for r in parts) <= 10_000
+
+
 def test_dropping_ends_the_chain(spark):
     def never(value):
         raise AssertionError("must not run")
