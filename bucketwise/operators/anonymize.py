@@ -198,7 +198,7 @@ def _walk_variant(value: Value, p: Processor):
     walked = F.aggregate(F.sequence(F.lit(1), depth), begin, lambda state, _: level(state))
 
     def joined(state: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.concat(state["marks"], F.transform(state["leaves"], leaf))), lambda m: m["text"]), "")
+        return F.array_join(F.transform(F.sort_array(F.concat(state["marks"], F.transform(state["leaves"], leaf))), lambda m: m["text"]), "")
 
     return Value(value.name, F.when(value.col.isNotNull(), F.parse_json(let(walked, joined))), T.VariantType(), value.key)
 
@@ -263,6 +263,16 @@ def by_column(rules: Mapping[str, Callable[[Column], Column]]) -> Processor:
     Empty texts stay as they are.
     """
     lowered = {k.lower(): rule for k, rule in rules.items()}
+    # Names of one rule are tested together, so a rule stands in the plan once.
+    shared: dict[int, tuple[Callable[[Column], Column], list[str]]] = {}
+    for name, rule in lowered.items():
+        shared.setdefault(id(rule), (rule, []))[1].append(name)
+
+    def by_key(key: Column, text: Column) -> Column:
+        out = F.when(F.coalesce(text == "", F.lit(True)), text)
+        for rule, names in shared.values():
+            out = out.when(key.isin(*names), rule(text))
+        return out.otherwise(text)
 
     def run(value: Value):
         if not isinstance(value.dtype, _SCALARS):
@@ -270,10 +280,7 @@ def by_column(rules: Mapping[str, Callable[[Column], Column]]) -> Processor:
         if value.key is not None:
             if not value.is_text:
                 return value
-            out, key = value.col, F.lower(value.key)
-            for name, rule in lowered.items():
-                out = F.when((key == name) & (value.col != ""), rule(value.col)).otherwise(out)
-            return value.text(out)
+            return value.text(let(value.col, lambda text: by_key(F.lower(value.key), text)) if shared else value.col)
         rule = lowered.get(value.name.lower())
         if rule is None:
             return value

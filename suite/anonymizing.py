@@ -97,7 +97,7 @@ def _(spark, folder):
 SELECT event_id, '<EMAIL>' AS mail, CAST(user_id AS VARCHAR) AS uid FROM events""")
 def _(spark, folder):
     text = F.format_string('{"mail": "u%s@example.org", "ids": [%s]}', F.col("user_id").cast("string"), F.col("user_id").cast("string"))
-    rows = table(spark, folder, "events").select("event_id", F.parse_json(text).alias("v"))
+    rows = an.dealt(table(spark, folder, "events").select("event_id", "user_id")).select("event_id", F.parse_json(text).alias("v"))
     out = an.anonymize(rows, an.text_pattern(*EMAIL_RULE))
     return out.select("event_id", F.expr("variant_get(v, '$.mail', 'string')").alias("mail"),
                       F.expr("variant_get(v, '$.ids[0]', 'string')").alias("uid"))
@@ -109,7 +109,7 @@ SELECT event_id, '{"Owner":{"list":[{"user_name":"N"},"<EMAIL>"],"user_name":"N"
 def _(spark, folder):
     text = F.expr("""concat('{"user_name":', user_id, ',"password":"p', user_id, '","blob":{"big":[1,2]},"Owner":{"password":{"p":1},"user_name":"u',
       user_id, '","list":[{"user_name":"x","password":null},"u', user_id, '@example.org"]},"deep":{"a":{"b":[{"c":{"user_name":"y","x":', user_id, '}}]}}}')""")
-    rows = table(spark, folder, "events").select("event_id", F.parse_json(text).alias("v"))
+    rows = an.dealt(table(spark, folder, "events").select("event_id", "user_id")).select("event_id", F.parse_json(text).alias("v"))
     rules = an.chain(an.drop_fields("password"), an.truncate_fields("blob"), an.by_column({"USER_NAME": an.replace_with("N")}),
                      an.text_pattern(*EMAIL_RULE))
     return an.anonymize(rows, rules).select("event_id", F.to_json("v").alias("v"))
@@ -186,7 +186,7 @@ SELECT c_custkey, concat('{{"client":{{"Email":"<EMAIL>","ip":["<IP>","<IP>"],"u
 def _(spark, folder):
     text = F.expr("""concat('{"client":{"Email":"u', c_custkey, '@example.org","ip":["10.1.1.', c_custkey % 250, '","10.0.0.1"],"user_agent":7},
       "full_name":"', c_name, '","remark":"R. u', c_custkey, '@example.org"}')""")
-    rows = table(spark, folder, "customer").select("c_custkey", F.parse_json(text).alias("v"))
+    rows = an.dealt(table(spark, folder, "customer").select("c_custkey", "c_name")).select("c_custkey", F.parse_json(text).alias("v"))
     return an.anonymize(rows, an.default_rules()).select("c_custkey", F.to_json("v").alias("v"))
 
 

@@ -164,7 +164,8 @@ def test_long_texts_are_scrambled_by_jumps_over_blocks(spark):
     assert spark.createDataFrame([(text,)], "t string").select(an.scramble(F.col("t"))).first()[0] == derived_scramble(text)
 
 
-@pytest.mark.parametrize("name", ["an8_scrambled_names", "an9_scrambled_addresses", "an10_named_columns"])
+@pytest.mark.parametrize("name", ["an8_scrambled_names", "an9_scrambled_addresses", "an10_named_columns",
+                                  "an10_named_fields_in_variants", "an2_variant_fields", "an2_variant_rules"])
 def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, name):
     n = 25_000
     ids = spark.range(0, n, 1, 1)
@@ -174,6 +175,15 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, name):
     assert len(parts) == 3 and sum(r["count"] for r in parts) == n and max(r["count"] for r in parts) <= 10_000
 
 
+def test_a_rule_stands_once_for_all_its_names(spark):
+    calls = []
+    rule = lambda text: calls.append(1) or F.upper(text)
+    p = an.by_column({"a": rule, "B": rule, "c": an.replace_with("x")})
+    rows = spark.createDataFrame([({"A": "p", "b": "q", "C": "r", "d": "s", "a": None, "c": ""},)], "m map<string,string>")
+    assert an.anonymize(rows, p).first().m == {"A": "P", "b": "Q", "C": "x", "d": "s", "a": None, "c": ""}
+    assert len(calls) == 2  # the map's probe and its entries
+
+
 def test_dropping_ends_the_chain(spark):
     def never(value):
         raise AssertionError("must not run")
